@@ -1,4 +1,58 @@
 """The queries of the engine's own operators, and their SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenq.streaming import feed
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# 2. Applying a change feed
+
+FEED_SQL = """w AS (SELECT ns, hlc, unhex(writer) AS writer, upsert_rows, deletes FROM write_batches),
+c AS (
+  SELECT ns, hlc, writer, 1 AS kind, i AS pos, upsert_rows[i].id AS id, upsert_rows[i].payload_key AS payload_key, upsert_rows[i].attributes AS attributes
+  FROM (SELECT *, unnest(range(1, len(upsert_rows) + 1)) AS i FROM w WHERE upsert_rows IS NOT NULL)
+  UNION ALL
+  SELECT ns, hlc, writer, 0, i, deletes[i], NULL, NULL
+  FROM (SELECT *, unnest(range(1, len(deletes) + 1)) AS i FROM w WHERE deletes IS NOT NULL)),
+r AS (SELECT *, row_number() OVER (PARTITION BY ns, id ORDER BY hlc DESC NULLS LAST, writer DESC NULLS LAST, kind DESC, pos DESC) AS rn
+  FROM c WHERE id IS NOT NULL AND id <> '')"""
+
+
+@query(f"WITH {FEED_SQL} SELECT ns, id AS record_id, payload_key FROM r WHERE rn = 1 AND kind = 1")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    done = feed.apply_feed(spark, f"{sf}/write_batches.parquet", ["payload_key"])
+    return done.live().select("ns", F.col("id").alias("record_id"), "payload_key")
+
+
+@query(
+    f"""WITH {FEED_SQL} SELECT ns, count(*) FILTER (kind = 1) AS live, count(*) FILTER (kind = 0) AS deleted,
+max(hlc) AS newest_hlc FROM r WHERE rn = 1 GROUP BY ns"""
+)
+def p2_namespaces(spark: SparkSession, sf: str) -> DataFrame:
+    """Per namespace: live and deleted keys, newest change."""
+    done = feed.apply_feed(spark, f"{sf}/write_batches.parquet", ["payload_key"])
+    return done.newest().groupBy("ns").agg(
+        F.count_if(~F.col("tombstone")).alias("live"), F.count_if("tombstone").alias("deleted"), F.max("sequence.hlc").alias("newest_hlc")
+    )
