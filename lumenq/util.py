@@ -62,6 +62,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """df without repeated rows (equal in all columns), also with map or variant columns absent."""
-    return df.dropDuplicates()
+def distinct_projection(df: DataFrame, keep: list[str], spread: list[str], salts: int = 4) -> DataFrame:
+    """The columns keep of df's rows, rows that are equal in all columns of df once.
+
+    Rows are told apart by 128 hash bits of all columns (null marks included), so the shuffle
+    carries keep and two numbers instead of the whole row. They meet by the columns spread, salted,
+    so one value of spread may hold many rows and later steps on spread find them nearly together.
+    """
+    nulls = F.lit(0).cast("bigint")
+    for i, c in enumerate(df.columns):
+        nulls = nulls + F.when(F.col(f"`{c}`").isNull(), F.lit(1 << i % 62)).otherwise(0)
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(*keep, F.xxhash64(nulls, *cols).alias("__h1"), F.xxhash64(*reversed(cols), nulls).alias("__h2"))
+    return rows.repartition(*[F.col(c) for c in spread], F.pmod("__h1", F.lit(salts))).dropDuplicates().select(*keep)
