@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm import terms
+from lumenq.llm import quantiles, terms
 from lumenq.operators.versions import current_rows
+from lumenq.util import broadcast_if_small, distinct_projection, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +85,64 @@ def p1_block_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select(
         F.col("grp").alias("index_name"), F.col("term").alias("term_id"), F.col("occurrences").alias("flushed_records"), F.col("records").alias("segments")
     )
+
+
+# 3. Percentiles
+
+
+def _measurements(spark: SparkSession, sf: str) -> DataFrame:
+    """source_table, run_id, conf (the run's configuration), field, value, of all measurements."""
+    native = distinct_projection(table(spark, sf, "native_queries"), ["run_id", "cell_no", "latency_ms", "recall"], ["run_id"])
+    load = distinct_projection(table(spark, sf, "load_samples"), ["run_id", "endpoint", "engine", "recall_at_10"], ["run_id"])
+    pair = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("value"))
+    a = native.select(
+        F.lit("native_queries").alias("source_table"),
+        "run_id",
+        F.col("cell_no").cast("string").alias("conf"),
+        F.inline(F.array(pair("latency_ms", F.when(F.col("latency_ms") >= 0, F.col("latency_ms"))), pair("recall", F.col("recall")))),
+    )
+    b = load.select(
+        F.lit("load_samples").alias("source_table"),
+        "run_id",
+        F.to_json(F.struct("endpoint", "engine")).alias("conf"),
+        F.lit("recall_at_10").alias("field"),
+        F.col("recall_at_10").alias("value"),
+    )
+    return a.unionByName(b)
+
+
+RUN = ["source_table", "run_id", "conf", "field"]
+CONF = ["source_table", "conf", "field"]
+PCTS = [10, 50, 90]
+
+
+def _run_and_conf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    runs = materialize(quantiles.digests(_measurements(spark, sf), RUN, "value"), "run-digests")
+    confs = quantiles.merge(runs, CONF)
+    at = quantiles.percentile_columns(PCTS)
+    return runs.select(*RUN, at.alias("p")), confs.select(*CONF, at.alias("p"))
+
+
+@query()
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    runs, confs = _run_and_conf(spark, sf)
+    both = runs.join(broadcast_if_small(materialize(confs.withColumnRenamed("p", "q"), "conf-percentiles"), 100_000), CONF)
+    case = lambda i, test: F.when(test(F.col("p")[i], F.col("q")[i]), F.lit(PCTS[i]))
+    high = lambda p, q: (F.col("field") == "latency_ms") & (p >= 1.5 * q)
+    low = lambda p, q: (F.col("field") != "latency_ms") & (p <= q - 0.25)
+    pct = F.explode(F.array_compact(F.array(case(0, low), case(1, high), case(2, high))))
+    return both.select("source_table", "run_id", "field", pct.alias("pct"))
+
+
+@query()
+def p3_run_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles 10, 50 and 90 of every run."""
+    runs, _ = _run_and_conf(spark, sf)
+    return runs.select(*RUN, *[F.col("p")[i].alias(f"p{x}") for i, x in enumerate(PCTS)])
+
+
+@query()
+def p3_configuration_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of every configuration, from its runs' digests by node addition."""
+    _, confs = _run_and_conf(spark, sf)
+    return confs.select(*CONF, *[F.col("p")[i].alias(f"p{x}") for i, x in enumerate(PCTS)])
