@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm import quantiles, terms
+from lumenq.llm import neighbours, quantiles, terms, vectors
 from lumenq.operators.versions import current_rows
 from lumenq.util import broadcast_if_small, distinct_projection, materialize
 
@@ -146,3 +146,30 @@ def p3_configuration_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """The same of every configuration, from its runs' digests by node addition."""
     _, confs = _run_and_conf(spark, sf)
     return confs.select(*CONF, *[F.col("p")[i].alias(f"p{x}") for i, x in enumerate(PCTS)])
+
+
+# 4. Most similar vectors
+
+DIMS = 64
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    records = table(spark, sf, "records").select(F.lit("records").alias("space"), "id", "vector")
+    pinecone = table(spark, sf, "pinecone_vectors").select(F.concat(F.lit("pinecone_vectors/"), "ns").alias("space"), "id", F.col("vector_values").alias("vector"))
+    return vectors.packed_vectors(records.unionByName(pinecone).where("id IS NOT NULL AND space IS NOT NULL"), ["space", "id"], "vector", DIMS)
+
+
+@query()
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = neighbours.nearest(_vectors(spark, sf), DIMS, k=5, least=0.75)
+    return near.select(
+        F.substring_index("space", "/", 1).alias("source_table"),
+        F.least("id", "neighbour").alias("id_a"),
+        F.greatest("id", "neighbour").alias("id_b"),
+    ).distinct()
+
+
+@query()
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar others of every usable vector, whatever their cosine."""
+    return neighbours.nearest(_vectors(spark, sf), DIMS, k=5).withColumn("cosine", F.round("cosine", 6))
