@@ -140,6 +140,8 @@ def _tile(dims: int, k: int, least: float):
 
     def run(t: pa.Table) -> pa.Table:
         space = t["space"][0].as_py()
+        once = list({(i, v): n for n, (i, v) in enumerate(zip(t["id"].to_pylist(), t["vec"].to_pylist()))}.values())  # repeated rows
+        t = t.take(pa.array(once))
         ids = np.array(t["id"].to_pylist(), dtype=object)
         x = matrix(t["vec"], dims)
         side = t["side"].to_numpy()
@@ -212,7 +214,7 @@ def nearest(
     rows = sizes.agg(F.sum("count")).first()[0] or 0
     if rows == 0:
         return spark.createDataFrame([], OUT)
-    index = Coarse(sample_matrix(base, dims), rows, per_cell)
+    index = Coarse(sample_matrix(base, dims, rows), rows, per_cell)
     depth = F.when(F.col("count") <= 2 * per_cell, 0).when(F.col("count") <= len(index.top) * per_cell, 1).otherwise(2)
     many = base.groupBy("space", "h").count().where("count > 32").select("space", "h")
     many = broadcast_if_small(materialize(many, "copies"), 100_000)

@@ -65,10 +65,14 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> n
     return c
 
 
-def sample_matrix(vectors: DataFrame, dims: int, most: int = SAMPLE) -> np.ndarray:
-    """At most `most` vectors, by hash order: the same rows whatever the partitioning."""
-    got = vectors.select("vec").orderBy(F.xxhash64("vec")).limit(most).collect()
-    return np.frombuffer(b"".join(bytes(r["vec"]) for r in got), dtype=np.float32).reshape(-1, dims)
+def sample_matrix(vectors: DataFrame, dims: int, rows: int, most: int = SAMPLE) -> np.ndarray:
+    """At most `most` of the rows vectors, those with the smallest hashes of space and id: the same
+    ones whatever the partitioning."""
+    part = F.xxhash64("space", "id").alias("h")
+    share = min(1.0, 0.97 * most / max(1, rows))
+    got = vectors.select(part, "vec").where(F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).limit(4 * most).collect()
+    got = sorted(((r["h"], bytes(r["vec"])) for r in got))[:most]
+    return np.frombuffer(b"".join(v for _, v in got), dtype=np.float32).reshape(-1, dims)
 
 
 class Coarse:
