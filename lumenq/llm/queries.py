@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenq.llm import neighbours, quantiles, terms, vectors
+from lumenq.llm import clusters, neighbours, quantiles, terms, vectors
 from lumenq.operators.versions import current_rows
 from lumenq.util import broadcast_if_small, distinct_projection, materialize
 
@@ -173,3 +173,33 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The five most similar others of every usable vector, whatever their cosine."""
     return neighbours.nearest(_vectors(spark, sf), DIMS, k=5).withColumn("cosine", F.round("cosine", 6))
+
+
+# 5. Clusters
+
+
+def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    records = table(spark, sf, "records")
+    packed = vectors.packed_vectors(records.select("id", "vector").where("id IS NOT NULL"), ["id"], "vector", DIMS)
+    found = materialize(clusters.similarity_clusters(packed, DIMS), "clusters")
+    now = records.where("routing_epoch = 7 AND cell_ordinal IS NOT NULL").select("id", "cell_ordinal").distinct()
+    votes = found.join(now, "id").groupBy("cluster", "cell_ordinal").count()
+    cell = votes.groupBy("cluster").agg(F.max_by("cell_ordinal", F.struct("count", -F.col("cell_ordinal"))).alias("cell_ordinal"))
+    return found, cell
+
+
+@query()
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    found, cell = _clusters(spark, sf)
+    return found.join(broadcast_if_small(cell, 100_000), "cluster", "left").select("id", "cell_ordinal")
+
+
+@query()
+def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Each cluster with its size, its three most typical members and its cell."""
+    found, cell = _clusters(spark, sf)
+    w = Window.partitionBy("cluster").orderBy(F.desc("cosine"), "id")
+    top = found.withColumn("n", F.row_number().over(w)).where("n <= 3")
+    typical = top.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("typical"))
+    size = found.groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.avg("cosine"), 4).alias("mean_cosine"))
+    return size.join(typical, "cluster").join(cell, "cluster", "left").drop("cluster")
