@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenq.llm import clusters, neighbours, quantiles, terms, vectors
+from lumenq.llm import clusters, enrichment, neighbours, quantiles, rankfusion, terms, vectors
 from lumenq.operators.versions import current_rows
 from lumenq.util import broadcast_if_small, distinct_projection, materialize
 
@@ -203,3 +203,56 @@ def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
     typical = top.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("typical"))
     size = found.groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.avg("cosine"), 4).alias("mean_cosine"))
     return size.join(typical, "cluster").join(cell, "cluster", "left").drop("cluster")
+
+
+# 6. How distinctive a term is
+
+
+def _enrichment(spark: SparkSession, sf: str, wanted: DataFrame) -> DataFrame:
+    return enrichment.enrichment(current_text_rows(spark, sf), wanted, "index_name", "record_id", "terms", "term_id", "tf")
+
+
+@query()
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    scored = _enrichment(spark, sf, table(spark, sf, "term_probes"))
+    best = F.max_by("term", F.struct("score", "surprise", -F.col("term")))
+    return scored.groupBy(F.col("grp"), F.col("rec").alias("record_id")).agg(best.alias("term_id")).select("record_id", "term_id")
+
+
+@query()
+def p6_term_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The score of every term of every record."""
+    rows = current_text_rows(spark, sf)
+    scored = enrichment.enrichment(rows, rows, "index_name", "record_id", "terms", "term_id", "tf")
+    return scored.select(F.col("grp").alias("index_name"), F.col("rec").alias("record_id"), F.col("term").alias("term_id"), "k", "records", F.round("score", 6).alias("score"))
+
+
+# 7. One ranking from several scores
+
+LEGS = ["dense", "sparse", "late_interaction"]
+
+
+def _fused(spark: SparkSession, sf: str) -> DataFrame:
+    matches = table(spark, sf, "query_matches").where("query_id IS NOT NULL AND id IS NOT NULL")
+    asked = table(spark, sf, "hybrid_queries").select("query_id", F.array_distinct("query_terms").alias("query_terms"))
+    items = materialize(matches.select("query_id", "id").distinct().join(asked, "query_id", "left"), "candidates")
+    current = materialize(current_text_rows(spark, sf), "current")
+    counts = materialize(terms.term_counts(current, "index_name", "terms", "term_id", "tf"), "term-counts")
+    text = rankfusion.fit(items, current, counts).select("query_id", F.lit("text").alias("leg"), "id", "score")
+    scores = matches.select("query_id", "leg", "id", "score").unionByName(text)
+    return rankfusion.aggregate_ranks(items, scores, "query_id", "id", "leg", "score", [*LEGS, "text"])
+
+
+@query()
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    best = F.min_by("id", F.struct("significance", "mean_rank", "id"))
+    return _fused(spark, sf).groupBy("query_id").agg(best.alias("id"))
+
+
+@query()
+def p7_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The top_k of every hybrid query."""
+    w = Window.partitionBy("query_id").orderBy("significance", "mean_rank", "id")
+    ranked = _fused(spark, sf).withColumn("position", F.row_number().over(w))
+    k = table(spark, sf, "hybrid_queries").select("query_id", "top_k")
+    return ranked.join(k, "query_id").where("position <= top_k").select("query_id", "position", "id", F.round("significance", 9).alias("significance"))
