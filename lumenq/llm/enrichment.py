@@ -101,7 +101,7 @@ def record_terms(rows: DataFrame, group: str, record: str, items: str, term: str
     return shaped.mapInArrow(_per_record, out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _surprise(k, n, marked, total):  # noqa: ANN001, ANN202
     import pandas as pd
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenq.llm import clusters, enrichment, neighbours, quantiles, rankfusion, terms, vectors
+from lumenq.llm import clusters, enrichment, leakage, neighbours, quantiles, rankfusion, terms, vectors
 from lumenq.operators.versions import current_rows
 from lumenq.util import broadcast_if_small, distinct_projection, materialize
 
@@ -256,3 +256,18 @@ def p7_ranking(spark: SparkSession, sf: str) -> DataFrame:
     ranked = _fused(spark, sf).withColumn("position", F.row_number().over(w))
     k = table(spark, sf, "hybrid_queries").select("query_id", "top_k")
     return ranked.join(k, "query_id").where("position <= top_k").select("query_id", "position", "id", F.round("significance", 9).alias("significance"))
+
+
+# 8. Evaluation texts leaking into training text
+
+
+@query()
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "item_id")
+
+
+@query()
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Per leaked item, in how many documents a passage of it stands."""
+    found = leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "item_id")
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"))
