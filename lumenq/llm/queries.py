@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenq.llm import clusters, enrichment, leakage, neighbours, quantiles, rankfusion, terms, vectors
+from lumenq.llm import clusters, enrichment, leakage, mixing, neighbours, quantiles, rankfusion, terms, vectors
 from lumenq.operators.versions import current_rows
 from lumenq.util import broadcast_if_small, distinct_projection, materialize
 
@@ -271,3 +271,42 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     """Per leaked item, in how many documents a passage of it stands."""
     found = leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"), "doc_id", "item_id")
     return found.groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+# 9. Mixing sources
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = materialize(mixing.sized(table(spark, sf, "documents"), "doc_id", "source", "text"), "sized")
+    sizes = docs.groupBy("source").agg(F.sum("size").alias("size"))
+    return docs, materialize(mixing.mix_plan(sizes, table(spark, sf, "mix_targets")), "mix-plan")
+
+
+WORDS_SQL = "len(regexp_extract_all(coalesce(text, ''), '\\S+'))"
+SIZES_SQL = f"""s AS (SELECT source, sum(n) AS size FROM (
+  SELECT nullif(lower(regexp_replace(source, '^[\s\u00a0]+|[\s\u00a0]+$', '', 'g')), '') AS source, {WORDS_SQL} AS n FROM documents) WHERE source IS NOT NULL GROUP BY 1),
+m AS (SELECT DISTINCT mix_id, source, target_share, max_repeats FROM mix_targets)"""
+
+
+@query(
+    f"""WITH {SIZES_SQL} SELECT mix_id, source FROM m LEFT JOIN s USING (source), (SELECT sum(size) AS total FROM s)
+WHERE target_share * total > max_repeats * coalesce(size, 0)"""
+)
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    _, plan = _mix(spark, sf)
+    return plan.where("short").select("mix_id", "source")
+
+
+@query()
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached shares of every mix, from the documents taken."""
+    docs, plan = _mix(spark, sf)
+    out = mixing.reached(mixing.composition(docs, plan), plan)
+    return out.select("mix_id", "source", "target_share", "max_repeats", "size", F.round("epochs", 6).alias("epochs"), "used", F.round("reached_share", 6).alias("reached_share"), "short")
+
+
+@query()
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Which document is used how often in which mix."""
+    docs, plan = _mix(spark, sf)
+    return mixing.composition(docs, plan).select("mix_id", F.col("doc").alias("doc_id"), "source", "copies")
