@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenq.llm import clusters, enrichment, leakage, mixing, neighbours, quantiles, rankfusion, terms, vectors
+from lumenq.llm import clusters, enrichment, leakage, mixing, neighbours, quantiles, rankfusion, stuffing, terms, vectors
 from lumenq.operators.versions import current_rows
 from lumenq.util import broadcast_if_small, distinct_projection, materialize
 
@@ -310,3 +310,19 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     """Which document is used how often in which mix."""
     docs, plan = _mix(spark, sf)
     return mixing.composition(docs, plan).select("mix_id", F.col("doc").alias("doc_id"), "source", "copies")
+
+
+# 10. Keyword-stuffed and link-list pages
+
+
+@query()
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    scores = stuffing.page_scores(table(spark, sf, "documents"), "doc_id", "text")
+    return scores.where(F.col("stuffed") > 2 / 3).select("doc_id").distinct()
+
+
+@query()
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The scores of every page."""
+    scores = stuffing.page_scores(table(spark, sf, "documents"), "doc_id", "text")
+    return scores.select("doc_id", *[F.round(c, 6).alias(c) for c in ("stuffed", "covered", "clauses")])
