@@ -200,7 +200,7 @@ _COLUMNS: dict[str, Callable[[Column, Column, bool], Column]] = {
     "bhattacharyya": lambda a, b, s: _distributions(a, b, s, lambda p, q: _bhattacharyya(p, q, s)),
     "wasserstein": lambda a, b, s: _distributions(a, b, s, _wasserstein),
     "dynamic-time-warping": lambda a, b, s: _dtw(a, b),
-    "ruzicka": lambda a, b, s: _non_negative(a, b, s, (lambda top: F.when(top <= EPS, 0.0).otherwise(1 - zip_sum(a, b, F.least) / top))(zip_sum(a, b, F.greatest))),
+    "ruzicka": lambda a, b, s: _non_negative(a, b, s, (lambda top: F.when(top <= EPS, 0.0).otherwise(1 - zip_sum(a, b, lambda x, y: F.least(x, y)) / top))(zip_sum(a, b, lambda x, y: F.greatest(x, y)))),
     "squared-chord": lambda a, b, s: _non_negative(a, b, s, zip_sum(a, b, lambda x, y: (F.sqrt(x) - F.sqrt(y)) * (F.sqrt(x) - F.sqrt(y)))),
     "wave-hedges": lambda a, b, s: _non_negative(a, b, s, zip_sum(a, b, lambda x, y: _ratio(F.abs(x - y), F.greatest(x, y)))),
     "lorentzian": lambda a, b, s: zip_sum(a, b, lambda x, y: F.log1p(F.abs(x - y))),

@@ -22,7 +22,7 @@ def postings(docs: DataFrame, *, id: str = "id", text: str = "text", tokenizer:
 def corpus_stats(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, df) and the single row (n, avg_length) over documents with text."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    stats = posts.groupBy("id", "length").agg().agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+    stats = posts.select("id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
     return df, stats
 
 

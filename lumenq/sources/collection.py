@@ -111,9 +111,12 @@ class Collection:
         out = self._fs.create(tmp, True)
         out.write(json.dumps(self._state).encode())
         out.close()
-        target = self._p(f"{self.path}/CURRENT")
-        self._fs.delete(target, False)
-        self._fs.rename(tmp, target)
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(self._fs.makeQualified(tmp), self._fs.makeQualified(self._p(f"{self.path}/CURRENT")), how)
         self.version += 1
 
     # reading
@@ -161,10 +164,14 @@ class Collection:
             raise InvalidRecord(f"empty id, wrong length or non-finite value: {first[0]['id']!r}")
         return shaped
 
-    def _append(self, rows: DataFrame, deleted: bool) -> None:
-        name = f"log-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
-        rows.select(*SCHEMA.fieldNames(), F.lit(deleted).alias("deleted"), F.lit(self.version + 1).cast("bigint").alias("version")).write.parquet(f"{self.path}/{name}")
-        self._publish([*self._state["folders"], [name, self.version + 1]])
+    def _append(self, *parts: tuple[DataFrame, bool]) -> None:
+        """One version out of rows to put and rows to delete; an id must not stand in both."""
+        folders = list(self._state["folders"])
+        for rows, deleted in parts:
+            name = f"log-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
+            rows.select(*SCHEMA.fieldNames(), F.lit(deleted).alias("deleted"), F.lit(self.version + 1).cast("bigint").alias("version")).write.parquet(f"{self.path}/{name}")
+            folders.append([name, self.version + 1])
+        self._publish(folders)
 
     def add(self, records: DataFrame) -> None:
         """Inserts new records; ids that repeat, live or deleted (until purged), are an error."""
@@ -173,30 +180,43 @@ class Collection:
         known = shaped.select("id").join(self.log().select("id"), "id", "left_semi").limit(1).collect()
         if twice or known:
             raise DuplicateRecordId((twice or known)[0]["id"])
-        self._append(shaped, False)
+        self._append((shaped, False))
 
     def add_vectors(self, vectors: DataFrame) -> DataFrame:
         """Inserts vectors without ids; returns them with the ids made for them."""
         made = vectors.select(F.concat(F.lit("g"), F.sha2(F.concat(F.lit(f"{self.version}-"), F.expr("uuid()")), 256)).alias("id"), "vector")
         before = {n for n, _ in self._state["folders"]}
-        self._append(self._checked(made), False)
+        self._append((self._checked(made), False))
         new = [n for n, _ in self._state["folders"] if n not in before]
         return self.spark.read.schema(LOG).parquet(f"{self.path}/{new[0]}").select("id", "vector")
 
+    def _puts(self, records: DataFrame) -> DataFrame:
+        w = Window.partitionBy("id").orderBy(F.xxhash64(*SCHEMA.fieldNames()).desc())
+        return self._checked(records).withColumn("__n", F.row_number().over(w)).where("__n = 1")
+
     def upsert(self, records: DataFrame) -> None:
         """Inserts or replaces; of rows with the same id in one call any one wins. Revives deleted ids."""
-        w = Window.partitionBy("id").orderBy(F.xxhash64(*SCHEMA.fieldNames()).desc())
-        self._append(self._checked(records).withColumn("__n", F.row_number().over(w)).where("__n = 1"), False)
+        self._append((self._puts(records), False))
+
+    def _drops(self, ids: DataFrame) -> DataFrame:
+        gone = ids.select(F.col("id").cast("string").alias("id")).distinct().join(self.live().select("id"), "id", "left_semi")
+        return gone.select("id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields[1:]])
 
     def delete(self, ids: DataFrame) -> int:
         """Deletes the live ones among ids (repeated ones count once); returns how many there were."""
-        gone = ids.select(F.col("id").cast("string").alias("id")).distinct().join(self.live().select("id"), "id", "left_semi")
-        rows = gone.select("id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields[1:]])
-        n = gone.count()
+        rows = self._drops(ids)
+        n = rows.count()
         if n:
-            self._append(rows, True)
+            self._append((rows, True))
         return n
 
+    def apply(self, puts: DataFrame, deletes: DataFrame, batch: int) -> None:
+        """Puts and deletes as one version, once per batch number."""
+        if batch <= self._state.get("batch", -1):
+            return
+        self._state["batch"] = batch
+        self._append((self._puts(puts), False), (self._drops(deletes), True))
+
     def purge(self) -> None:
         """Rewrites the live records; tombstones and old versions go, their ids may be added again."""
         self._rewrite(self.live())
@@ -235,13 +255,18 @@ class Collection:
         return sorted(out)
 
 
+def _signs(seed: int):  # noqa: ANN202
+    return lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(2)) == 0, x).otherwise(-x)
+
+
 def locality(vector: str):  # noqa: ANN201
     """A key under which near vectors stand together: the signs of 16 fixed projections, then the
     length's magnitude."""
     v = F.col(vector).cast("array<double>")
     bits = []
     for p in range(16):
-        s = F.aggregate(F.transform(v, lambda x, i, p=p: F.when(F.pmod(F.xxhash64(i, F.lit(p)), F.lit(2)) == 0, x).otherwise(-x)), F.lit(0.0), lambda a, b: a + b)
+        signed = F.transform(v, _signs(p))
+        s = F.aggregate(signed, F.lit(0.0), lambda a, b: a + b)
         bits.append(F.when(s > 0, 1 << p).otherwise(0))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     return F.coalesce(sum(bits, F.lit(0)) * 64 + F.least(F.lit(63), F.greatest(F.lit(0), F.floor(F.log2(norm + 1e-9)) + 32)), F.lit(-1))

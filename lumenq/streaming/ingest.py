@@ -17,18 +17,10 @@ def ingest(changes: DataFrame, collection: Collection, checkpoint: str, *, avail
     spec = collection.path
 
     def apply(batch: DataFrame, number: int) -> None:
-        now = Collection(batch.sparkSession, spec)
-        if number <= now._state.get("batch", -1):
-            return
         rest = [c for c in batch.columns if c != "id"]
         last = batch.groupBy("id").agg(F.max_by(F.struct(*rest), F.col("seq")).alias("r")).select("id", "r.*").persist()
-        now._state["batch"] = number
         puts = last.where("op = 'put'").drop("op", "seq")
-        drops = last.where("op = 'delete'").select("id")
-        if not puts.isEmpty():
-            now.upsert(puts)
-        if not drops.isEmpty():
-            now.delete(drops)
+        Collection(batch.sparkSession, spec).apply(puts, last.where("op = 'delete'").select("id"), number)
         last.unpersist()
 
     writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
