@@ -284,7 +284,7 @@ def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 WORDS_SQL = "len(regexp_extract_all(coalesce(text, ''), '\\S+'))"
 SIZES_SQL = f"""s AS (SELECT source, sum(n) AS size FROM (
-  SELECT nullif(lower(regexp_replace(source, '^[\s\u00a0]+|[\s\u00a0]+$', '', 'g')), '') AS source, {WORDS_SQL} AS n FROM documents) WHERE source IS NOT NULL GROUP BY 1),
+  SELECT nullif(lower(regexp_replace(source, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g')), '') AS source, {WORDS_SQL} AS n FROM documents) WHERE source IS NOT NULL GROUP BY 1),
 m AS (SELECT DISTINCT mix_id, source, target_share, max_repeats FROM mix_targets)"""
 
 
