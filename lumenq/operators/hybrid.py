@@ -27,7 +27,7 @@ def default_depth(k: int) -> int:
 def fuse_rrf(legs: dict[str, DataFrame], k: int, constant: float = 60) -> DataFrame:
     """Reciprocal rank fusion: the sum over legs of 1 / (constant + rank from zero), as -distance."""
     scored = _legs(legs).groupBy("query_id", "id").agg((-F.sum(1 / (F.lit(float(constant)) + F.col("rank") - 1))).alias("distance"))
-    return top_k(scored, check_k(k))
+    return top_k(scored, check_k(k), 9)
 
 
 def leg_score(metric: str | None):
@@ -48,4 +48,4 @@ def fuse_weighted(legs: dict[str, DataFrame], k: int, weights: dict[str, float]
     best = F.max("score").over(Window.partitionBy("query_id", "leg"))
     w = F.coalesce(*[F.when(F.col("leg") == n, F.lit(float(weights.get(n, 1.0)))) for n in legs])
     part = every.withColumn("part", w * F.when(best > 0, F.col("score") / best).otherwise(0.0))
-    return top_k(part.groupBy("query_id", "id").agg((-F.sum("part")).alias("distance")), check_k(k))
+    return top_k(part.groupBy("query_id", "id").agg((-F.sum("part")).alias("distance")), check_k(k), 9)

@@ -121,8 +121,10 @@ def search_batch(records: DataFrame, queries: DataFrame, k: int, metric: str = "
     return top_k(hits, k)
 
 
-def top_k(hits: DataFrame, k: int, by: str = "distance") -> DataFrame:
-    """The k best hits of each query, ranked from 1, ties by id."""
+def top_k(hits: DataFrame, k: int, places: int | None = None) -> DataFrame:
+    """The k best hits of each query, ranked from 1, ties by id. With places, distances that agree
+    to so many decimals tie: sums of floats depend on the order of adding."""
+    by = F.col("distance") if places is None else F.round("distance", places)
     w = Window.partitionBy("query_id").orderBy(by, "id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= check_k(k)).select("query_id", "rank", "id", *[c for c in hits.columns if c not in ("query_id", "id")])
 

@@ -42,7 +42,7 @@ def search_text(docs: DataFrame, queries: DataFrame, k: int, *, id: str = "id",
     hits = posts.join(asked, "term").crossJoin(F.broadcast(stats))  # one row
     score = F.sum(bm25_weight(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("avg_length"), k1, b))
     scored = hits.groupBy("query_id", "id").agg(score.alias("score")).where("score > 0")
-    return top_k(scored.select("query_id", "id", (-F.col("score")).alias("distance")), k)
+    return top_k(scored.select("query_id", "id", (-F.col("score")).alias("distance")), k, 9)
 
 
 def sparse_postings(records: DataFrame, *, id: str = "id", sparse: str = "sparse", strict: bool = True) -> DataFrame:
@@ -69,7 +69,7 @@ def search_sparse(records: DataFrame, queries: DataFrame, k: int, *, id: str = "
     posts = sparse_postings(records, id=id, sparse=sparse, strict=strict)
     asked = sparse_postings(queries, id=query_id, sparse=query_sparse, strict=strict).select(F.col("id").alias("query_id"), "term", F.col("weight").alias("asked"))
     hits = posts.join(broadcast_if_small(asked, 200_000), "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("asked")).alias("dot"))
-    return top_k(hits.where("dot > 0").select("query_id", "id", (-F.col("dot")).alias("distance")), k)
+    return top_k(hits.where("dot > 0").select("query_id", "id", (-F.col("dot")).alias("distance")), k, 9)
 
 
 def densify(sparse: Column, dims: int) -> Column:

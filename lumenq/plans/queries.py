@@ -426,7 +426,7 @@ def _legs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 
 @query(
     f"""WITH {HYBRID_SQL}, f AS (SELECT query_id, id, -sum(1 / (CAST(60 AS DOUBLE) + rank - 1)) AS distance FROM legs GROUP BY ALL)
-SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), id) AS rank FROM f) WHERE rank <= 10"""
+SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM f) WHERE rank <= 10"""
 )
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(hybrid.fuse_rrf(_legs(spark, sf), 10, 60))
@@ -435,7 +435,7 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {HYBRID_SQL}, m AS (SELECT *, score / max(score) OVER (PARTITION BY query_id, leg) AS part FROM legs),
 f AS (SELECT query_id, id, -sum(CASE WHEN leg = 'dense' THEN part ELSE 2 * part END) AS distance FROM m GROUP BY ALL)
-SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), id) AS rank FROM f) WHERE rank <= 10"""
+SELECT query_id, CAST(rank AS INT) AS rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM f) WHERE rank <= 10"""
 )
 def hybrid_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(hybrid.fuse_weighted(_legs(spark, sf), 10, {hybrid.TEXT: 2.0}, {hybrid.PRIMARY: "cosine"}))
