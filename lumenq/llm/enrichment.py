@@ -32,7 +32,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     y = x.copy()
     for _ in range(10):
         small = y < 10
-        low += np.where(small, np.log(np.where(small, y, 1)), 0)
+        low += np.where(small, np.log(np.where(small, np.maximum(y, 1e-300), 1)), 0)
         y = np.where(small, y + 1, y)
     z = 1 / (y * y)
     tail = np.zeros_like(y)

@@ -9,8 +9,9 @@ each document by a seeded hash.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,7 @@ def tokens(encode: Callable[[], Callable[[list[str]], list[int]]]) -> Callable[[
     of tokens, e.g. of a public tokenizer whose file the caller names."""
 
     @F.pandas_udf(T.LongType())
-    def size(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821, UP037
-        import pandas as pd
-
+    def size(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = encode()
         for s in batches:
             yield pd.Series(count(s.fillna("").tolist()))
