@@ -75,3 +75,14 @@ def distinct_projection(df: DataFrame, keep: list[str], spread: list[str], salts
     cols = [F.col(f"`{c}`") for c in df.columns]
     rows = df.select(*keep, F.xxhash64(nulls, *cols).alias("__h1"), F.xxhash64(*reversed(cols), nulls).alias("__h2"))
     return rows.repartition(*[F.col(c) for c in spread], F.pmod("__h1", F.lit(salts))).dropDuplicates().select(*keep)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for row-by-row work in Python: over all cores where a scan has fewer parts than there are
+    cores (a small file of one row group), else as it is."""
+    sc = df.sparkSession.sparkContext
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    if df.rdd.getNumPartitions() >= sc.defaultParallelism:
+        return df
+    return df.repartition(sc.defaultParallelism)
