@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenq.util import spread
+
 SHINGLE = 5
 WINDOW = 14
 SPREAD = 4  # bins per shingle of the class's upper size
@@ -209,6 +211,6 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "
                         found.append(search.ids[k2])
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(found, to_arrow_type(kind))], names=[doc, item])
 
-        part = docs.select(doc, text).where(F.col(doc).isNotNull() & F.col(text).isNotNull()).mapInArrow(run, out)
+        part = spread(docs.select(doc, text).where(F.col(doc).isNotNull() & F.col(text).isNotNull())).mapInArrow(run, out)
         result = part if result is None else result.unionByName(part)
     return result.distinct()

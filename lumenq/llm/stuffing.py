@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenq.util import spread
+
 LINK = r"<a\b[^<>]*>[^<>]*</a>|\[[^\[\]\n]*\]\([^()\s]*\)|(?:https?://|www\.)[^\s<>\"')\]|]+"
 TAG = r"<[^<>]{0,200}>"
 HASH = r"#\w+"
@@ -178,4 +180,4 @@ def page_scores(docs: DataFrame, doc: str, text: str) -> DataFrame:
             cols = [pa.array([g[k] for g in got], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[doc, "stuffed", "covered", "clauses"])
 
-    return docs.select(doc, text).where(F.col(text).isNotNull()).mapInArrow(run, out)
+    return spread(docs.select(doc, text).where(F.col(text).isNotNull())).mapInArrow(run, out)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenq.util import spread
+
 SAMPLE = 32_768
 
 
@@ -37,7 +39,7 @@ def packed_vectors(rows: DataFrame, keys: list[str], vector: str, dims: int) ->
             t = t.filter(pa.array(good))
             yield from pa.table({**{k: t[k] for k in keys}, "vec": vec}).combine_chunks().to_batches()
 
-    return rows.select(*keys, F.col(vector).alias("v")).mapInArrow(run, out)
+    return spread(rows.select(*keys, F.col(vector).alias("v"))).mapInArrow(run, out)
 
 
 def matrix(vec: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
