@@ -34,22 +34,42 @@ WORD = re.compile(r"[^\W_]+")
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 
 
+COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+
+
 def words(text: str) -> list[str]:
     """Lower-case words without markup, accents and punctuation; doubly encoded text is put right."""
-    if "Ã" in text or "â€" in text:
-        try:
-            text = text.encode("cp1252").decode("utf-8")
-        except UnicodeError:
-            pass
-    text = HIDDEN.sub("", html.unescape(TAG.sub(" ", text)))
-    text = unicodedata.normalize("NFKD", text.casefold())
-    return WORD.findall("".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text)
+    if "<" in text:
+        text = TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    if not text.isascii():
+        if "Ã" in text or "â€" in text:
+            try:
+                text = text.encode("cp1252").decode("utf-8")
+            except UnicodeError:
+                pass
+        text = COMBINING.sub("", unicodedata.normalize("NFKD", HIDDEN.sub("", text).casefold()))
+        return WORD.findall(text)
+    return WORD.findall(text.lower())
+
+
+class WordIds(dict):
+    """A 64-bit hash per word, remembered; forgets when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        b = word.encode()
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = zlib.crc32(b) | (zlib.adler32(b) << 32)
+        return h
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        return _mix(np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens)))
 
 
 def word_ids(tokens: list[str]) -> np.ndarray:
-    """A 64-bit hash per word."""
-    out = np.fromiter((zlib.crc32(b) | (zlib.adler32(b) << 32) for b in map(str.encode, tokens)), np.uint64, len(tokens))
-    return _mix(out)
+    return WordIds().of(tokens)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,9 +96,11 @@ def size_class(n: int) -> int:
 def minima(h: np.ndarray, cls: int) -> np.ndarray:
     """The bins' minima of a set: bins are ranges of leading bits, so a bin's first hash in order."""
     bits = cls + SPREAD.bit_length() - 1
-    u = np.unique(h)
+    u = np.sort(h)
     b = u >> np.uint64(64 - bits)
-    return u[np.r_[True, b[1:] != b[:-1]]] if len(u) else u
+    first = np.ones(len(u), bool)
+    np.not_equal(b[1:], b[:-1], out=first[1:])
+    return u[first]
 
 
 def align(a: np.ndarray, b: np.ndarray, miss: float = 1.5) -> tuple[float, int, int]:
@@ -138,6 +160,8 @@ class Items:
             step = WINDOW - SHINGLE + 1
             self.windows += [own[lo : lo + step] for lo in range(max(1, len(own) - step + 1))]
         self.by_class: dict[int, np.ndarray] = {}
+        self.known = WordIds()
+        self.every = np.fromiter(sorted(self.at), np.uint64, len(self.at))
 
     def minima(self, cls: int) -> np.ndarray:
         """All windows' minima in the bins of a class, sorted."""
@@ -148,7 +172,7 @@ class Items:
 
     def found_in(self, text: str) -> list[int]:
         """Positions of the items of which the text holds a passage."""
-        w = word_ids(words(text))
+        w = self.known.of(words(text))
         h = shingles(w)
         if not len(h):
             return []
@@ -163,7 +187,7 @@ class Items:
         if not items:
             return []
         # all shared shingles of the candidates, by diagonal
-        shared = np.flatnonzero(np.isin(h, np.fromiter(self.at, np.uint64, len(self.at))))
+        shared = np.flatnonzero(self.every[np.minimum(np.searchsorted(self.every, h), len(self.every) - 1)] == h)
         spots: dict[tuple[int, int], list[int]] = defaultdict(list)
         for j in shared.tolist():
             for k, i in self.at[int(h[j])]:
