@@ -95,11 +95,17 @@ def build(records: DataFrame, metric: str = "euclidean", *, id: str = "id", vect
     if unit:
         x = x / np.maximum(np.linalg.norm(x, axis=1), EPS)[:, None]
     c = lloyd(x, k, seed=seed, spherical=unit)
-    geometry = "euclidean" if unit or key not in metrics.CENTROID_BOUNDED else metric
+    return build_from(records, c, metric, id, vector)
+
+
+def build_from(records: DataFrame, c: np.ndarray, metric: str, id: str = "id", vector: str = "vector") -> Cells:
+    """The same from given centroids."""
+    unit = parse(metric)[0] in metrics.UNIT_GEOMETRY
+    geometry = metric if metrics.supports_centroid_bound(metric) and not unit else "euclidean"
     v = metrics.unit(F.col(vector)) if unit else F.col(vector).cast("array<double>")
     placed = records.where(F.col(vector).isNotNull()).withColumn("cell_id", assign_cells(v, c, "euclidean"))
     placed = materialize(placed.repartition("cell_id"), "cells", ["cell_id"])
-    centre = F.broadcast(_centroid_table(records.sparkSession, c))
+    centre = F.broadcast(_centroid_table(records.sparkSession, c))  # at most MAX_CELLS rows
     u = metrics.unit(F.col(vector)) if unit else F.col(vector)
     far = placed.join(centre, "cell_id").withColumn("__d", metrics.distance(geometry, u, F.col("centroid")))
     stats = materialize(far.groupBy("cell_id").agg(F.count("*").alias("n"), F.max("__d").alias("radius")), "cell-stats")
