@@ -62,19 +62,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def distinct_projection(df: DataFrame, keep: list[str], spread: list[str], salts: int = 4) -> DataFrame:
+def distinct_projection(df: DataFrame, keep: list[str], spread: list[str]) -> DataFrame:
     """The columns keep of df's rows, rows that are equal in all columns of df once.
 
     Rows are told apart by 128 hash bits of all columns (null marks included), so the shuffle
-    carries keep and two numbers instead of the whole row. They meet by the columns spread, salted,
-    so one value of spread may hold many rows and later steps on spread find them nearly together.
+    carries keep and two numbers instead of the whole row. Rows meet by the columns spread, so that
+    later steps on these find them together; a value of spread that holds more than half a
+    partition's share of the rows (twice as many values as partitions at most) is spread over all
+    partitions by the hash.
     """
     nulls = F.lit(0).cast("bigint")
     for i, c in enumerate(df.columns):
         nulls = nulls + F.when(F.col(f"`{c}`").isNull(), F.lit(1 << i % 62)).otherwise(0)
     cols = [F.col(f"`{c}`") for c in df.columns]
-    rows = df.select(*keep, F.xxhash64(nulls, *cols).alias("__h1"), F.xxhash64(*reversed(cols), nulls).alias("__h2"))
-    return rows.repartition(*[F.col(c) for c in spread], F.pmod("__h1", F.lit(salts))).dropDuplicates().select(*keep)
+    parts = shuffle_partitions(df.sparkSession)
+    sizes = df.groupBy(*spread).count()
+    rows = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = materialize(sizes.where(F.col("count") > rows / (2 * parts)).select(*[F.col(c).alias(f"__hot_{c}") for c in spread], F.lit(True).alias("__hot")), "hot")
+    out = df.select(*keep, F.xxhash64(nulls, *cols).alias("__h1"), F.xxhash64(*reversed(cols), nulls).alias("__h2"))
+    salt = F.lit(0).cast("bigint")
+    if not hot.isEmpty():
+        same = [F.col(c).eqNullSafe(F.col(f"__hot_{c}")) for c in spread]
+        out = out.join(F.broadcast(hot), same, "left")  # at most 2 * parts rows
+        salt = F.when(F.col("__hot"), F.pmod("__h1", F.lit(parts))).otherwise(0)
+    return out.repartition(*[F.col(c) for c in spread], salt).select(*keep, "__h1", "__h2").dropDuplicates().select(*keep)
 
 
 def spread(df: DataFrame) -> DataFrame:
