@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from lumenq.functions import metrics
 from lumenq.functions.metrics import EPS, block, parse
-from lumenq.operators.knn import check_k, top_k
+from lumenq.operators.knn import _queries, check_k, scan, top_k
 from lumenq.util import materialize
 
 SAMPLE = 65_536
@@ -134,13 +134,13 @@ def search(index: Cells, queries: DataFrame, k: int, *, nprobe: int = 8, per_cel
     the rows of a cell with the nearest routing codes only."""
     check_k(k)
     probes = _probes(index, queries, query_id, query_vector).where(F.col("order") <= nprobe)
+    if per_cell is None:
+        return top_k(_scan(index, queries, materialize(probes.select("query_id", "cell_id"), "probes"), k, query_id, query_vector, where), k)
     rows = index.records.where(where) if where is not None else index.records
-    rows = rows.select(F.col(index.id).alias("id"), F.col(index.vector).alias("__v"), "cell_id")
-    both = rows.join(probes, "cell_id")
-    if per_cell is not None:
-        gap = F.abs(routing_code(F.col("__v")) - routing_code(F.col("__q")))
-        w = Window.partitionBy("query_id", "cell_id").orderBy(gap, "id")
-        both = both.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_cell)
+    both = rows.select(F.col(index.id).alias("id"), F.col(index.vector).alias("__v"), "cell_id").join(probes, "cell_id")
+    gap = F.abs(routing_code(F.col("__v")) - routing_code(F.col("__q")))
+    w = Window.partitionBy("query_id", "cell_id").orderBy(gap, "id")
+    both = both.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_cell)
     return top_k(both.select("query_id", "id", metrics.distance(index.metric, F.col("__q"), F.col("__v")).alias("distance")), k)
 
 
@@ -161,17 +161,32 @@ def search_pruned(index: Cells, queries: DataFrame, k: int, *, query_id: str = "
     if not metrics.supports_centroid_bound(index.metric):
         raise ValueError(f"no bound for {index.metric}")
     probes = materialize(_probes(index, queries, query_id, query_vector).join(F.broadcast(index.stats), "cell_id"), "probes")
-    rows = index.records.select(F.col(index.id).alias("id"), F.col(index.vector).alias("__v"), "cell_id")
-
-    def hits(p: DataFrame) -> DataFrame:
-        both = rows.join(p.select("query_id", "__q", "cell_id"), "cell_id")
-        return top_k(both.select("query_id", "id", metrics.distance(index.metric, F.col("__q"), F.col("__v")).alias("distance")), k)
-
-    near = hits(probes.where(F.col("order") <= first))
+    first_cells = materialize(probes.where(F.col("order") <= first), "near-probes")
+    near = top_k(_scan(index, queries, first_cells, k, query_id, query_vector), k)
     tau = near.groupBy("query_id").agg(F.max("distance").alias("tau"), F.count("*").alias("have"))
     bound = lower_bound(index.metric, F.col("to_centre"), F.col("radius"))
     kept = probes.join(tau, "query_id", "left").where((F.coalesce("have", F.lit(0)) < k) | (bound <= F.col("tau") + 1e-9))
-    return hits(kept)
+    return top_k(_scan(index, queries, materialize(kept.select("query_id", "cell_id"), "kept-probes"), k, query_id, query_vector), k)
+
+
+def _scan(index: Cells, queries: DataFrame, probes: DataFrame, k: int, query_id: str, query_vector: str, where: Column | None = None) -> DataFrame:
+    """query_id, id, distance over the cells of probes (query_id, cell_id): the cells' files are read
+    once per block of queries, and each task sends k rows per query."""
+    rows = index.records.where(where) if where is not None else index.records
+    rows = rows.select(F.col(index.id).alias("id"), F.col(index.vector).alias("v"), "cell_id")
+    qkind = queries.schema[query_id].dataType
+    hits = None
+    for ids, q in _queries(queries, query_id, query_vector):
+        place = {i: n for n, i in enumerate(ids)}
+        probed = np.zeros((len(ids), len(index.centroids)), bool)
+        for r in probes.join(F.broadcast(queries.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("query_id", qkind)]))), "query_id").collect():
+            probed[place[r["query_id"]], r["cell_id"]] = True  # a bit per query of the block and cell
+        read = np.flatnonzero(probed.any(0)).tolist()
+        part = scan(rows.where(F.col("cell_id").isin(read)), ids, q, qkind, k, index.metric, probed)
+        hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        raise ValueError("no queries")
+    return hits
 
 
 def routing_code(vector: Column) -> Column:

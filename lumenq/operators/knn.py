@@ -52,23 +52,22 @@ def _queries(queries: DataFrame, query_id: str, vector: str) -> list[tuple[list,
     return out
 
 
-def _partial(ids: list, q: np.ndarray, k: int, metric: str, flush: int = 8192):
-    """mapInArrow: (id, vector) -> the task's k best (query number, id, distance)."""
-
-    def best(held: dict, ids_np: np.ndarray, d: np.ndarray) -> None:
-        m = min(k, d.shape[1])
-        part = np.partition(d, m - 1, axis=1)[:, m - 1]
-        for i in range(len(d)):
-            at = np.flatnonzero(d[i] <= part[i])
-            if i in held:
-                cid = np.concatenate([held[i][0], ids_np[at]])
-                cd = np.concatenate([held[i][1], d[i, at]])
-            else:
-                cid, cd = ids_np[at], d[i, at]
-            ok = ~np.isnan(cd)
-            cid, cd = cid[ok], cd[ok]
-            order = np.lexsort((cid, cd))[:k]
-            held[i] = (cid[order], cd[order])
+def _keep(held: dict, number: int, ids: np.ndarray, d: np.ndarray, k: int) -> None:
+    """Adds candidates to a query's k best (by distance, then id); NaN distances are none."""
+    ok = ~np.isnan(d)
+    ids, d = ids[ok], d[ok]
+    if len(d) > k:
+        at = d <= np.partition(d, k - 1)[k - 1]
+        ids, d = ids[at], d[at]
+    if number in held:
+        ids, d = np.concatenate([held[number][0], ids]), np.concatenate([held[number][1], d])
+    order = np.lexsort((ids, d))[:k]
+    held[number] = (ids[order], d[order])
+
+
+def _partial(q: np.ndarray, k: int, metric: str, probed: np.ndarray | None = None, flush: int = 8192):
+    """mapInArrow: (id, v[, cell_id]) -> the task's k best (query number, id, distance). probed tells
+    which cells a query is to see, as a matrix of queries by cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -81,12 +80,17 @@ def _partial(ids: list, q: np.ndarray, k: int, metric: str, flush: int = 8192):
                 continue
             x = pc.list_flatten(t["v"].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
             names = np.array(t["id"].to_pylist(), dtype=object if pa.types.is_string(kind) or pa.types.is_binary(kind) else None)
-            for lo in range(0, len(x), flush):
-                for qlo in range(0, len(q), 512):
-                    d = block(metric, q[qlo : qlo + 512], x[lo : lo + flush])
-                    sub = {i: held[qlo + i] for i in range(len(d)) if qlo + i in held}
-                    best(sub, names[lo : lo + flush], d)
-                    held.update({qlo + i: v for i, v in sub.items()})
+            if probed is None:
+                parts = [(np.arange(len(q)), np.arange(len(x)))]
+            else:
+                cell = t["cell_id"].to_numpy()
+                parts = [(np.flatnonzero(probed[:, c]), np.flatnonzero(cell == c)) for c in np.unique(cell)]
+            for asked, rows in parts:
+                for lo in range(0, len(rows), flush):
+                    for qlo in range(0, len(asked), 512):
+                        some, here = asked[qlo : qlo + 512], rows[lo : lo + flush]
+                        for number, d in zip(some.tolist(), block(metric, q[some], x[here])):
+                            _keep(held, number, names[here], d, k)
         if held:
             n = np.concatenate([np.full(len(v[0]), i) for i, v in held.items()])
             yield pa.RecordBatch.from_arrays(
@@ -97,6 +101,14 @@ def _partial(ids: list, q: np.ndarray, k: int, metric: str, flush: int = 8192):
     return run
 
 
+def scan(rows: DataFrame, ids: list, q: np.ndarray, qkind: T.DataType, k: int, metric: str, probed: np.ndarray | None = None) -> DataFrame:
+    """query_id, id, distance: every task's k best of a bounded block of queries over rows (id, v)."""
+    schema = T.StructType([T.StructField("n", T.IntegerType()), rows.schema["id"], T.StructField("distance", T.DoubleType())])
+    part = rows.mapInArrow(_partial(q, k, metric, probed), schema)
+    names = rows.sparkSession.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("n", T.IntegerType()), T.StructField("query_id", qkind)]))
+    return part.join(F.broadcast(names), "n").select("query_id", "id", "distance")  # one row per query of the block
+
+
 def search_batch(records: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", *, id: str = "id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "vector", where: Column | None = None) -> DataFrame:
     """The k nearest records of every query: query_id, rank (from 1), id, distance.
 
@@ -112,9 +124,7 @@ def search_batch(records: DataFrame, queries: DataFrame, k: int, metric: str = "
     kind, qkind = rows.schema["id"].dataType, queries.schema[query_id].dataType
     hits = None
     for ids, q in _queries(queries, query_id, query_vector):
-        part = rows.mapInArrow(_partial(ids, q, k, metric), T.StructType([T.StructField("n", T.IntegerType()), T.StructField("id", kind), T.StructField("distance", T.DoubleType())]))
-        names = spark.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("n", T.IntegerType()), T.StructField("query_id", qkind)]))
-        part = part.join(F.broadcast(names), "n").drop("n")  # one row per query of a bounded block
+        part = scan(rows, ids, q, qkind, k, metric)
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         return spark.createDataFrame([], T.StructType([T.StructField("query_id", qkind), T.StructField("rank", T.IntegerType()), T.StructField("id", kind), T.StructField("distance", T.DoubleType())]))
