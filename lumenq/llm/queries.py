@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenq.llm import clusters, enrichment, leakage, mixing, neighbours, quantiles, rankfusion, stuffing, terms, vectors
+from lumenq.operators import knn
 from lumenq.operators.versions import current_rows
 from lumenq.util import broadcast_if_small, distinct_projection, materialize
 
@@ -175,6 +179,26 @@ def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(_vectors(spark, sf), DIMS, k=5).withColumn("cosine", F.round("cosine", 6))
 
 
+@query()
+def p4_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of the five neighbours of one row in twenty (by hash of the id) against brute force
+    over all records, and with neighbours of equal cosine counted as equal."""
+    packed = vectors.packed_vectors(table(spark, sf, "records").where("id IS NOT NULL").select("id", "vector"), ["id"], "vector", DIMS)
+    rows = materialize(packed.distinct(), "unit-vectors")
+    near = neighbours.nearest(rows.select(F.lit("").alias("space"), "id", "vec"), DIMS, k=5)
+    unpack = F.pandas_udf(lambda v: pd.Series([np.frombuffer(x, np.float32) for x in v], dtype=object), T.ArrayType(T.FloatType()))
+    plain = rows.select("id", unpack("vec").alias("vector"))
+    asked = plain.where("pmod(xxhash64(id), 20) = 0").select(F.col("id").alias("query_id"), "vector")
+    exact = knn.search_batch(plain, asked, 6, "cosine").where("query_id <> id")
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    truth = exact.withColumn("n", F.row_number().over(w)).where("n <= 5").groupBy("query_id").agg(F.collect_set("id").alias("want"), F.max("distance").alias("last"))
+    got = near.groupBy(F.col("id").alias("query_id")).agg(F.collect_set("neighbour").alias("got"), F.collect_list("cosine").alias("cosines"))
+    both = truth.join(got, "query_id", "left")
+    hit = F.size(F.array_intersect("want", F.coalesce("got", F.array().cast("array<string>"))))
+    tied = F.size(F.filter("cosines", lambda c: c >= 1 - F.col("last") - 1e-6))
+    return both.agg(F.count("*").alias("queries"), F.round(F.avg(hit / F.size("want")), 4).alias("recall"), F.round(F.avg(F.least(tied / F.size("want"), F.lit(1.0))), 4).alias("tie_aware_recall"))
+
+
 # 5. Clusters
 
 
