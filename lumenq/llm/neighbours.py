@@ -125,8 +125,8 @@ def top_pairs(x: np.ndarray, q: np.ndarray | None, k: int, least: float, rot: np
 
 
 def _keep_k(i: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of each i: by similarity to 9 places, then id."""
-    order = np.lexsort((ids, -np.round(s, 9), i))
+    """Positions of the k best of each i: by similarity to 7 places (what float32 vectors hold), then id."""
+    order = np.lexsort((ids, -np.round(s, 7), i))
     first = np.r_[True, np.diff(i[order]) != 0] if len(order) else np.zeros(0, bool)
     start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else order
     return order[np.arange(len(order)) - start < k]
@@ -243,6 +243,6 @@ def nearest(
     heads = broadcast_if_small(first.where(F.col("n") <= k).select("space", "h", F.col("id").alias("neighbour")), 100_000)
     copied = rest.join(heads, ["space", "h"]).select("space", "id", "neighbour", F.lit(1.0).alias("cosine"))
     every = found.groupBy("space", "id", "neighbour").agg(F.max("cosine").alias("cosine"))
-    w = Window.partitionBy("space", "id").orderBy(F.round("cosine", 9).desc(), "neighbour")
+    w = Window.partitionBy("space", "id").orderBy(F.round("cosine", 7).desc(), "neighbour")
     best = every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
     return best.unionByName(copied)

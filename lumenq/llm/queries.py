@@ -127,7 +127,21 @@ def _run_and_conf(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return runs.select(*RUN, at.alias("p")), confs.select(*CONF, at.alias("p"))
 
 
-@query()
+P3_SQL = """m AS (
+  SELECT 'native_queries' AS source_table, run_id, CAST(cell_no AS VARCHAR) AS conf, unnest(['latency_ms', 'recall']) AS field,
+    unnest([CASE WHEN latency_ms >= 0 THEN latency_ms END, recall]) AS v FROM (SELECT DISTINCT * FROM native_queries)
+  UNION ALL SELECT 'load_samples', run_id, endpoint || ' ' || engine, 'recall_at_10', recall_at_10 FROM (SELECT DISTINCT * FROM load_samples)),
+u AS (SELECT * FROM m WHERE v IS NOT NULL AND NOT isnan(v)),
+r AS (SELECT source_table, run_id, conf, field, quantile_disc(v, [0.1, 0.5, 0.9]) AS p FROM u GROUP BY ALL),
+k AS (SELECT source_table, conf, field, quantile_disc(v, [0.1, 0.5, 0.9]) AS q FROM u GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {P3_SQL}, c AS (SELECT source_table, run_id, field, unnest([10, 50, 90]) AS pct,
+  unnest([field <> 'latency_ms' AND p[1] <= q[1] - 0.25, field = 'latency_ms' AND p[2] >= 1.5 * q[2], field = 'latency_ms' AND p[3] >= 1.5 * q[3]]) AS f
+  FROM r JOIN k USING (source_table, conf, field))
+SELECT source_table, run_id, field, CAST(pct AS INT) AS pct FROM c WHERE f"""
+)
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     runs, confs = _run_and_conf(spark, sf)
     both = runs.join(broadcast_if_small(materialize(confs.withColumnRenamed("p", "q"), "conf-percentiles"), 100_000), CONF)
@@ -163,7 +177,14 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.packed_vectors(records.unionByName(pinecone).where("id IS NOT NULL AND space IS NOT NULL"), ["space", "id"], "vector", DIMS)
 
 
-@query()
+@query(
+    """WITH r AS (SELECT DISTINCT 'records' AS s, '' AS ns, id, CAST(vector AS DOUBLE[]) AS v FROM records WHERE len(vector) = 64
+  UNION ALL SELECT DISTINCT 'pinecone_vectors', ns, id, CAST(vector_values AS DOUBLE[]) FROM pinecone_vectors WHERE len(vector_values) = 64),
+u AS (SELECT * FROM r WHERE id IS NOT NULL AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+c AS (SELECT a.s, a.ns, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.s = b.s AND a.ns = b.ns AND a.id <> b.id),
+t AS (SELECT *, row_number() OVER (PARTITION BY s, ns, a ORDER BY round(c, 7) DESC, b) AS rn FROM c)
+SELECT DISTINCT s AS source_table, least(a, b) AS id_a, greatest(a, b) AS id_b FROM t WHERE rn <= 5 AND c >= 0.75"""
+)
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     near = neighbours.nearest(_vectors(spark, sf), DIMS, k=5, least=0.75)
     return near.select(
@@ -236,7 +257,20 @@ def _enrichment(spark: SparkSession, sf: str, wanted: DataFrame) -> DataFrame:
     return enrichment.enrichment(current_text_rows(spark, sf), wanted, "index_name", "record_id", "terms", "term_id", "tf")
 
 
-@query()
+CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+
+
+@query(
+    f"""WITH {CURRENT_SQL}, K AS (SELECT index_name, term_id, CAST(sum(tf) AS DOUBLE) AS K FROM post GROUP BY ALL),
+M AS (SELECT index_name, CAST(sum(tf) AS DOUBLE) AS M FROM post GROUP BY ALL),
+n AS (SELECT index_name, record_id, CAST(sum(tf) AS DOUBLE) AS n FROM post GROUP BY ALL),
+w AS (SELECT DISTINCT record_id, index_name FROM term_probes),
+x AS (SELECT record_id, index_name, term_id, K, M, n, CAST(unnest(range(tf, CAST(least(n, K) AS BIGINT) + 1)) AS DOUBLE) AS x
+  FROM post JOIN w USING (record_id, index_name) JOIN K USING (index_name, term_id) JOIN M USING (index_name) JOIN n USING (index_name, record_id)),
+s AS (SELECT record_id, term_id, -ln(sum(exp({CHOOSE.format('K', 'x')} + {CHOOSE.format('(M - K)', '(n - x)')} - {CHOOSE.format('M', 'n')}))) AS surprise
+  FROM x WHERE n - x <= M - K GROUP BY ALL)
+SELECT record_id, term_id FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY round(surprise, 6) DESC, term_id) AS rn FROM s) WHERE rn = 1"""
+)
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     scored = _enrichment(spark, sf, table(spark, sf, "term_probes"))
     best = F.max_by("term", F.struct("score", "surprise", -F.col("term")))
@@ -267,7 +301,32 @@ def _fused(spark: SparkSession, sf: str) -> DataFrame:
     return rankfusion.aggregate_ranks(items, scores, "query_id", "id", "leg", "score", [*LEGS, "text"])
 
 
-@query()
+def _beta(k: int) -> str:
+    """SQL of P(Beta(k, 5 - k) <= r[k]) for four sorted ranks."""
+    terms_ = {1: [(1, 4), (2, 6), (3, 4), (4, 1)], 2: [(2, 6), (3, 4), (4, 1)], 3: [(3, 4), (4, 1)], 4: [(4, 1)]}[k]
+    return " + ".join([f"{c} * pow(r[{k}], {j}) * pow(1 - r[{k}], {4 - j})" for j, c in terms_])
+
+
+@query(
+    f"""WITH {CURRENT_SQL}, len AS (SELECT index_name, record_id, CAST(sum(tf) AS DOUBLE) AS dl FROM post GROUP BY ALL),
+st AS (SELECT index_name, CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM len GROUP BY ALL),
+df AS (SELECT index_name, term_id, CAST(count(*) AS DOUBLE) AS df FROM post GROUP BY ALL),
+c AS (SELECT DISTINCT query_id, id FROM query_matches WHERE query_id IS NOT NULL AND id IS NOT NULL),
+qt AS (SELECT DISTINCT query_id, unnest(query_terms) AS term_id FROM hybrid_queries),
+f AS (SELECT c.query_id, c.id, sum(ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf * CAST(2.2 AS DOUBLE)
+    / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl))) AS fit
+  FROM c JOIN qt USING (query_id) JOIN post ON post.record_id = c.id AND post.term_id = qt.term_id JOIN len USING (index_name, record_id)
+  JOIN st USING (index_name) JOIN df ON df.index_name = post.index_name AND df.term_id = post.term_id GROUP BY ALL),
+a AS (SELECT query_id, leg, id, min(score) AS score FROM query_matches WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL
+  UNION ALL SELECT query_id, 'text', id, -round(fit, 9) FROM f),
+k AS (SELECT query_id, leg, id, rank() OVER (PARTITION BY query_id, leg ORDER BY score) + (count(*) OVER (PARTITION BY query_id, leg, score) - 1) / CAST(2 AS DOUBLE) AS rank FROM a),
+z AS (SELECT query_id, CAST(count(*) AS DOUBLE) AS z FROM c GROUP BY ALL),
+v AS (SELECT c.query_id, c.id, list_sort([coalesce(min(rank) FILTER (leg = 'dense') / z, 1), coalesce(min(rank) FILTER (leg = 'sparse') / z, 1),
+    coalesce(min(rank) FILTER (leg = 'late_interaction') / z, 1), coalesce(min(rank) FILTER (leg = 'text') / z, 1)]) AS r
+  FROM c JOIN z USING (query_id) LEFT JOIN k USING (query_id, id) GROUP BY c.query_id, c.id, z),
+s AS (SELECT query_id, id, least(1, 4 * least({_beta(1)}, {_beta(2)}, {_beta(3)}, {_beta(4)})) AS sig, list_sum(r) AS total FROM v)
+SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sig, 12), round(total, 9), id) AS rn FROM s) WHERE rn = 1"""
+)
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     best = F.min_by("id", F.struct("significance", "mean_rank", "id"))
     return _fused(spark, sf).groupBy("query_id").agg(best.alias("id"))
