@@ -7,6 +7,11 @@ to four bits per dimension. Inner products are estimated from the packed bits by
 each with an error bound; only pairs whose upper bound reaches the k-th best lower bound are
 computed exactly. A cell over max_cell rows is worked on in tiles of blocks, so no task holds more
 than two blocks and every pair of the cell is still seen.
+
+What the cells find gives every vector a lower bound of its k-th best cosine. A second, exact pass
+follows in spaces of more than one cell: rows are grouped by their nearest centroid and the angle to
+it, and a row meets every group that by the triangle inequality may hold a pair as good as the bound
+of either side, so a dense cluster cut into many cells is still compared with itself as a whole.
 """
 
 from __future__ import annotations
@@ -188,6 +193,181 @@ def _place(index: Coarse, dims: int, margin: float, most: int):
     return run
 
 
+SLACK = np.float32(2e-6)  # of a float32 cosine
+TURN = 2e-3  # of an angle computed from one
+EDGES = np.deg2rad([20.0, 30.0, 40.0, 50.0, 60.0])  # a cell's rows are grouped by the angle to its centroid
+OUTER = 3  # groups from here on hold rows near no centroid; they come last
+
+
+def _homes(index: Coarse):
+    """mapInArrow: (space, id, vec, depth, tau) with the nearest cell, the angle to it and its shell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims = index.top.shape[1]
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if not t.num_rows:
+                continue
+            x, depth = matrix(t["vec"], dims), t["depth"].to_numpy()
+            cell, angle = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for d in np.unique(depth):
+                at = np.flatnonzero(depth == d)
+                c = index.top if d == 1 else index.leaf
+                for lo in range(0, len(at), 4096):
+                    rows = at[lo : lo + 4096]
+                    s = x[rows] @ c.T
+                    cell[rows] = s.argmax(axis=1)
+                    angle[rows] = np.arccos(np.clip(s.max(axis=1), -1, 1))
+            t = t.append_column("cell", pa.array(cell)).append_column("angle", pa.array(angle))
+            yield from t.append_column("shell", pa.array(np.searchsorted(EDGES, angle).astype(np.int32))).combine_chunks().to_batches()
+
+    return run
+
+
+class Blocks:
+    """The groups of one space, in blocks of about max_cell rows; a larger group has several blocks."""
+
+    def __init__(self, groups: list, max_cell: int):
+        groups = sorted(groups, key=lambda g: (g["shell"] >= OUTER, g["cell"], g["shell"]))
+        self.depth = groups[0]["depth"]
+        self.cell, self.lo, self.hi, self.tau = (np.array([g[c] for g in groups]) for c in ("cell", "lo", "hi", "tau"))
+        self.at = {(g["cell"], g["shell"]): i for i, g in enumerate(groups)}
+        first, parts, block, held = [], [], -1, max_cell
+        for g in groups:
+            n = -(-g["n"] // max_cell)
+            if held + g["n"] > max_cell:
+                block, held = block + 1, 0
+            first.append(block)
+            parts.append(n)
+            held += g["n"]
+            block += n - 1
+        self.first, self.parts = np.array(first), np.array(parts)
+        self.starts = np.flatnonzero(np.r_[True, np.diff(self.first) != 0])
+        self.wide = self.parts[self.starts]
+
+    def own(self, cell: np.ndarray, shell: np.ndarray, h: np.ndarray) -> np.ndarray:
+        g = np.array([self.at[k] for k in zip(cell.tolist(), shell.tolist())])
+        return self.first[g] + h % self.parts[g]
+
+    def visits(self, x: np.ndarray, tau: np.ndarray, own: np.ndarray, index: Coarse) -> tuple[np.ndarray, np.ndarray]:
+        """(row, block): the blocks before its own with a group that may hold a pair of a cosine that
+        is enough for the row or for a row of the group."""
+        c = index.top if self.depth == 1 else index.leaf
+        rows, blocks = [], []
+        for lo in range(0, len(x), 512):
+            a = np.arccos(np.clip(x[lo : lo + 512] @ c.T, -1, 1))[:, self.cell]
+            gap = np.maximum(np.maximum(a - self.hi, self.lo - a) - TURN, 0)
+            far = np.arccos(np.clip(np.minimum(tau[lo : lo + 512, None], self.tau) - 1e-5, -1, 1))
+            reach = np.logical_or.reduceat(gap <= far, self.starts, axis=1)
+            reach = np.repeat(reach, self.wide, axis=1)
+            r, b = np.nonzero(reach & (np.arange(reach.shape[1]) < own[lo : lo + 512, None]))
+            rows.append(r + lo)
+            blocks.append(b)
+        return np.concatenate(rows), np.concatenate(blocks)
+
+
+def _visits(index: Coarse, plan: dict[str, Blocks], chunks: dict | None):
+    """mapInArrow over homes. Without chunks: space, block and how many rows visit it. With them: the
+    rows themselves (side 0 at home, once per chunk of visitors; side 1 on a visit)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims = index.top.shape[1]
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            spaces = np.array(t["space"].to_pylist(), dtype=object)
+            for space in dict.fromkeys(spaces.tolist()):
+                u = t.filter(pa.array(spaces == space))
+                h = u["h"].to_numpy()
+                own = plan[space].own(u["cell"].to_numpy(), u["shell"].to_numpy(), h)
+                r, to = plan[space].visits(matrix(u["vec"], dims), u["tau"].to_numpy(), own, index)
+                if chunks is None:
+                    at, n = np.unique(to, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([space] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], names=["space", "block", "n"])
+                    continue
+                home = np.array([chunks.get((space, o), 1) for o in own.tolist()])
+                away = np.array([chunks[space, o] for o in to.tolist()], np.int64)
+                stay = np.repeat(np.arange(len(own)), home)
+                part = np.concatenate([np.arange(len(stay)) - np.repeat(np.cumsum(home) - home, home), h[r] % away])
+                v = u.select(["space", "id", "vec", "tau"]).take(pa.array(np.concatenate([stay, r])))
+                side = np.r_[np.zeros(len(stay), np.int32), np.ones(len(r), np.int32)]
+                v = v.append_column("block", pa.array(np.concatenate([own[stay], to]).astype(np.int64))).append_column("part", pa.array(part.astype(np.int64)))
+                yield from v.append_column("side", pa.array(side)).combine_chunks().to_batches()
+
+    return run
+
+
+def exact_pairs(q: np.ndarray, tq: np.ndarray, x: np.ndarray, tx: np.ndarray, most: int, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, stored row, cosine, side): pairs of a cosine of at least tq of the query (side 0) or
+    tx of the stored row (side 1); at least the `most` best of a row where it has more. With own, q is x."""
+    out = []
+    for lo in range(0, len(q), CHUNK):
+        s = q[lo : lo + CHUNK] @ x.T
+        if own:
+            s[np.arange(len(s)), lo + np.arange(len(s))] = -9
+        for side in (0,) if own else (0, 1):
+            hit = s >= (tx[None, :] if side else tq[lo : lo + CHUNK, None]).astype(np.float32) - SLACK
+            i, j = np.nonzero(hit)
+            many = np.flatnonzero(np.bincount(j if side else i, minlength=1) > 4 * most)
+            for m in many:
+                line, mask = (s[:, m], hit[:, m]) if side else (s[m], hit[m])
+                mask &= line >= np.partition(line, len(line) - most)[len(line) - most] - SLACK
+            if len(many):
+                i, j = np.nonzero(hit)
+            i = i + lo
+            cos = np.einsum("ij,ij->i", q[i].astype(np.float64), x[j].astype(np.float64))
+            out.append((i, j, cos, np.full(len(i), side)))
+    return tuple(np.concatenate(z) for z in zip(*out))  # type: ignore[return-value]
+
+
+def _meet(dims: int, k: int, least: float):
+    """applyInArrow over a block and a chunk of its visitors: the pairs that may still be among the k best."""
+
+    def run(t: pa.Table) -> pa.Table:
+        space = t["space"][0].as_py()
+        names, code = np.unique(np.array(t["id"].to_pylist(), dtype=object).astype(str), return_inverse=True)
+        x, tau, side = matrix(t["vec"], dims), t["tau"].to_numpy(), t["side"].to_numpy()
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        most = (k + 1) * int(np.bincount(code).max())
+        found = []
+        if len(a) and t["part"][0].as_py() == 0:
+            i, j, s, _ = exact_pairs(x[a], tau[a], x[a], tau[a], most, own=True)
+            found.append((code[a[i]], code[a[j]], s))
+        if len(a) and len(b):
+            i, j, s, to = exact_pairs(x[b], tau[b], x[a], tau[a], most)
+            i, j = code[b[i]], code[a[j]]
+            found.append((np.where(to == 0, i, j), np.where(to == 0, j, i), s))
+        i, j, s = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        good = np.flatnonzero((i != j) & (s >= least))
+        good = good[np.argsort(-s[good], kind="stable")]
+        good = good[np.unique(i[good] * len(names) + j[good], return_index=True)[1]]
+        i, j, s = i[good], j[good], s[good]
+        pick = _keep_k(i, j, s, k)  # names are sorted, so their codes are in the order of ids
+        i, j, s = i[pick], j[pick], s[pick]
+        return pa.table({"space": pa.array([space] * len(i), pa.string()), "id": pa.array(names[i].tolist(), pa.string()), "neighbour": pa.array(names[j].tolist(), pa.string()), "cosine": pa.array(s, pa.float64())})
+
+    return run
+
+
+def _rest(work: DataFrame, best: DataFrame, index: Coarse, dims: int, k: int, least: float, max_cell: int) -> DataFrame:
+    """Pairs of work (space, id, vec, depth) that its cells do not show and that may be among the k best,
+    given the best of the cells."""
+    work = work.where("depth > 0")
+    tau = best.groupBy("space", "id").agg(F.when(F.count("*") >= k, F.greatest(F.min("cosine"), F.lit(least))).otherwise(F.lit(least)).alias("tau"))
+    rows = work.join(tau, ["space", "id"], "left").dropDuplicates(["space", "id", "vec"])
+    rows = rows.select("space", "id", "vec", "depth", F.coalesce("tau", F.lit(float(least))).alias("tau"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h"))
+    homes = rows.mapInArrow(_homes(index), "space string, id string, vec binary, depth int, tau double, h bigint, cell bigint, angle double, shell int")
+    homes = materialize(homes, "homes")
+    groups = homes.groupBy("space", "depth", "cell", "shell").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.min("tau").alias("tau"))
+    by_space: dict[str, list] = {}
+    for g in groups.collect():
+        by_space.setdefault(g["space"], []).append(g)
+    plan = {s: Blocks(g, max_cell) for s, g in by_space.items()}
+    counts = homes.mapInArrow(_visits(index, plan, None), "space string, block bigint, n bigint").groupBy("space", "block").agg(F.sum("n").alias("n"))
+    chunks = {(r["space"], r["block"]): -(-r["n"] // (2 * max_cell)) for r in counts.collect()}
+    sent = homes.mapInArrow(_visits(index, plan, chunks), "space string, id string, vec binary, tau double, block bigint, part bigint, side int")
+    return sent.groupBy("space", "block", "part").applyInArrow(_meet(dims, k, least), OUT)
+
+
 def nearest(
     vectors: DataFrame,
     dims: int,
@@ -204,7 +384,8 @@ def nearest(
     vectors: space, id (strings, not null), vec (unit float32 bytes; packed_vectors). Ties go to the smaller id.
     Repeated rows count once; an id with several vectors takes part with each, never with itself.
     least leaves out neighbours of a smaller cosine. Spaces of up to 2 * per_cell rows are one cell;
-    larger ones use the coarse index, fitted on at most 32768 vectors, which every row is placed by.
+    larger ones use the coarse index, fitted on at most 32768 vectors, which every row is placed by;
+    margin and most only say how much the first pass sees, the second one makes up for the rest.
     Of more than 32 equal vectors the first k + 1 ids stand for all: no other copy can be a
     neighbour of anything, and the other copies have the first k as their own neighbours.
     """
@@ -242,7 +423,15 @@ def nearest(
     rest = copies.join(heads.select("space", "h", "id"), ["space", "h", "id"], "left_anti").select("space", "h", "id")
     heads = broadcast_if_small(first.where(F.col("n") <= k).select("space", "h", F.col("id").alias("neighbour")), 100_000)
     copied = rest.join(heads, ["space", "h"]).select("space", "id", "neighbour", F.lit(1.0).alias("cosine"))
+    best = _best(found, k)
+    if not one.where("depth > 0").isEmpty():
+        best = materialize(best, "best-of-cells")
+        more = _rest(work, best, index, dims, k, least, max_cell)
+        best = _best(best.unionByName(more), k)
+    return best.unionByName(copied)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     every = found.groupBy("space", "id", "neighbour").agg(F.max("cosine").alias("cosine"))
     w = Window.partitionBy("space", "id").orderBy(F.round("cosine", 7).desc(), "neighbour")
-    best = every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
-    return best.unionByName(copied)
+    return every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")

@@ -54,6 +54,22 @@ def test_index_recall(spark):
     assert len(got & want) / len(want) >= 0.95
 
 
+@pytest.mark.parametrize("least", [-2.0, 0.75])
+def test_dense_cluster_over_many_cells(spark, least):
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((20, 64))
+    rows = [("s", f"d{n:04}", centres[0] + 0.4 * rng.standard_normal(64)) for n in range(1000)]
+    rows += [("s", f"i{n:04}", centres[n % 20] + 0.4 * rng.standard_normal(64)) for n in range(1700)]
+    rows += [("s", f"n{n:04}", rng.standard_normal(64)) for n in range(300)]
+    packed = vectors.packed_vectors(frame(spark, rows), ["space", "id"], "vector", 64)
+    got = {(r["id"], r["neighbour"]) for r in neighbours.nearest(packed, 64, k=5, least=least, per_cell=50, max_cell=200).collect()}
+    x = np.array([unit(np.float32(v)) for *_, v in rows]).astype(np.float64)
+    s = x @ x.T
+    np.fill_diagonal(s, -3)
+    want = {(rows[i][1], rows[j][1]) for i in range(len(x)) for j in np.argsort(-s[i])[:5] if s[i, j] >= least}
+    assert got == want
+
+
 def test_many_copies(spark):
     rng = np.random.default_rng(8)
     same, other = rng.standard_normal(64), rng.standard_normal(64)
