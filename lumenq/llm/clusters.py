@@ -5,6 +5,8 @@ size, with its sign. MinHash bands over the set propose candidates, the exact Ja
 the two sets verifies them, connected components of the verified links form groups. A group whose
 members don't all lie near its medoid of highest degree is loose: it is split around that medoid,
 and what is left around the next, until all is tight. Vectors are then assigned to the mean directions.
+Among those in no cluster yet, small and loose clusters are found by exact neighbours; then all vectors are
+assigned to the means anew.
 
 Within a bucket a row is compared with the bucket's leaders, not with every other row. Buckets are
 reduced to their leaders inside each task before the shuffle, so a bucket that holds a large share
@@ -309,6 +311,8 @@ def assign(rows: DataFrame, means: DataFrame, dims: int, *, near: float, block:
     cell's means.
     """
     few = means.limit(MEANS_AT_ONCE + 1).select("grp", "mean").collect()
+    if not few:
+        return rows.sparkSession.createDataFrame([], "nid bigint, grp bigint, cos double")
     if len(few) <= MEANS_AT_ONCE:
         few.sort(key=lambda r: r["grp"])
         grp = np.array([r["grp"] for r in few], np.int64)
@@ -350,6 +354,50 @@ def assign(rows: DataFrame, means: DataFrame, dims: int, *, near: float, block:
     return found.groupBy("nid").agg(F.max_by("grp", F.struct("cos", "grp")).alias("grp"), F.max("cos").alias("cos"))
 
 
+def joined_means(rows: DataFrame, dims: int, *, least: int, same: float, k: int) -> DataFrame:
+    """grp, mean, n: the mean directions of the groups of at least `least` rows (nid, grp, vec), groups
+    whose means have a cosine of same or more as one."""
+    means = materialize(mean_directions(rows, "grp", dims).where(F.col("n") >= least), "means")
+    alike = nearest(means.select(F.lit("").alias("space"), F.col("grp").cast("string").alias("id"), F.col("mean").alias("vec")), dims, k=k, least=same)
+    alike = materialize(alike.select(F.col("id").cast("bigint").alias("a"), F.col("neighbour").cast("bigint").alias("b")), "alike")
+    if alike.isEmpty():
+        return means
+    joined = connected_components(alike, "a", "b").withColumnRenamed("node", "grp")
+    rows = rows.join(broadcast_if_small(joined, 100_000), "grp", "left").select(F.coalesce("component", "grp").alias("grp"), "vec")
+    return materialize(mean_directions(rows, "grp", dims).where(F.col("n") >= least), "means")
+
+
+def members_of(rows: DataFrame, means: DataFrame, dims: int, *, near: float) -> DataFrame:
+    """The rows (nid, vec and others) within near of a mean, with grp of the nearest."""
+    return materialize(assign(rows, means, dims, near=near).select("nid", "grp").join(rows, "nid"), "members")
+
+
+def loose_groups(left: DataFrame, dims: int, *, size: int, near: float, apart: float, same: float) -> DataFrame:
+    """nid, grp, vec: groups among rows in no group of size yet (nid, vec), too small or too loose for the bands.
+
+    In a cluster of size or more members, each of a cosine of near or more to the mean, a member's
+    cosines to all n members add up to n * near^2 at least, so those to its size - 1 nearest others
+    reach size * near^2 - 1, and none of them is under 2 * near^2 - 1. Every row that meets this is
+    the seed of a group with these neighbours; groups of the same direction are one, and are drawn
+    together around their means. grp is negative, so it is none of the other groups'.
+    """
+    shape = left.select("nid", F.lit(0).cast("bigint").alias("grp"), "vec")
+    left = materialize(left.select("nid", "vec"), "left")
+    named = left.select(F.lit("").alias("space"), F.col("nid").cast("string").alias("id"), "vec")
+    pairs = nearest(named, dims, k=size - 1, least=2 * near**2 - 1).select(F.col("id").cast("bigint").alias("grp"), F.col("neighbour").cast("bigint").alias("nid"), "cosine")
+    pairs = materialize(pairs, "near-left")
+    seeds = pairs.groupBy("grp").agg(F.count("*").alias("n"), F.sum("cosine").alias("total"))
+    seeds = materialize(seeds.where((F.col("n") == size - 1) & (F.col("total") >= size * near**2 - 1 - 1e-5)).select("grp"), "seeds")
+    if seeds.isEmpty():
+        return shape.limit(0)
+    held = pairs.select("grp", "nid").join(seeds, "grp", "left_semi").unionByName(seeds.select("grp", F.col("grp").alias("nid")))
+    held = held.join(left, "nid").select("nid", (-1 - F.col("grp")).alias("grp"), "vec")
+    for limit in (apart, near):
+        means = joined_means(held, dims, least=size, same=same, k=size)
+        held = members_of(left, means, dims, near=limit).select("nid", "grp", "vec")
+    return held
+
+
 CLUSTERS = "id string, cluster bigint, cosine double"
 
 
@@ -363,7 +411,8 @@ def similarity_clusters(
     has several; null ids are left out. Links are verified at a Jaccard similarity of least; groups
     whose mean directions have a cosine of same or more are one (links that no band proposed).
     Every vector with a cosine of near or more to a mean direction belongs to the nearest; clusters
-    under size members and records near no cluster are left out. Empty input gives no rows.
+    under size members and records near no cluster are left out. Empty input gives no rows. The means
+    are those of the bands' groups and of loose_groups; both are drawn from the rows they gather.
     """
     spark = vectors.sparkSession
     once = vectors.where("id IS NOT NULL").groupBy("id").agg(F.min("vec").alias("vec"))
@@ -376,17 +425,13 @@ def similarity_clusters(
     kept = groups.groupBy("grp").count().where(F.col("count") >= half).select("grp")
     grouped = groups.join(kept, "grp", "left_semi").join(base.select("nid", "vec"), "nid")
     tight = materialize(split_loose(grouped, near=apart, size=half), "tight")
-    means = materialize(mean_directions(tight, "grp", dims).where(F.col("n") >= half), "means")
-    if means.isEmpty():
-        return spark.createDataFrame([], CLUSTERS)
-    alike = nearest(means.select(F.lit("").alias("space"), F.col("grp").cast("string").alias("id"), F.col("mean").alias("vec")), dims, k=size, least=same)
-    alike = materialize(alike.select(F.col("id").cast("bigint").alias("a"), F.col("neighbour").cast("bigint").alias("b")), "alike")
-    if not alike.isEmpty():
-        joined = connected_components(alike, "a", "b").withColumnRenamed("node", "grp")
-        tight = tight.join(broadcast_if_small(joined, 100_000), "grp", "left").select("nid", F.coalesce("component", "grp").alias("grp"), "vec")
-        means = materialize(mean_directions(tight, "grp", dims), "means")
-    first = assign(base, means, dims, near=near)
-    members = materialize(first.join(base, "nid").select("nid", "id", "grp", "vec"), "members")
+    means = joined_means(tight, dims, least=half, same=same, k=size)
+    seen = members_of(base, means, dims, near=near)
+    large = seen.groupBy("grp").count().where(F.col("count") >= size).select("grp")
+    left = base.join(seen.join(large, "grp", "left_semi").select("nid"), "nid", "left_anti")  # what is seen of a cluster may be too few of it
+    loose = loose_groups(left, dims, size=size, near=near, apart=apart, same=same)
+    means = joined_means(seen.select("nid", "grp", "vec").unionByName(loose), dims, least=half, same=same, k=size)
+    members = members_of(base, means, dims, near=near)
     final = mean_directions(members, "grp", dims).where(F.col("n") >= size)
     final = broadcast_if_small(materialize(final, "means"), 20_000)
     out = members.join(final, "grp").withColumn("cosine", cosine("vec", "mean")).where(F.col("cosine") >= near)

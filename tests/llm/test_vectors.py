@@ -127,6 +127,31 @@ def test_clusters(spark):
     assert len(got) == 60 + 30 + 12 + 8 + 40
 
 
+def loose_cluster(rng, n, lo, hi):
+    """n unit rows of cosines lo to hi to their centre."""
+    c = unit(rng.standard_normal(64))
+    z = rng.standard_normal((n, 64))
+    z -= np.outer(z @ c, c)
+    z -= z.mean(0)
+    t = rng.uniform(lo, hi, n)[:, None]
+    return (t * c + np.sqrt(1 - t * t) * z / np.linalg.norm(z, axis=1)[:, None]).astype(np.float32)
+
+
+def test_small_loose_clusters(spark):
+    rng = np.random.default_rng(21)
+    rows = [(f"c{c:02}-{n}", v) for c in range(30) for n, v in enumerate(loose_cluster(rng, 8, 0.80, 0.85))]
+    rows += [(f"d-{n:02}", v) for n, v in enumerate(loose_cluster(rng, 60, 0.80, 0.95))]
+    rows += [(f"noise{n}", unit(rng.standard_normal(64))) for n in range(300)]
+    df = spark.createDataFrame([(i, v.tobytes()) for i, v in rows], "id string, vec binary")
+    groups = {}
+    for r in clusters.similarity_clusters(df, 64).collect():
+        groups.setdefault(r["cluster"], []).append(r["id"])
+    want = {}
+    for i, _ in rows[:300]:
+        want.setdefault(i.split("-")[0], []).append(i)
+    assert sorted(sorted(g) for g in groups.values()) == sorted(want.values())
+
+
 def test_leader_links():
     key = np.array([1, 1, 1, 2, 2])
     sets = np.array([[1, 2], [1, 2], [9, 9], [1, 2], [1, 3]], np.uint8)
