@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lumenq.llm.graph import connected_components
 from lumenq.llm.neighbours import nearest, rotation
-from lumenq.llm.vectors import Coarse, matrix, sample_matrix
+from lumenq.llm.vectors import matrix
 from lumenq.util import broadcast_if_small, materialize
 
 FEATURES = 64
@@ -274,51 +274,28 @@ def split_loose(grouped: DataFrame, *, near: float, size: int) -> DataFrame:
             return tight
 
 
-def _assign(dims: int, near: float):
-    """applyInArrow over a cell: records and cluster means -> (nid, grp, cos) of means near enough."""
-
-    def run(t: pa.Table) -> pa.Table:
-        x = matrix(t["vec"], dims)
-        grp = t["grp"].to_numpy(zero_copy_only=False)
-        nid = t["nid"].to_numpy(zero_copy_only=False)
-        is_mean = ~np.isnan(grp.astype(float))
-        a, c = np.flatnonzero(~is_mean), np.flatnonzero(is_mean)
-        out_n, out_g, out_c = [], [], []
-        if len(a) and len(c):
-            for lo in range(0, len(a), 8192):
-                s = x[a[lo : lo + 8192]] @ x[c].T
-                best = s.argmax(axis=1)
-                v = s[np.arange(len(s)), best]
-                ok = v >= near
-                out_n.append(nid[a[lo : lo + 8192]][ok])
-                out_g.append(grp[c[best]][ok])
-                out_c.append(v[ok])
-        cat = lambda z, kind: pa.array(np.concatenate(z) if z else np.zeros(0), kind)
-        return pa.table({"nid": cat([z.astype(np.int64) for z in out_n], pa.int64()), "grp": cat([z.astype(np.int64) for z in out_g], pa.int64()), "cos": cat([z.astype(np.float64) for z in out_c], pa.float64())})
-
-    return run
-
-
 MEANS_AT_ONCE = 16_384
 
 
-def assign(rows: DataFrame, means: DataFrame, dims: int, *, near: float, block: int = 8192) -> DataFrame:
-    """nid, grp, cos: for every row the mean of largest cosine, where it is near or more.
+def assign(rows: DataFrame, means: DataFrame, dims: int, *, near: float) -> DataFrame:
+    """nid, grp, cos: for every row the mean of largest cosine, where it is near or more; of equal
+    ones the smallest grp.
 
-    rows: nid, vec; means: grp, mean. Up to MEANS_AT_ONCE means (4 MB at 64 dimensions) go to every
-    task and the result is exact. More are placed with the rows in the cells of a coarse index, near
-    a border in several; a cell's rows are worked on in blocks of about `block` rows, each with the
-    cell's means.
+    rows: nid, vec; means: grp, mean. The means go to the tasks in blocks of about MEANS_AT_ONCE (4 MB
+    at 64 dimensions), with a pass over the rows each; a row's best over the blocks counts.
     """
-    few = means.limit(MEANS_AT_ONCE + 1).select("grp", "mean").collect()
-    if not few:
-        return rows.sparkSession.createDataFrame([], "nid bigint, grp bigint, cos double")
-    if len(few) <= MEANS_AT_ONCE:
+    blocks = -(-means.count() // MEANS_AT_ONCE)
+    shape = "nid bigint, grp bigint, cos double"
+    found: DataFrame | None = None
+    for k in range(blocks):
+        few = means.where(F.pmod(F.xxhash64("grp"), F.lit(blocks)) == k).select("grp", "mean").collect()
+        if not few:
+            continue
         few.sort(key=lambda r: r["grp"])
         grp = np.array([r["grp"] for r in few], np.int64)
         c = np.frombuffer(b"".join(bytes(r["mean"]) for r in few), np.float32).reshape(-1, dims)
 
-        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def every(batches: Iterator[pa.RecordBatch], grp: np.ndarray = grp, c: np.ndarray = c) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = matrix(b.column(1), dims)
                 for lo in range(0, len(x), 1024):
@@ -328,30 +305,13 @@ def assign(rows: DataFrame, means: DataFrame, dims: int, *, near: float, block:
                     ok = np.flatnonzero(v >= near)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok + lo)), pa.array(grp[best[ok]]), pa.array(v[ok].astype(np.float64))], names=["nid", "grp", "cos"])
 
-        return rows.select("nid", "vec").mapInArrow(every, "nid bigint, grp bigint, cos double")
-    placed = rows.select(F.lit("").alias("space"), F.col("nid").cast("string").alias("id"), "vec")
-    count = rows.count()
-    index = Coarse(sample_matrix(placed, dims, count), count, 4000)
-
-    def place(margin: float, most: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                t = pa.Table.from_batches([b])
-                if t.num_rows:
-                    r, c = index.cells(matrix(t["vec"], dims), 2, margin, most)
-                    yield from t.take(pa.array(r)).append_column("cell", pa.array(c)).combine_chunks().to_batches()
-
-        return run
-
-    shape = "nid bigint, grp bigint, vec binary, cell bigint"
-    null = F.lit(None).cast("bigint")
-    r = rows.select("nid", null.alias("grp"), "vec").mapInArrow(place(0.15, 2), shape)
-    m = means.select(null.alias("nid"), "grp", F.col("mean").alias("vec")).mapInArrow(place(0.4, 4), shape)
-    sizes = F.broadcast(materialize(r.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("bigint").alias("blocks")), "cells"))  # at most 64 * 64 rows
-    r = r.join(sizes, "cell").select("nid", "grp", "vec", "cell", F.pmod("nid", "blocks").alias("part"))
-    m = m.join(sizes, "cell").select("nid", "grp", "vec", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
-    found = r.unionByName(m).groupBy("cell", "part").applyInArrow(_assign(dims, near), "nid bigint, grp bigint, cos double")
-    return found.groupBy("nid").agg(F.max_by("grp", F.struct("cos", "grp")).alias("grp"), F.max("cos").alias("cos"))
+        part = rows.select("nid", "vec").mapInArrow(every, shape)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], shape)
+    if blocks == 1:
+        return found
+    return found.groupBy("nid").agg(F.max_by("grp", F.struct("cos", -F.col("grp"))).alias("grp"), F.max("cos").alias("cos"))
 
 
 def joined_means(rows: DataFrame, dims: int, *, least: int, same: float, k: int) -> DataFrame:

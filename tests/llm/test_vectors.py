@@ -152,6 +152,17 @@ def test_small_loose_clusters(spark):
     assert sorted(sorted(g) for g in groups.values()) == sorted(want.values())
 
 
+def test_assign_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    groups = [loose_cluster(rng, 8, 0.78, 0.79) for _ in range(400)]
+    rows = spark.createDataFrame([(8 * g + n, v.tobytes()) for g, x in enumerate(groups) for n, v in enumerate(x)], "nid bigint, vec binary")
+    means = spark.createDataFrame([(g, unit(x.sum(0)).tobytes()) for g, x in enumerate(groups)], "grp bigint, mean binary")
+    for most in (500, 70):
+        monkeypatch.setattr(clusters, "MEANS_AT_ONCE", most)
+        got = sorted((r["nid"], r["grp"]) for r in clusters.assign(rows, means, 64, near=0.74).collect())
+        assert got == [(i, i // 8) for i in range(3200)]
+
+
 def test_leader_links():
     key = np.array([1, 1, 1, 2, 2])
     sets = np.array([[1, 2], [1, 2], [9, 9], [1, 2], [1, 3]], np.uint8)
