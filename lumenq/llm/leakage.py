@@ -28,6 +28,7 @@ from lumenq.util import spread
 
 SHINGLE = 5
 WINDOW = 14
+STOCK = 3  # items that share a stock shingle
 SPREAD = 4  # bins per shingle of the class's upper size
 TAG = re.compile(r"<[^<>]{0,200}>")
 WORD = re.compile(r"[^\W_]+")
@@ -134,17 +135,23 @@ def holds_passage(item: np.ndarray, doc: np.ndarray) -> bool:
 
 
 class Items:
-    """The searched items: words, shingles with positions, and the windows' minima by size class."""
-
-    def __init__(self, rows: list[tuple[object, str]], stock_items: int = 3):
-        self.ids = [i for i, _ in rows]
-        self.words = [word_ids(words(t)) for _, t in rows]
+    """The searched items: words, shingles with positions, and the windows' minima by size class.
+    Items of the same words are one with several ids. stock names the stock shingles where rows are
+    not all items."""
+
+    def __init__(self, rows: list[tuple[object, str]], stock_items: int = STOCK, stock: set[int] | None = None):
+        same: dict[tuple[str, ...], list[object]] = {}
+        for i, t in rows:
+            same.setdefault(tuple(words(t)), []).append(i)
+        self.ids = list(same.values())
+        self.words = [word_ids(list(w)) for w in same]
         per = [shingles(w) for w in self.words]
-        seen: dict[int, int] = defaultdict(int)
-        for h in per:
-            for x in np.unique(h).tolist():
-                seen[x] += 1
-        stock = {x for x, n in seen.items() if n >= stock_items}
+        if stock is None:
+            seen: dict[int, int] = defaultdict(int)
+            for h in per:
+                for x in np.unique(h).tolist():
+                    seen[x] += 1
+            stock = {x for x, n in seen.items() if n >= stock_items}
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.windows: list[np.ndarray] = []
         for k, h in enumerate(per):
@@ -203,12 +210,28 @@ class Items:
         return sorted(out)
 
 
+def stock_shingles(wanted: DataFrame) -> set[int]:
+    """The shingles that stand in STOCK or more different items; wanted: i, t."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                w = words(text)
+                h = np.unique(shingles(word_ids(w))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([" ".join(w)] * len(h), pa.string()), pa.array(h)], names=["w", "h"])
+
+    each = wanted.select("t").distinct().mapInArrow(run, "w string, h bigint").select(F.xxhash64("w").alias("w"), "h").distinct()
+    got = each.groupBy("h").count().where(F.col("count") >= STOCK).select("h").collect()
+    return set(np.array([r["h"] for r in got], np.int64).view(np.uint64).tolist())
+
+
 def leaked(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", item_text: str = "text", *, block_chars: int = 20_000_000) -> DataFrame:
     """doc, item: every document that holds a passage of an item.
 
     A passage is WINDOW successive words of the item or more, whatever the case, punctuation,
     spacing and markup, with about one word in ten changed, missing or added at most. Shingles that
-    stand in three or more items are stock and match nothing. Null and empty texts hold nothing;
+    stand in three or more items are stock and match nothing, counted over all items; items of the
+    same words count as one, and each of their ids is given. Null and empty texts hold nothing;
     repeated rows give one row; texts are searched whole. Items go to every task in blocks of at
     most block_chars characters; more items mean more passes over the documents, nothing is shuffled.
     """
@@ -216,6 +239,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "
     chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
     out = T.StructType([T.StructField(doc, docs.schema[doc].dataType), T.StructField(item, items.schema[item].dataType)])
     blocks = max(1, -(-chars // block_chars))
+    stock = stock_shingles(wanted) if blocks > 1 else None
     result = None
     for k in range(blocks):
         rows = sorted((r["i"], r["t"]) for r in wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect())
@@ -224,15 +248,15 @@ def leaked(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "
         def run(batches: Iterator[pa.RecordBatch], rows: list = rows) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
 
-            search = Items(rows)
+            search = Items(rows, stock=stock)
             for b in batches:
                 ids, texts = b.column(0), b.column(1)
                 at, found = [], []
                 for n in range(b.num_rows):
                     value = texts[n].as_py()
                     for k2 in search.found_in(value) if value else ():
-                        at.append(n)
-                        found.append(search.ids[k2])
+                        at += [n] * len(search.ids[k2])
+                        found += search.ids[k2]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(found, to_arrow_type(kind))], names=[doc, item])
 
         part = spread(docs.select(doc, text).where(F.col(doc).isNotNull() & F.col(text).isNotNull())).mapInArrow(run, out)

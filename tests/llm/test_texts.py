@@ -134,3 +134,14 @@ def test_pages(spark):
     got = {r["doc_id"]: r["stuffed"] for r in stuffing.page_scores(df, "doc_id", "text").collect()}
     assert {k for k, v in got.items() if v > 2 / 3} == {2, 3, 5, 6, 7, 11} and 10 not in got and got[8] == got[9] == 0
     assert stuffing.page_scores(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_stock_lines_over_blocks_and_equal_items(spark):
+    lead = " ".join(f"lead{n}" for n in range(20))
+    own = [" ".join(f"own{k}x{n}" for n in range(20)) for k in range(12)]
+    items = [(k, f"{lead} {own[k]}") for k in range(12)] + [(20 + n, t) for n, t in enumerate([" ".join(f"same{n}" for n in range(20))] * 4)]
+    docs = [(1, f"about {lead} only"), (2, f"about {own[5]} only"), (3, "about " + items[-1][1])]
+    docs, items = spark.createDataFrame(docs, "d bigint, text string"), spark.createDataFrame(items, "i bigint, text string")
+    for chars in (20_000_000, 200):
+        got = {(r["d"], r["i"]) for r in leakage.leaked(docs, items, "d", "i", block_chars=chars).collect()}
+        assert got == {(2, 5), (3, 20), (3, 21), (3, 22), (3, 23)}
