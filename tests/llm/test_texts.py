@@ -91,31 +91,40 @@ def test_tokenizer_sizes(spark):
     assert [r[0] for r in df.select(mixing.tokens(make)(F.col("t"))).collect()] == [2, 0, 0]
 
 
-def brute_cover(ids, single, least):
-    n, out = len(ids), [False] * len(ids)
-    for i in range(n):
-        for j in range(i + 1, n + 1):
-            s = ids[i:j]
-            if (len(s) >= least or s[0] in single) and sum(ids[k : k + len(s)] == s for k in range(n - len(s) + 1)) >= 2:
-                for k in range(i, j):
-                    out[k] = True
-    return out
-
-
-def test_cover_against_brute_force():
+def brute_repeats(ids):
+    n = len(ids)
+    again = lambda i, size: i + 1 >= size and sum(ids[k : k + size] == ids[i + 1 - size : i + 1] for k in range(n - size + 1)) >= 2
+    return [max([size for size in range(n) if size == 0 or again(i, size)]) for i in range(n)]
+
+
+def test_automaton_against_brute_force():
     r = random.Random(3)
-    for n in (1, 2, 5, 12, 25, 40):
+    for n in (0, 1, 2, 5, 12, 25, 40):
         for _ in range(12):
             ids = [r.randrange(r.choice((2, 5, 15))) for _ in range(n)]
-            want = brute_cover(ids, {0}, 2)
-            assert stuffing.automaton_cover(ids, frozenset({0})).tolist() == want
-            assert stuffing.array_cover(np.array(ids), frozenset({0})).tolist() == want
+            assert stuffing.repeats(ids) == brute_repeats(ids)
+
+
+def test_covered():
+    ids = np.array([7, 8, 9, 7, 8, 9, 20, 9, 2, 2, 30, 30])
+    page = np.array([0] * 10 + [1] * 2)
+    run = np.array(stuffing.repeats(ids[:10].tolist()) + stuffing.repeats(ids[10:].tolist()))
+    # 9 stands three times, the link (2) twice; 20 is alone, 30 twice only
+    assert stuffing.covered(ids, run, page).tolist() == [True] * 6 + [False] + [True] * 3 + [False] * 2
+
+
+PROSE = {
+    "en": "The cat sleeps on the table while the rain falls slowly on the street. Grandmother bakes bread with flour from the nearby mill. ",
+    "it": "Il gatto dorme sul tavolo mentre la pioggia cade lenta sulla strada. La nonna prepara il pane con la farina del mulino vicino. ",
+    "pl": "Kot śpi na stole, podczas gdy deszcz powoli pada na ulicę. Babcia piecze chleb z mąki z pobliskiego młyna. ",
+}
 
 
 def test_pages(spark):
     prose = "The writer of a record keeps the index, and each reader that has it is sure. If the page is old, the cache drops it. "
     spam = "best vector database cheap vector database free vector database "
     links = "\n".join(f"- https://site{i}.example/p{i}" for i in range(20))
+    goods = "garden chair,steel lamp,oak table,blue sofa,wall clock,desk fan,tea pot,red rug,bed frame,book shelf".split(",")
     pages = {
         1: prose * 3,
         2: spam * 10,
@@ -129,13 +138,25 @@ def test_pages(spark):
         10: None,
         11: "\n".join(f"SKU A{i:02}-12{i:02} {w} gpu rental {i}.99 EUR" for i, w in enumerate(WORDS[:30])),
         12: "\n".join(f"{w}_{i} = {i * 37}\nThe value of it is what the writer of the {w} keeps." for i, w in enumerate(WORDS[:20])),
+        13: "\n".join(f"Item {i:03}/{80 + i} {w} EUR {40 + i}" for i, w in enumerate(goods)),
+        14: "cheap hotels in Paris for the family, best hotels in Paris for the weekend, book hotels near the Louvre, cheap hotels in Paris " * 8,
+        15: "Cheap hotels in Paris for the family, best hotels in Paris for the weekend, cheap hotels near the Louvre. " * 8,
+        16: " ".join(f"{w} page - [{w}](http://a.example/{i})" for i, w in enumerate(WORDS[:30])),
+        17: (PROSE["en"] * 8).lower().replace(".", ""),
     }
+    pages |= {20 + n: text * 8 for n, text in enumerate(PROSE.values())}
     df = spark.createDataFrame([(k, v, 0.5) for k, v in pages.items()], "doc_id bigint, text string, stuffed double")
     got = {r["doc_id"]: r["stuffed"] for r in stuffing.page_scores(df, "doc_id", "text").collect()}
-    assert {k for k, v in got.items() if v > 2 / 3} == {2, 3, 5, 6, 7, 11} and 10 not in got and got[8] == got[9] == 0
+    assert {k for k, v in got.items() if v > 2 / 3} == {2, 3, 5, 6, 7, 11, 13, 14, 15, 16} and 10 not in got and got[8] == got[9] == 0
     assert stuffing.page_scores(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_pages_in_batches_score_alike():
+    texts = [PROSE["it"] * 4, None, "a b " * 50, "", "#x #y #x #y", "one\ntwo"] * 3
+    want = stuffing.page_scores_of(texts)
+    assert (want == [stuffing.page_scores_of([t])[0] for t in texts]).all()
+
+
 def test_stock_lines_over_blocks_and_equal_items(spark):
     lead = " ".join(f"lead{n}" for n in range(20))
     own = [" ".join(f"own{k}x{n}" for n in range(20)) for k in range(12)]
