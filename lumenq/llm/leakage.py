@@ -1,12 +1,15 @@
-"""Passages of held-out items inside corpus documents.
+"""Passages of held-out items inside corpus documents, by size-partitioned MinHash containment search.
 
 Items are short, documents may be long, so resemblance says little and containment is searched for.
 Documents are partitioned by the size of their shingle set; each size class has its own number of
-MinHash bins, in proportion to its upper size, so that a shingle of a document survives as its bin's
-minimum with the same probability in every class. The windows of an item are hashed into each
-class's bins too; a document that shares a minimum with a window is a candidate. Candidates are
-verified by the exact shingles they share with the item on one diagonal, and by the alignment of the
-words around them.
+one-permutation MinHash bins, in proportion to its upper size, so that a shingle of a document
+survives as its bin's minimum with the same probability in every class. An item is sketched by its
+windows of 14 words; a window's minimum in coarse bins is one in all finer bins too, so a shingle
+needs one number, the smallest class it counts in. Documents and items that share a minimum of the
+class are candidates: tasks send those minima of a document that a Bloom filter over the items'
+minima lets through, with the words around them, and both sides meet by a join on the minimum.
+Candidates are verified by exact shingle containment: at least CONTAINED of the shingles of some
+window must stand in the document's stretch. The words are then aligned for the passage's exact extent.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ import html
 import re
 import unicodedata
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenq.util import spread
+from lumenq.util import materialize, shuffle_partitions, spread
 
 SHINGLE = 5
 WINDOW = 14
+STEP = WINDOW - SHINGLE + 1  # shingles of a window
 STOCK = 3  # items that share a stock shingle
-SPREAD = 4  # bins per shingle of the class's upper size
-TAG = re.compile(r"<[^<>]{0,200}>")
+SPREAD = 2  # bins per shingle of the class's upper size
+REACH = 48  # words kept on either side of a shared minimum
+CONTAINED = 0.4  # of a window's shingles: two altered words in the window leave so many
+TAG = re.compile(r"<[^<>]*>")
 WORD = re.compile(r"[^\W_]+")
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 
@@ -128,137 +134,255 @@ def align(a: np.ndarray, b: np.ndarray, miss: float = 1.5) -> tuple[float, int,
     return score, end - i, matched
 
 
-def holds_passage(item: np.ndarray, doc: np.ndarray) -> bool:
-    """Whether doc holds WINDOW successive words of item or more, about one in ten changed at most."""
-    score, span, matched = align(item, doc)
-    return span >= WINDOW and (matched >= 0.88 * span or score >= WINDOW)
-
-
-class Items:
-    """The searched items: words, shingles with positions, and the windows' minima by size class.
-    Items of the same words are one with several ids. stock names the stock shingles where rows are
-    not all items."""
-
-    def __init__(self, rows: list[tuple[object, str]], stock_items: int = STOCK, stock: set[int] | None = None):
-        same: dict[tuple[str, ...], list[object]] = {}
-        for i, t in rows:
-            same.setdefault(tuple(words(t)), []).append(i)
-        self.ids = list(same.values())
-        self.words = [word_ids(list(w)) for w in same]
-        per = [shingles(w) for w in self.words]
-        if stock is None:
-            seen: dict[int, int] = defaultdict(int)
-            for h in per:
-                for x in np.unique(h).tolist():
-                    seen[x] += 1
-            stock = {x for x, n in seen.items() if n >= stock_items}
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.windows: list[np.ndarray] = []
-        for k, h in enumerate(per):
-            covered = np.zeros(len(self.words[k]), bool)
-            for p, x in enumerate(h.tolist()):
-                if x in stock:
-                    covered[p : p + SHINGLE] = True
-                else:
-                    self.at[x].append((k, p))
-            # stock lines match nothing
-            self.words[k] = np.where(covered, np.arange(1, len(covered) + 1).astype(np.uint64), self.words[k])
-            own = np.array([x for x in h.tolist() if x not in stock], np.uint64)
-            step = WINDOW - SHINGLE + 1
-            self.windows += [own[lo : lo + step] for lo in range(max(1, len(own) - step + 1))]
-        self.by_class: dict[int, np.ndarray] = {}
-        self.known = WordIds()
-        self.every = np.fromiter(sorted(self.at), np.uint64, len(self.at))
-
-    def minima(self, cls: int) -> np.ndarray:
-        """All windows' minima in the bins of a class, sorted."""
-        if cls not in self.by_class:
-            got = [minima(w, cls) for w in self.windows]
-            self.by_class[cls] = np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
-        return self.by_class[cls]
-
-    def found_in(self, text: str) -> list[int]:
-        """Positions of the items of which the text holds a passage."""
-        w = self.known.of(words(text))
-        h = shingles(w)
-        if not len(h):
-            return []
-        cls = size_class(len(h))
-        want = self.minima(cls)
-        low = minima(h, cls)
-        if not len(want):
-            return []
-        p = np.minimum(np.searchsorted(want, low), len(want) - 1)
-        hit = low[want[p] == low]
-        items = {k for x in hit.tolist() for k, _ in self.at.get(x, ())}
-        if not items:
-            return []
-        # all shared shingles of the candidates, by diagonal
-        shared = np.flatnonzero(self.every[np.minimum(np.searchsorted(self.every, h), len(self.every) - 1)] == h)
-        spots: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for j in shared.tolist():
-            for k, i in self.at[int(h[j])]:
-                if k in items:
-                    spots[k, (j - i) // WINDOW].append(j)
-        out = set()
-        for (k, band), js in sorted(spots.items()):
-            if k in out or len(js) + len(spots.get((k, band + 1), ())) < 2:
-                continue
-            lo, hi = max(0, band * WINDOW - WINDOW), (band + 2) * WINDOW + len(self.words[k])
-            if holds_passage(self.words[k], w[lo:hi]):
-                out.add(k)
-        return sorted(out)
-
-
-def stock_shingles(wanted: DataFrame) -> set[int]:
-    """The shingles that stand in STOCK or more different items; wanted: i, t."""
+def bit_length(x: np.ndarray) -> np.ndarray:
+    """Of uint64 numbers."""
+    x, out = x.copy(), np.zeros(x.shape, np.int64)
+    for s in (32, 16, 8, 4, 2, 1):
+        large = x >= np.uint64(1 << s)
+        out[large] += s
+        x[large] >>= np.uint64(s)
+    return out + (x > 0)
+
+
+def window_minima(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of an item, each once, and the smallest size class in whose bins it is a minimum
+    of one of the item's windows."""
+    if not len(h):
+        return h, np.zeros(0, np.int32)
+    w = np.sort(np.lib.stride_tricks.sliding_window_view(h, min(STEP, len(h))), axis=1)
+    shared = 64 - bit_length(w[:, 1:] ^ w[:, :-1])  # leading bits in common with the one below: same bin up to there
+    first = np.zeros((len(w), 1), np.int64)
+    least = np.concatenate([first, shared + 1], axis=1) - (SPREAD.bit_length() - 1)
+    keys, at = np.unique(w.ravel(), return_inverse=True)
+    cls = np.full(len(keys), 99)
+    np.minimum.at(cls, at.ravel(), least.ravel())
+    return keys, np.maximum(cls, 4).astype(np.int32)
+
+
+class Bloom:
+    """A Bloom filter of 64-bit hashes: 16 bits a key up to 64 MB, less beyond."""
+
+    CHUNK = 1 << 16  # bits
+
+    def __init__(self, keys: int, chunks: dict[int, bytes] | None = None):
+        self.bits = min(29, max(16, (16 * keys - 1).bit_length() if keys else 0))
+        self.words = np.zeros(1 << self.bits >> 3, np.uint8)
+        for k, b in (chunks or {}).items():
+            self.words[k * self.CHUNK >> 3 : (k + 1) * self.CHUNK >> 3] = np.frombuffer(b, np.uint8)
+
+    def spots(self, h: np.ndarray) -> list[np.ndarray]:
+        mask = np.uint64((1 << self.bits) - 1)
+        return [(h >> np.uint64(s) & mask).astype(np.int64) for s in (0, 17, 33)]
+
+    def add(self, h: np.ndarray) -> None:
+        for at in self.spots(h):
+            np.bitwise_or.at(self.words, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for at in self.spots(h):
+            out &= (self.words[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def bloom_of(keys: DataFrame) -> Bloom:
+    """The filter of column h (distinct): made in parts by the tasks, the parts met by chunk."""
+    n = keys.count()
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, some = Bloom(n), False
+        for batch in batches:
+            b.add(batch.column(0).to_numpy().view(np.uint64))
+            some |= batch.num_rows > 0
+        if some:
+            chunks = b.words.reshape(-1, Bloom.CHUNK >> 3)
+            at = np.flatnonzero(chunks.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([chunks[k].tobytes() for k in at.tolist()], pa.binary())], names=["chunk", "bits"])
+
+    def whole(t: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce(np.stack([np.frombuffer(b, np.uint8) for b in t["bits"].to_pylist()]), axis=0)
+        return pa.table({"chunk": t["chunk"].slice(0, 1).combine_chunks(), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    kind = "chunk bigint, bits binary"
+    got = keys.select("h").mapInArrow(part, kind).groupBy("chunk").applyInArrow(whole, kind).collect()  # 64 MB at most
+    return Bloom(n, {r["chunk"]: bytes(r["bits"]) for r in got})
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, t) -> (i, w): the word hashes of texts of a window or more."""
+    known = WordIds()
+    for b in batches:
+        got = [known.of(words(t)) for t in b.column(1).to_pylist()]
+        at = [n for n, w in enumerate(got) if len(w) >= WINDOW]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([got[n].tobytes() for n in at], pa.binary())], names=["i", "w"])
+
+
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, w) -> (k, p, h): the shingles and their places."""
+    for b in batches:
+        for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            h = shingles(np.frombuffer(w, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h.view(np.int64))], names=["k", "p", "h"])
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, w, stock places) -> (k, w) without a lead-in and a closing line of stock shingles; an item
+    that would keep less than a window keeps all."""
+    for b in batches:
+        out = []
+        for w, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            w = np.frombuffer(w, np.uint64)
+            held = np.zeros(len(w) - SHINGLE + 1, bool)
+            held[places or []] = True
+            lead = int(np.argmin(np.r_[held, False]))
+            close = int(np.argmin(np.r_[held[::-1], False]))
+            own = w[lead + SHINGLE - 1 if lead else 0 : len(w) - (close + SHINGLE - 1 if close else 0)]
+            out.append((own if len(own) >= WINDOW else w).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["k", "w"])
+
+
+def _item_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            h, cls = window_minima(shingles(np.frombuffer(w, np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k)), pa.array(h.view(np.int64)), pa.array(cls)], names=["k", "h", "least"])
+
+
+WORDS_AT_ONCE = 500_000
+
+
+def sketch_hits(sizes: np.ndarray, ids: np.ndarray, bloom: Bloom) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of the given numbers of words: the shingle at every place, its text (-1 across two
+    texts), and the places whose shingle is a minimum of its text's sketch that bloom knows."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    h = shingles(ids)
+    of = np.where(text[: len(h)] == text[SHINGLE - 1 :], text[: len(h)], -1) if len(h) else np.zeros(0, np.int64)
+    at = np.flatnonzero(of >= 0)
+    bits = np.array([size_class(n) for n in np.maximum(sizes - SHINGLE + 1, 1).tolist()], np.uint64) + np.uint64(SPREAD.bit_length() - 1)
+    order = at[np.argsort(of[at].astype(np.uint64) << np.uint64(48) | h[at] >> np.uint64(16), kind="stable")]
+    t, bins = of[order], h[order] >> (np.uint64(64) - bits[of[order]])
+    first = np.ones(len(order), bool)
+    first[1:] = (t[1:] != t[:-1]) | (bins[1:] != bins[:-1])
+    low = order[first]
+    return h, of, low[bloom.has(h[low])]
+
+
+REGION = "rid bigint, cls int, hits array<bigint>, w binary"
+
+
+def _stretches(bloom: Bloom):  # noqa: ANN202
+    """mapInArrow: (document, text) -> document, and per stretch of it around minima that items may
+    share: its number, the document's size class, the minima and the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                w = words(text)
-                h = np.unique(shingles(word_ids(w))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([" ".join(w)] * len(h), pa.string()), pa.array(h)], names=["w", "h"])
-
-    each = wanted.select("t").distinct().mapInArrow(run, "w string, h bigint").select(F.xxhash64("w").alias("w"), "h").distinct()
-    got = each.groupBy("h").count().where(F.col("count") >= STOCK).select("h").collect()
-    return set(np.array([r["h"] for r in got], np.int64).view(np.uint64).tolist())
-
+        from pyspark import TaskContext
 
-def leaked(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", item_text: str = "text", *, block_chars: int = 20_000_000) -> DataFrame:
-    """doc, item: every document that holds a passage of an item.
+        known, made = WordIds(), TaskContext.get().partitionId() << 40
+        for b in batches:
+            texts, n = b.column(1).to_pylist(), 0
+            while n < len(texts):
+                begin, some, total = n, [], 0
+                while n < len(texts) and total < WORDS_AT_ONCE and n - begin < 60_000:
+                    some.append(words(texts[n]) if texts[n] else [])
+                    total += len(some[-1])
+                    n += 1
+                sizes = np.array([len(w) for w in some])
+                ids = known.of(list(chain.from_iterable(some)))
+                h, of, low = sketch_hits(sizes, ids, bloom)
+                start = np.r_[0, np.cumsum(sizes)]
+                doc, cls, hits, around = [], [], [], []
+                for t in np.unique(of[low]).tolist():
+                    lo, hi = int(start[t]), int(start[t + 1])
+                    mine = np.unique(h[low[of[low] == t]])
+                    own = h[lo : hi - SHINGLE + 1]
+                    at = np.flatnonzero(np.isin(own, mine))
+                    for run_ in np.split(at, np.flatnonzero(np.diff(at) > 2 * REACH) + 1):
+                        doc.append(begin + t)
+                        cls.append(size_class(hi - lo - SHINGLE + 1))
+                        hits.append(np.unique(own[run_]).view(np.int64))
+                        around.append(ids[max(lo, lo + int(run_[0]) - REACH) : min(hi, lo + int(run_[-1]) + SHINGLE + REACH)].tobytes())
+                rid = np.arange(len(doc)) + made
+                made += len(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(doc, pa.int64())), pa.array(rid), pa.array(cls, pa.int32()), pa.array(hits, pa.list_(pa.int64())), pa.array(around, pa.binary())],
+                    names=["doc", "rid", "cls", "hits", "w"],
+                )
+
+    return run
+
+
+def passage(item: np.ndarray, doc: np.ndarray) -> tuple[float, int]:
+    """The largest share of an item's window of shingles that doc contains, and the words of the item
+    that the passage spans; 0 words where there is none of WINDOW words or more, about one in ten
+    changed at most."""
+    ih, dh = shingles(item), shingles(doc)
+    inside = np.isin(ih, dh)
+    held = np.convolve(inside, np.ones(STEP, int), "valid")
+    best = float(held.max()) / STEP
+    tried = np.zeros(len(held), bool)
+    while best >= CONTAINED:
+        s = int(np.where(tried, -1, held).argmax())
+        if tried[s] or held[s] < CONTAINED * STEP:
+            break
+        tried[max(0, s - STEP // 2) : s + STEP // 2 + 1] = True
+        mine = s + np.flatnonzero(inside[s : s + STEP])
+        at = [(j - i) // WINDOW for i in mine.tolist() for j in np.flatnonzero(dh == ih[i]).tolist()]
+        lo = max(0, s - 24)
+        for band in sorted(set(at), key=at.count, reverse=True):
+            d = band * WINDOW
+            score, span, matched = align(item[lo : s + WINDOW + 24], doc[max(0, lo + d - 2 * WINDOW) : max(0, s + d + 3 * WINDOW + 24)])
+            if span >= WINDOW and (matched >= 0.88 * span or score >= WINDOW):
+                return best, span
+    return best, 0
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, k, item's words, stretch's words) -> doc, k, contained, words of the pairs with a passage."""
+    for b in batches:
+        got = [passage(np.frombuffer(i, np.uint64), np.frombuffer(d, np.uint64)) for i, d in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        at = pa.array([n for n, g in enumerate(got) if g[1]], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(at), b.column(1).take(at), pa.array([g[0] for g in got if g[1]], pa.float64()), pa.array([g[1] for g in got if g[1]], pa.int32())], names=["doc", "k", "contained", "words"]
+        )
+
+
+def passages(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", item_text: str = "text") -> DataFrame:
+    """doc, item, contained, words: every document that holds a passage of an item, the largest share of
+    a window's shingles found in it, and the length of the passage aligned around that window.
 
     A passage is WINDOW successive words of the item or more, whatever the case, punctuation,
     spacing and markup, with about one word in ten changed, missing or added at most. Shingles that
-    stand in three or more items are stock and match nothing, counted over all items; items of the
-    same words count as one, and each of their ids is given. Null and empty texts hold nothing;
-    repeated rows give one row; texts are searched whole. Items go to every task in blocks of at
-    most block_chars characters; more items mean more passes over the documents, nothing is shuffled.
+    stand in three or more items of different words are stock where they open or close an item; such
+    a lead-in or closing line is no part of the item, unless less than a window would be left. Items
+    of the same words count as one, and each of their ids is given. Null and empty texts hold
+    nothing, nor do items under WINDOW words; repeated rows give one row; texts are searched whole.
+
+    Only candidate stretches of documents are shuffled. The items may be many: what goes to every
+    task is their Bloom filter, 64 MB at most.
     """
-    wanted = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND length(t) > 0").distinct()
-    chars = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
-    out = T.StructType([T.StructField(doc, docs.schema[doc].dataType), T.StructField(item, items.schema[item].dataType)])
-    blocks = max(1, -(-chars // block_chars))
-    stock = stock_shingles(wanted) if blocks > 1 else None
-    result = None
-    for k in range(blocks):
-        rows = sorted((r["i"], r["t"]) for r in wanted.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect())
-        kind = out[item].dataType
-
-        def run(batches: Iterator[pa.RecordBatch], rows: list = rows) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_type
-
-            search = Items(rows, stock=stock)
-            for b in batches:
-                ids, texts = b.column(0), b.column(1)
-                at, found = [], []
-                for n in range(b.num_rows):
-                    value = texts[n].as_py()
-                    for k2 in search.found_in(value) if value else ():
-                        at += [n] * len(search.ids[k2])
-                        found += search.ids[k2]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(found, to_arrow_type(kind))], names=[doc, item])
-
-        part = spread(docs.select(doc, text).where(F.col(doc).isNotNull() & F.col(text).isNotNull())).mapInArrow(run, out)
-        result = part if result is None else result.unionByName(part)
-    return result.distinct()
+    kind = docs.schema[doc].dataType
+    out = T.StructType([T.StructField(doc, kind), T.StructField(item, items.schema[item].dataType), T.StructField("contained", T.DoubleType()), T.StructField("words", T.IntegerType())])
+    wanted = items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND length(t) > 0")
+    named = materialize(wanted.mapInArrow(_item_words, T.StructType([T.StructField("i", out[item].dataType), T.StructField("w", T.BinaryType())])).distinct(), "items")
+    texts = materialize(named.select("w").distinct().select(F.monotonically_increasing_id().alias("k"), "w"), "item-texts")
+    every = materialize(texts.mapInArrow(_item_shingles, "k bigint, p int, h bigint"), "item-shingles")
+    stock = every.groupBy("h").agg(F.count_distinct("k").alias("n")).where(F.col("n") >= STOCK).select("h")
+    places = every.join(stock, "h", "left_semi").groupBy("k").agg(F.collect_list("p").alias("stock"))
+    own = materialize(texts.join(places, "k", "left").select("k", "w", "stock").mapInArrow(_own, "k bigint, w binary"), "own-words")
+    sketch = materialize(own.mapInArrow(_item_sketch, "k bigint, h bigint, least int"), "item-minima")
+    bloom = bloom_of(sketch.select("h").distinct())
+    shape = T.StructType([T.StructField("doc", kind), *T._parse_datatype_string(REGION).fields])
+    found = spread(docs.select(doc, text).where(F.col(doc).isNotNull() & (F.length(text) > 0))).mapInArrow(_stretches(bloom), shape)
+    found = materialize(found, "stretches")
+    pairs = found.select("rid", "cls", F.explode("hits").alias("h")).join(sketch, "h").where("least <= cls").select("rid", "k").distinct()
+    both = pairs.join(found.select("rid", "doc", F.col("w").alias("d")), "rid").join(own, "k").select("rid", "doc", "k", "w", "d")
+    both = both.repartition(shuffle_partitions(docs.sparkSession), "rid")  # few rows, much work each: not to be coalesced
+    held = both.drop("rid").mapInArrow(_verify, T.StructType([T.StructField("doc", kind), T.StructField("k", T.LongType()), *out.fields[2:]]))
+    held = held.groupBy("doc", "k").agg(F.max("contained").alias("contained"), F.max("words").alias("words"))
+    ids = texts.join(named, "w").select("k", F.col("i"))
+    return held.join(ids, "k").select(F.col("doc").alias(doc), F.col("i").alias(item), "contained", "words")
+
+
+def leaked(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", item_text: str = "text") -> DataFrame:
+    """doc, item of passages, each once."""
+    return passages(docs, items, doc, item, text, item_text).select(doc, item)

@@ -33,11 +33,8 @@ def test_leaked_passages(spark):
     ]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, item_id int")
     i = spark.createDataFrame(items, "item_id bigint, text string")
-    want = [(1, 1), (2, 2), (8, 4), (9, 5)]
-    for block in (20_000_000, 300):
-        got = leakage.leaked(d, i, "doc_id", "item_id", block_chars=block)
-        pairs = sorted((r["doc_id"], r["item_id"]) for r in got.collect())
-        assert [p for p in pairs if block > 300 or p in want] == want
+    got = leakage.leaked(d, i, "doc_id", "item_id")
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(1, 1), (2, 2), (8, 4), (9, 5)]
     assert leakage.leaked(d, i.limit(0), "doc_id", "item_id").count() == 0
     assert leakage.leaked(d.limit(0), i, "doc_id", "item_id").count() == 0
 
@@ -157,12 +154,58 @@ def test_pages_in_batches_score_alike():
     assert (want == [stuffing.page_scores_of([t])[0] for t in texts]).all()
 
 
-def test_stock_lines_over_blocks_and_equal_items(spark):
+def test_sketches():
+    rng = np.random.default_rng(2)
+    sizes = [3, 5, 40, 700, 0, 5000]
+    ids = rng.integers(1, 2**63, sum(sizes)).astype(np.uint64)
+    every = leakage.Bloom(1)
+    every.words[:] = 255
+    h, of, low = leakage.sketch_hits(np.array(sizes), ids, every)
+    for t, n in enumerate(sizes):
+        own = leakage.shingles(ids[sum(sizes[:t]) : sum(sizes[: t + 1])])
+        assert sorted(h[of == t].tolist()) == sorted(own.tolist())
+        assert sorted(h[low[of[low] == t]].tolist()) == (leakage.minima(own, leakage.size_class(len(own))).tolist() if len(own) else [])
+    item = leakage.shingles(ids[:60])
+    keys, least = leakage.window_minima(item)
+    for cls in (4, 6, 9):
+        got = set(np.concatenate([leakage.minima(item[lo : lo + leakage.STEP], cls) for lo in range(len(item) - leakage.STEP + 1)]).tolist())
+        assert got == set(keys[least <= cls].tolist())
+    b = leakage.Bloom(len(item))
+    b.add(item)
+    assert b.has(item).all() and leakage.Bloom(0).has(item).sum() == 0
+
+
+def test_stock_lines_and_equal_items(spark):
     lead = " ".join(f"lead{n}" for n in range(20))
     own = [" ".join(f"own{k}x{n}" for n in range(20)) for k in range(12)]
+    shared = " ".join(f"mid{n}" for n in range(20))
     items = [(k, f"{lead} {own[k]}") for k in range(12)] + [(20 + n, t) for n, t in enumerate([" ".join(f"same{n}" for n in range(20))] * 4)]
-    docs = [(1, f"about {lead} only"), (2, f"about {own[5]} only"), (3, "about " + items[-1][1])]
+    items += [(30 + n, " ".join(f"alike{k}" for k in range(20)) + f" last{n}") for n in range(3)]  # stock throughout, but nothing else
+    items += [(40 + n, f"{own[n]} {shared} {own[n + 3]}") for n in range(3)]
+    docs = [(1, f"about {lead} only"), (2, f"about {own[5]} only"), (3, "about " + items[12][1]), (4, " ".join(f"alike{k}" for k in range(20))), (5, f"of {shared}")]
     docs, items = spark.createDataFrame(docs, "d bigint, text string"), spark.createDataFrame(items, "i bigint, text string")
-    for chars in (20_000_000, 200):
-        got = {(r["d"], r["i"]) for r in leakage.leaked(docs, items, "d", "i", block_chars=chars).collect()}
-        assert got == {(2, 5), (3, 20), (3, 21), (3, 22), (3, 23)}
+    got = {(r["d"], r["i"]) for r in leakage.leaked(docs, items, "d", "i").collect()}
+    assert got == {(2, 5), (2, 42)} | {(3, 20 + n) for n in range(4)} | {(4, 30 + n) for n in range(3)} | {(5, 40 + n) for n in range(3)}
+
+
+def test_many_items_against_brute_force(spark):
+    """Every item against every document by alignment of the whole texts."""
+    r = random.Random(11)
+    items = [(n, passage(1000 + n, 30)) for n in range(60)]
+    docs = []
+    for n in range(80):
+        w = items[n % 60][1].split()
+        lo = r.randrange(0, 17)
+        part = w[lo : lo + r.randrange(8, 24)]
+        if n % 2:
+            part[r.randrange(len(part))] = "changed"
+        docs.append((n, " ".join([passage(5000 + n, r.randrange(0, 900)), *part, passage(9000 + n, r.randrange(0, 50))])))
+    ids = lambda t: leakage.word_ids(leakage.words(t))
+    want = set()
+    for d, t in docs:
+        for i, u in items:
+            score, span, matched = leakage.align(ids(u), ids(t))
+            if span >= leakage.WINDOW and (matched >= 0.88 * span or score >= leakage.WINDOW):
+                want.add((d, i))
+    got = {(x["doc_id"], x["item_id"]) for x in leakage.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), "doc_id", "item_id").collect()}
+    assert got == want and 30 < len(want) < 80
