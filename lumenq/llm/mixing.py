@@ -1,8 +1,9 @@
 """Mixing sources to target weights with capped repetition.
 
 Water-filling: every source is to give its share of the total; a source that can't, even when all
-of it is used max_repeats times, is clamped there, and the rest of the total is spread over the
-others in proportion to their shares, until no more sources need clamping. What a source must give,
+of it is used max_repeats times, is clamped there, and what it lacks is spread over the others in
+proportion to their shares, until no more sources need clamping. Sources clamped in the first round
+fall short of their own target; later ones only of the excess they were to take over. What a source must give,
 divided by its size, is its number of epochs: whole ones take every document, the fraction takes
 each document by a seeded hash.
 """
@@ -44,32 +45,32 @@ def tokens(encode: Callable[[], Callable[[list[str]], list[int]]]) -> Callable[[
     return size
 
 
-def fill(shares: list[float], sizes: list[float], repeats: list[float], total: float) -> list[float]:
-    """The amount each source gives."""
-    give = [0.0] * len(shares)
-    capped = [False] * len(shares)
+def fill(shares: list[float], sizes: list[float], repeats: list[float], total: float) -> tuple[list[float], list[int]]:
+    """The amount each source gives, and the round in which it was clamped (0: never). In the first
+    round each is to give its share of the total."""
+    give = [s * total for s in shares]
+    clamped = [0] * len(shares)
+    wanted, step = sum(give), 0
     while True:
-        open_share = sum(s for s, c in zip(shares, capped) if not c)
-        rest = total - sum(g for g, c in zip(give, capped) if c)
-        over = False
-        for i, c in enumerate(capped):
-            if c:
-                continue
-            give[i] = rest * shares[i] / open_share if open_share > 0 else 0.0
-        for i, c in enumerate(capped):
-            most = sizes[i] * repeats[i]
-            if not c and give[i] > most * (1 + 1e-12):
-                give[i], capped[i], over = most, True, True
+        step += 1
+        over = [i for i, c in enumerate(clamped) if not c and give[i] > sizes[i] * repeats[i]]
         if not over:
-            return give
+            return give, clamped
+        for i in over:
+            give[i], clamped[i] = sizes[i] * repeats[i], step
+        rest = wanted - sum(g for g, c in zip(give, clamped) if c)
+        still = sum(s for s, c in zip(shares, clamped) if not c)
+        for i, c in enumerate(clamped):
+            if not c:
+                give[i] = rest * shares[i] / still if still > 0 else 0.0
 
 
 PLAN = "mix_id string, source string, target_share double, max_repeats bigint, size bigint, total bigint, amount double, epochs double, short boolean"
 
 
 def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per mix and source: its size, the total, the amount it is to give, epochs, and whether its
-    target share of the total exceeds what it can give (short).
+    """Per mix and source: its size, the total, the amount it is to give, epochs, and whether the
+    filling clamped it in the first round: its target share of the total exceeds what it can give (short).
 
     sizes: source (plain), size; targets: mix_id, source, target_share, max_repeats. Repeated rows
     of targets count once; null shares and repeats are 0; a source without documents has size 0 and
@@ -87,9 +88,9 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     def per_mix(g: pa.Table) -> pa.Table:
         rows = sorted(g.to_pylist(), key=lambda r: r["source"])
         n = rows[0]["total"]
-        give = fill([r["target_share"] for r in rows], [r["size"] for r in rows], [r["max_repeats"] for r in rows], n)
-        for r, a in zip(rows, give):
-            r |= {"amount": a, "epochs": a / r["size"] if r["size"] else 0.0, "short": r["target_share"] * n > r["max_repeats"] * r["size"]}
+        give, clamped = fill([r["target_share"] for r in rows], [r["size"] for r in rows], [r["max_repeats"] for r in rows], n)
+        for r, a, c in zip(rows, give, clamped):
+            r |= {"amount": a, "epochs": a / r["size"] if r["size"] else 0.0, "short": c == 1}
         return pa.Table.from_pylist(rows, schema=schema)
 
     shaped = joined.select("mix_id", "source", "target_share", "max_repeats", F.coalesce("size", F.lit(0)).cast("bigint").alias("size"), F.col("total").cast("bigint"))
@@ -105,10 +106,11 @@ def sized(docs: DataFrame, doc: str, source: str, text: str, size: Callable[[Col
 
 def composition(documents: DataFrame, plan: DataFrame, *, seed: int = 1) -> DataFrame:
     """mix_id, doc, source, size, copies: how often each document is used. The fraction of an epoch
-    takes a document when the hash of seed, mix and document is below it: the same ones every time,
-    on any number of tasks."""
+    takes a document when the leading 48 bits of the MD5 hash of seed, mix and document, as a part of
+    1, are below it: the same ones every time, on any number of tasks, and in any engine."""
     bounded = broadcast_if_small(plan.where("epochs > 0").select("mix_id", "source", "epochs"), 200_000)
-    u = F.pmod(F.xxhash64(F.lit(seed), "mix_id", "doc"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    h = F.md5(F.concat_ws("/", F.lit(str(seed)), "mix_id", F.col("doc").cast("string")))
+    u = F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     whole = F.floor("epochs")
     copies = (whole + F.when(u < F.col("epochs") - whole, 1).otherwise(0)).cast("bigint")
     return documents.join(bounded, "source").select("mix_id", "doc", "source", "size", copies.alias("copies")).where("copies > 0")

@@ -380,7 +380,32 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return plan.where("short").select("mix_id", "source")
 
 
-@query()
+# By closed form instead of rounds: sources in the order of what they can give per share are clamped while that is below the level of the rest.
+MIX_SQL = f"""{SIZES_SQL},
+t AS (SELECT mix_id, source, target_share, max_repeats, CAST(coalesce(size, 0) AS BIGINT) AS size, CAST(total AS BIGINT) AS total,
+    CAST(max_repeats * coalesce(size, 0) AS DOUBLE) AS most FROM m LEFT JOIN s USING (source), (SELECT sum(size) AS total FROM s)),
+o AS (SELECT *, most / target_share AS turn, sum(target_share) OVER (PARTITION BY mix_id) AS shares,
+    sum(most) OVER w - most AS below, sum(target_share) OVER w - target_share AS taken, row_number() OVER w AS rn
+  FROM t WHERE target_share > 0 WINDOW w AS (PARTITION BY mix_id ORDER BY most / target_share, source ROWS UNBOUNDED PRECEDING)),
+lv AS (SELECT mix_id, arg_min((shares * total - below) / (shares - taken), rn) AS level FROM o WHERE turn >= (shares * total - below) / (shares - taken) GROUP BY 1),
+pl AS (SELECT mix_id, source, target_share, max_repeats, size, target_share * total > most AS short,
+    CASE WHEN target_share <= 0 THEN 0 ELSE least(most, coalesce(target_share * level, most)) END AS amount FROM t LEFT JOIN lv USING (mix_id)),
+pe AS (SELECT *, CASE WHEN size > 0 THEN amount / size ELSE 0 END AS epochs FROM pl),
+dd AS (SELECT doc_id, source, max(n) AS n FROM (
+  SELECT doc_id, nullif(lower(regexp_replace(source, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g')), '') AS source, {WORDS_SQL} AS n FROM documents)
+  WHERE source IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1, 2),
+cp AS (SELECT mix_id, doc_id, source, n, CAST(floor(epochs) AS BIGINT)
+    + CASE WHEN CAST('0x' || substr(md5('1/' || mix_id || '/' || doc_id), 1, 12) AS BIGINT) / CAST(281474976710656 AS DOUBLE) < epochs - floor(epochs) THEN 1 ELSE 0 END AS copies
+  FROM dd JOIN pe USING (source) WHERE epochs > 0)"""
+
+
+@query(
+    f"""WITH {MIX_SQL}, us AS (SELECT mix_id, source, CAST(sum(n * copies) AS BIGINT) AS used FROM cp GROUP BY ALL),
+al AS (SELECT mix_id, sum(used) AS whole FROM us GROUP BY 1)
+SELECT mix_id, source, target_share, max_repeats, size, round(epochs, 6) AS epochs, coalesce(used, 0) AS used,
+CASE WHEN whole > 0 THEN round(coalesce(used, 0) / CAST(whole AS DOUBLE), 6) ELSE 0 END AS reached_share, short
+FROM pe LEFT JOIN us USING (mix_id, source) LEFT JOIN al USING (mix_id)"""
+)
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     """Target and reached shares of every mix, from the documents taken."""
     docs, plan = _mix(spark, sf)
@@ -388,7 +413,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("mix_id", "source", "target_share", "max_repeats", "size", F.round("epochs", 6).alias("epochs"), "used", F.round("reached_share", 6).alias("reached_share"), "short")
 
 
-@query()
+@query(f"WITH {MIX_SQL} SELECT mix_id, doc_id, source, copies FROM cp WHERE copies > 0")
 def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     """Which document is used how often in which mix."""
     docs, plan = _mix(spark, sf)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumenq.llm import leakage, mixing, stuffing
+from lumenq.llm import bloom, leakage, mixing, stuffing
 
 WORDS = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
 
@@ -50,10 +50,11 @@ def test_words_and_minima():
 
 
 def test_fill():
-    assert mixing.fill([0.5, 0.5], [100, 100], [1, 1], 200) == [100, 100]
-    assert mixing.fill([0.5, 0.3, 0.2], [10, 100, 100], [2, 5, 5], 210) == [20.0, 114.0, 76.0]
-    assert mixing.fill([0.5, 0.5], [1, 1], [1, 1], 100) == [1, 1]  # nothing can reach it
-    assert mixing.fill([1.0, 0.0], [5, 5], [1, 9], 10) == [5, 0] and mixing.fill([], [], [], 5) == []
+    assert mixing.fill([0.5, 0.5], [100, 100], [1, 1], 200) == ([100, 100], [0, 0])
+    assert mixing.fill([0.5, 0.3, 0.2], [10, 100, 100], [2, 5, 5], 210) == ([20.0, 114.0, 76.0], [1, 0, 0])
+    assert mixing.fill([0.5, 0.5], [1, 1], [1, 1], 100) == ([1, 1], [1, 1])  # nothing can reach it
+    assert mixing.fill([0.6, 0.3, 0.1], [10, 40, 400], [1, 1, 1], 100) == ([10, 40, 50.0], [1, 2, 0])  # the second by the excess only
+    assert mixing.fill([1.0, 0.0], [5, 5], [1, 9], 5) == ([5, 0], [0, 0]) and mixing.fill([], [], [], 5) == ([], [])
 
 
 def test_mix(spark):
@@ -158,7 +159,7 @@ def test_sketches():
     rng = np.random.default_rng(2)
     sizes = [3, 5, 40, 700, 0, 5000]
     ids = rng.integers(1, 2**63, sum(sizes)).astype(np.uint64)
-    every = leakage.Bloom(1)
+    every = bloom.Bloom(1)
     every.words[:] = 255
     h, of, low = leakage.sketch_hits(np.array(sizes), ids, every)
     for t, n in enumerate(sizes):
@@ -170,9 +171,9 @@ def test_sketches():
     for cls in (4, 6, 9):
         got = set(np.concatenate([leakage.minima(item[lo : lo + leakage.STEP], cls) for lo in range(len(item) - leakage.STEP + 1)]).tolist())
         assert got == set(keys[least <= cls].tolist())
-    b = leakage.Bloom(len(item))
+    b = bloom.Bloom(len(item))
     b.add(item)
-    assert b.has(item).all() and leakage.Bloom(0).has(item).sum() == 0
+    assert b.has(item).all() and b.has(ids[100:5000]).mean() < 0.01 and bloom.Bloom(0).has(item).sum() == 0
 
 
 def test_stock_lines_and_equal_items(spark):
