@@ -293,10 +293,8 @@ LEGS = ["dense", "sparse", "late_interaction"]
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
     matches = table(spark, sf, "query_matches").where("query_id IS NOT NULL AND id IS NOT NULL")
     asked = table(spark, sf, "hybrid_queries").select("query_id", F.array_distinct("query_terms").alias("query_terms"))
-    items = materialize(matches.select("query_id", "id").distinct().join(asked, "query_id", "left"), "candidates")
-    current = materialize(current_text_rows(spark, sf), "current")
-    counts = materialize(terms.term_counts(current, "index_name", "terms", "term_id", "tf"), "term-counts")
-    text = rankfusion.fit(items, current, counts).select("query_id", F.lit("text").alias("leg"), "id", "score")
+    items = materialize(matches.select("query_id", "id").distinct(), "candidates")
+    text = rankfusion.fit(items, asked, current_text_rows(spark, sf)).select("query_id", F.lit("text").alias("leg"), "id", "score")
     scores = matches.select("query_id", "leg", "id", "score").unionByName(text)
     return rankfusion.aggregate_ranks(items, scores, "query_id", "id", "leg", "score", [*LEGS, "text"])
 

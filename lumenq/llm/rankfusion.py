@@ -8,12 +8,17 @@ item's significance; items are ordered by it. No score's range plays a part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from math import comb
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenq.llm.bloom import Bloom, bloom_of
 from lumenq.util import broadcast_if_small, materialize, shuffle_partitions
 
 
@@ -65,7 +70,7 @@ def aggregate_ranks(items: DataFrame, scores: DataFrame, query: str, item: str,
     every = items.select(query, item).where(F.col(query).isNotNull() & F.col(item).isNotNull()).distinct()
     size = every.groupBy(query).agg(F.count("*").alias("__n"))
     usable = scores.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(leg).isin(legs))
-    best = usable.groupBy(query, leg, item).agg(F.min(score).alias("__s"))
+    best = materialize(usable.groupBy(query, leg, item).agg(F.min(score).alias("__s")), "leg-scores")
     ranked = mid_ranks(best, [query, leg], "__s")
     wide = ranked.groupBy(query, item).agg(*[F.min(F.when(F.col(leg) == x, F.col("rank"))).alias(f"__{i}") for i, x in enumerate(legs)])
     both = every.join(wide, [query, item], "left").join(size, query)
@@ -75,24 +80,57 @@ def aggregate_ranks(items: DataFrame, scores: DataFrame, query: str, item: str,
     return named.withColumns({"significance": significance(ranks), "mean_rank": reduce(lambda a, b: a + b, ranks) / len(legs)})
 
 
-def fit(candidates: DataFrame, current: DataFrame, counts: DataFrame, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def _asked_terms(bloom: Bloom):  # noqa: ANN202
+    """mapInArrow: (index_name, id, terms) -> per row its length n and the terms that may be asked for,
+    each once; and rows without an id: the number of rows and the sum of n of an index in this batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            lists = t["terms"].combine_chunks()
+            flat = pc.list_flatten(lists)
+            if not len(flat):
+                continue
+            row, term, tf = pc.list_parent_indices(lists), pc.struct_field(flat, "term_id"), pc.cast(pc.struct_field(flat, "tf"), pa.int64())
+            keep = pc.and_(pc.fill_null(pc.greater(tf, 0), False), pc.is_valid(term))
+            row, term, tf = (x.filter(keep).to_numpy(zero_copy_only=False) for x in (row, term, tf))
+            n = np.bincount(row, weights=tf, minlength=t.num_rows).astype(np.int64)
+            ok = bloom.has(term.view(np.uint64))
+            per = pa.table({"row": row[ok], "term": term[ok], "tf": tf[ok]}).group_by(["row", "term"]).aggregate([("tf", "sum")]).sort_by("row")
+            at = per["row"].to_numpy()
+            some = np.unique(at)
+            hits = pa.ListArray.from_arrays(pa.array(np.r_[np.searchsorted(at, some), len(at)].astype(np.int32)), pa.StructArray.from_arrays([per["term"].combine_chunks(), per["tf_sum"].combine_chunks()], names=["term", "tf"]))
+            mine = t.take(pa.array(some))
+            yield from pa.table({"index_name": mine["index_name"], "id": mine["id"], "rows": pa.nulls(len(some), pa.int64()), "n": n[some], "hits": hits}).combine_chunks().to_batches()
+            live = n > 0
+            total = pa.table({"index_name": t["index_name"].filter(pa.array(live)), "n": n[live]}).group_by("index_name").aggregate([("n", "count"), ("n", "sum")])
+            k = total.num_rows
+            yield from pa.table({"index_name": total["index_name"], "id": pa.nulls(k, t["id"].type), "rows": total["n_count"], "n": total["n_sum"], "hits": pa.nulls(k, hits.type)}).combine_chunks().to_batches()
+
+    return run
+
+
+def fit(candidates: DataFrame, asked: DataFrame, current: DataFrame, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score: minus the BM25 of the query's terms in the candidate's current row.
 
-    candidates: query_id, id, query_terms (array of term ids; repeated ones count once); current:
-    index_name, record_id, terms; counts: of terms.term_counts over current. Candidates without a
-    row, or with none of the terms, get no score.
+    candidates: query_id, id; asked: query_id, query_terms (array of term ids, each once); current:
+    index_name, record_id, terms, one row per record. One pass over the current rows keeps of each its
+    length and the terms that some query asks for (by a Bloom filter of these); only they are counted
+    for the document frequencies, and meet the candidates. Candidates without a row, or with none of
+    the terms, get no score; an occurrence is a tf above 0.
     """
-    length = F.aggregate("terms", F.lit(0).cast("bigint"), lambda s, t: s + F.when(t["tf"] > 0, t["tf"].cast("bigint")).otherwise(0))
-    rows = current.select("index_name", F.col("record_id").alias("id"), "terms", length.alias("length"))
-    hit = F.filter("terms", lambda t: (t["tf"] > 0) & F.array_contains("query_terms", t["term_id"]))
-    hits = candidates.join(rows, "id").select("query_id", "id", "index_name", "length", F.explode(hit).alias("t"))
-    tf = hits.groupBy("query_id", "id", "index_name", "length", F.col("t.term_id").alias("term")).agg(F.sum("t.tf").alias("tf"))
-    totals = counts.where("term IS NULL").select(
-        F.col("grp").alias("index_name"), F.col("records").alias("N"), (F.col("occurrences") / F.col("records")).alias("avg")
-    )
-    asked = candidates.select(F.explode("query_terms").alias("term")).distinct()
-    df = counts.where("term IS NOT NULL").join(asked, "term", "left_semi").select(F.col("grp").alias("index_name"), "term", F.col("records").alias("df"))
-    joined = tf.join(broadcast_if_small(materialize(df, "asked-terms"), 200_000), ["index_name", "term"]).join(broadcast_if_small(totals, 100_000), "index_name")
-    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg")))
+    wanted = asked.select(F.explode(F.col("query_terms").cast("array<bigint>")).alias("h")).where("h IS NOT NULL").distinct()
+    rows = current.select("index_name", F.col("record_id").alias("id"), "terms").where("id IS NOT NULL AND size(terms) > 0")
+    kinds = f"index_name {rows.schema['index_name'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}"
+    slim = materialize(rows.mapInArrow(_asked_terms(bloom_of(wanted)), f"{kinds}, rows bigint, n bigint, hits array<struct<term: bigint, tf: bigint>>"), "asked-terms")
+    totals = slim.where("id IS NULL").groupBy("index_name").agg(F.sum("rows").alias("docs"), (F.sum("n") / F.sum("rows")).alias("avg"))
+    held = slim.where("id IS NOT NULL")
+    df = held.select("index_name", F.explode("hits.term").alias("term")).groupBy("index_name", "term").agg(F.count("*").alias("df"))
+    df = materialize(df, "asked-frequencies")
+    both = candidates.join(asked, "query_id").join(held.select("index_name", "id", "n", "hits"), "id")
+    hit = F.filter("hits", lambda t: F.array_contains("query_terms", t["term"]))
+    tf = both.select("query_id", "id", "index_name", "n", F.inline(hit))
+    joined = tf.join(broadcast_if_small(df, 200_000), ["index_name", "term"]).join(broadcast_if_small(totals, 100_000), "index_name")
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("avg")))
     return joined.groupBy("query_id", "id").agg((-F.sum(weight)).alias("score"))
