@@ -3,10 +3,11 @@
 A vector becomes a set: for each of FEATURES random rotations the coordinate that is largest in
 size, with its sign. MinHash bands over the set propose candidates, the exact Jaccard similarity of
 the two sets verifies them, connected components of the verified links form groups. A group whose
-members don't all lie near its medoid of highest degree is loose: it is split around that medoid,
-and what is left around the next, until all is tight. Vectors are then assigned to the mean directions.
-Among those in no cluster yet, small and loose clusters are found by exact neighbours; then all vectors are
-assigned to the means anew.
+members don't all lie near its medoid of highest degree is loose: it is split around medoids, the next
+being the best linked member near none so far; pieces of the same direction are one group again. A group's members are its cluster, save those that the exact cosine to the cluster's mean
+direction rules out. What the bands have missed is then searched for exactly, among the rows in no
+cluster only: rows near a cluster's mean join it, and small and loose clusters are found by exact
+neighbours.
 
 Within a bucket a row is compared with the bucket's leaders, not with every other row. Buckets are
 reduced to their leaders inside each task before the shuffle, so a bucket that holds a large share
@@ -252,26 +253,93 @@ def cosine(a: str, b: str):
     return dot(a, b)
 
 
-def split_loose(grouped: DataFrame, *, near: float, size: int) -> DataFrame:
-    """nid, grp, vec of the tight groups in grouped (nid, grp, links, vec).
+IN_TASK = 16_384  # rows of a group that one task splits
+
+
+def _peel(near: float):  # noqa: ANN202
+    """applyInArrow over a group (nid, grp, links, vec): nid, grp (the medoid), vec of its tight pieces."""
+
+    def run(t: pa.Table) -> pa.Table:
+        nid, links = t["nid"].to_numpy(), t["links"].to_numpy()
+        order = np.lexsort((nid, -links))
+        t, nid = t.take(pa.array(order)), nid[order]
+        x = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float32).reshape(len(t), -1)
+        medoids, left = [], np.arange(len(nid))
+        while len(left):
+            medoids.append(int(left[0]))
+            close = x[left] @ x[left[0]] >= near
+            close[0] = True
+            left = left[~close]
+        at = np.concatenate([(x[lo : lo + 1024] @ x[medoids].T).argmax(axis=1) for lo in range(0, len(x), 1024)])
+        grp = nid[np.array(medoids)[at]]
+        _, back, n = np.unique(grp, return_inverse=True, return_counts=True)
+        several = pa.array(n[back] > 1)  # a row alone is no group
+        return pa.table({"nid": t["nid"], "grp": pa.array(grp), "vec": t["vec"]}).filter(several)
+
+    return run
+
+
+def _heads(near: float):  # noqa: ANN202
+    """applyInArrow over a group's medoids (grp, links, nid, vec): those that no better one is near."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.lexsort((t["nid"].to_numpy(), -t["links"].to_numpy()))))
+        x = np.frombuffer(b"".join(t["vec"].to_pylist()), np.float32).reshape(len(t), -1)
+        kept: list[int] = []
+        for i in range(len(x)):
+            if not kept or (x[kept] @ x[i]).max() < near:
+                kept.append(i)
+        u = t.take(pa.array(kept))
+        return pa.table({"grp": t["grp"].slice(0, 1).combine_chunks(), "medoids": pa.array([u["nid"].to_pylist()], pa.list_(pa.int64())), "mvecs": pa.array([b"".join(u["vec"].to_pylist())], pa.binary())})
+
+    return run
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(nid, grp, links, vec, medoids, mvecs) -> nid, links, vec, the most similar medoid of the group, the cosine."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        grp = t["grp"].to_numpy()
+        for g in np.unique(grp):
+            u = t.filter(pa.array(grp == g))
+            x = np.frombuffer(b"".join(u["vec"].to_pylist()), np.float32).reshape(len(u), -1)
+            m = np.frombuffer(u["mvecs"][0].as_py(), np.float32).reshape(-1, x.shape[1])
+            s = x @ m.T
+            at = s.argmax(axis=1)
+            yield from pa.table({"nid": u["nid"], "links": u["links"], "vec": u["vec"], "medoid": pa.array(np.array(u["medoids"][0].as_py())[at]), "cos": pa.array(s[np.arange(len(s)), at].astype(np.float64)), "grp": u["grp"]}).combine_chunks().to_batches()
+
+
+def split_loose(grouped: DataFrame, *, near: float, in_task: int = IN_TASK) -> DataFrame:
+    """nid, grp, vec of the tight groups in grouped (nid, grp, links, vec); grp is the medoid's nid.
 
     The medoid of a group is its member with most links, then the smallest nid. A group is tight
-    when every member has a cosine of near or more to the medoid. A loose one is split: the members
-    that have form a group of their own, the others are looked at again around the best linked of
-    them, until nothing is left. Groups under size rows are left out.
+    when every member has a cosine of near or more to the medoid. A loose one is split: the best linked
+    of the members that are not near is a medoid too, and so on until each is near one; a member goes
+    with the most similar of them. A group of up to in_task rows is split in one task. A larger one
+    is cut first, in rounds: the best linked row of each of its hash parts (one part for half of
+    in_task rows) is a medoid unless a better linked one is near it, and a row goes to the most
+    similar of them; so rounds grow with the logarithm of the group.
     """
-    tight: DataFrame | None = None
+    done: DataFrame | None = None
     left = grouped
     while True:
-        heads = left.groupBy("grp").agg(F.count("*").alias("n"), F.max_by(F.struct("nid", "vec"), F.struct("links", -F.col("nid"))).alias("m"))
-        heads = materialize(heads.where(F.col("n") >= size).select("grp", F.col("m.nid").alias("medoid"), F.col("m.vec").alias("mvec")), "medoids")
-        seen = left.join(broadcast_if_small(heads, 20_000), "grp").withColumn("close", cosine("vec", "mvec") >= near)
-        seen = materialize(seen.select("nid", "medoid", "links", "vec", "close"), "around")
-        around = seen.where("close").select("nid", F.col("medoid").alias("grp"), "vec")
-        tight = around if tight is None else tight.unionByName(around)
-        left = seen.where("NOT close").select("nid", F.col("medoid").alias("grp"), "links", "vec")
-        if left.isEmpty():
-            return tight
+        size = materialize(left.groupBy("grp").count().where(F.col("count") > in_task), "large-groups")
+        if size.isEmpty():
+            break
+        parts = F.least(F.lit(16_384), F.ceil(F.col("count") / (in_task // 2 or 1))).cast("bigint")
+        marked = left.join(broadcast_if_small(size.select("grp", parts.alias("parts")), 100_000), "grp", "left")
+        small = marked.where("parts IS NULL").drop("parts")
+        large = materialize(marked.where("parts IS NOT NULL"), "loose")
+        best = large.groupBy("grp", F.pmod(F.xxhash64("nid"), F.col("parts")).alias("part")).agg(F.max_by(F.struct("links", "nid", "vec"), F.struct("links", -F.col("nid"))).alias("m"))
+        heads = materialize(best.select("grp", "m.*").groupBy("grp").applyInArrow(_heads(near), "grp bigint, medoids array<bigint>, mvecs binary"), "medoids")
+        seen = large.select("nid", "grp", "links", "vec").join(broadcast_if_small(heads, 64), "grp").mapInArrow(_around, "nid bigint, links bigint, vec binary, medoid bigint, cos double, grp bigint")
+        seen = materialize(seen, "around")
+        tight = seen.where(F.col("cos") >= near).select("nid", F.col("medoid").alias("grp"), "vec")
+        tight = tight if done is None else done.unionByName(tight)
+        done = tight
+        left = materialize(small.unionByName(seen.where(F.col("cos") < near).select("nid", "grp", "links", "vec")), "left")
+    rest = left.groupBy("grp").applyInArrow(_peel(near), "nid bigint, grp bigint, vec binary")
+    return rest if done is None else done.unionByName(rest)
 
 
 MEANS_AT_ONCE = 16_384
@@ -314,22 +382,42 @@ def assign(rows: DataFrame, means: DataFrame, dims: int, *, near: float) -> Data
     return found.groupBy("nid").agg(F.max_by("grp", F.struct("cos", -F.col("grp"))).alias("grp"), F.max("cos").alias("cos"))
 
 
-def joined_means(rows: DataFrame, dims: int, *, least: int, same: float, k: int) -> DataFrame:
-    """grp, mean, n: the mean directions of the groups of at least `least` rows (nid, grp, vec), groups
-    whose means have a cosine of same or more as one."""
-    means = materialize(mean_directions(rows, "grp", dims).where(F.col("n") >= least), "means")
-    alike = nearest(means.select(F.lit("").alias("space"), F.col("grp").cast("string").alias("id"), F.col("mean").alias("vec")), dims, k=k, least=same)
-    alike = materialize(alike.select(F.col("id").cast("bigint").alias("a"), F.col("neighbour").cast("bigint").alias("b")), "alike")
-    if alike.isEmpty():
-        return means
-    joined = connected_components(alike, "a", "b").withColumnRenamed("node", "grp")
-    rows = rows.join(broadcast_if_small(joined, 100_000), "grp", "left").select(F.coalesce("component", "grp").alias("grp"), "vec")
-    return materialize(mean_directions(rows, "grp", dims).where(F.col("n") >= least), "means")
+def _alike(means: DataFrame, dims: int, same: float) -> DataFrame | None:
+    """a, b: pairs of means with a cosine of same or more (up to 4096 means: all of them, compared in
+    one block; else each mean's eight most similar), or None if there are none."""
+    spark = means.sparkSession
+    if means.limit(4097).count() <= 4096:
+        rows = sorted((r["grp"], bytes(r["mean"])) for r in means.select("grp", "mean").collect())  # 1 MB
+        x = np.frombuffer(b"".join(v for _, v in rows), np.float32).reshape(-1, dims)
+        i, j = np.nonzero(np.triu(x @ x.T >= same, 1))
+        return spark.createDataFrame([(rows[a][0], rows[b][0]) for a, b in zip(i.tolist(), j.tolist())], "a bigint, b bigint") if len(i) else None
+    near = nearest(means.select(F.lit("").alias("space"), F.col("grp").cast("string").alias("id"), F.col("mean").alias("vec")), dims, k=8, least=same)
+    near = materialize(near.select(F.col("id").cast("bigint").alias("a"), F.col("neighbour").cast("bigint").alias("b")), "alike")
+    return None if near.isEmpty() else near
+
+
+def joined_groups(rows: DataFrame, dims: int, *, same: float) -> tuple[DataFrame, DataFrame]:
+    """rows (nid, grp, vec) with groups whose mean directions have a cosine of same or more as one, and
+    grp, mean, n of the groups. Repeated until no two means are that similar."""
+    rows = materialize(rows.select("nid", "grp", "vec"), "grouped")
+    means = materialize(mean_directions(rows, "grp", dims), "means")
+    while (alike := _alike(means, dims, same)) is not None:
+        joined = connected_components(alike, "a", "b").withColumnRenamed("node", "grp")
+        rows = rows.join(broadcast_if_small(joined, 100_000), "grp", "left").select("nid", F.coalesce("component", "grp").alias("grp"), "vec")
+        rows = materialize(rows, "grouped")
+        means = materialize(mean_directions(rows, "grp", dims), "means")
+    return rows, means
+
+
+def near_mean(rows: DataFrame, means: DataFrame, *, near: float) -> DataFrame:
+    """The rows (nid, grp, vec) with a cosine of near or more to their own group's mean."""
+    both = rows.join(broadcast_if_small(means.select("grp", "mean"), 20_000), "grp")
+    return both.withColumn("cosine", cosine("vec", "mean")).where(F.col("cosine") >= near).drop("mean")
 
 
 def members_of(rows: DataFrame, means: DataFrame, dims: int, *, near: float) -> DataFrame:
-    """The rows (nid, vec and others) within near of a mean, with grp of the nearest."""
-    return materialize(assign(rows, means, dims, near=near).select("nid", "grp").join(rows, "nid"), "members")
+    """nid, grp, vec of the rows (nid, vec) within near of a mean; grp of the nearest."""
+    return materialize(assign(rows, means, dims, near=near).select("nid", "grp").join(rows.select("nid", "vec"), "nid"), "members")
 
 
 def loose_groups(left: DataFrame, dims: int, *, size: int, near: float, apart: float, same: float) -> DataFrame:
@@ -353,8 +441,8 @@ def loose_groups(left: DataFrame, dims: int, *, size: int, near: float, apart: f
     held = pairs.select("grp", "nid").join(seeds, "grp", "left_semi").unionByName(seeds.select("grp", F.col("grp").alias("nid")))
     held = held.join(left, "nid").select("nid", (-1 - F.col("grp")).alias("grp"), "vec")
     for limit in (apart, near):
-        means = joined_means(held, dims, least=size, same=same, k=size)
-        held = members_of(left, means, dims, near=limit).select("nid", "grp", "vec")
+        _, means = joined_groups(held, dims, same=same)
+        held = members_of(left, means, dims, near=limit)
     return held
 
 
@@ -362,37 +450,34 @@ CLUSTERS = "id string, cluster bigint, cosine double"
 
 
 def similarity_clusters(
-    vectors: DataFrame, dims: int, *, size: int = 8, near: float = 0.74, least: float = 0.13, apart: float = 0.65, same: float = 0.85, bands: int = BANDS
+    vectors: DataFrame, dims: int, *, size: int = 8, near: float = 0.74, least: float = 0.13, apart: float = 0.65, same: float = 0.85, bands: int = BANDS, in_task: int = IN_TASK
 ) -> DataFrame:
     """id, cluster, cosine (to the cluster's mean direction): the records that belong to a cluster.
 
-    apart is the cosine to its medoid that a member of a group must have.
     vectors: id, vec (unit float32 bytes). An id counts once, with the smallest of its vectors if it
-    has several; null ids are left out. Links are verified at a Jaccard similarity of least; groups
-    whose mean directions have a cosine of same or more are one (links that no band proposed).
-    Every vector with a cosine of near or more to a mean direction belongs to the nearest; clusters
-    under size members and records near no cluster are left out. Empty input gives no rows. The means
-    are those of the bands' groups and of loose_groups; both are drawn from the rows they gather.
+    has several; null ids are left out. Links are verified at a Jaccard similarity of least; apart is
+    the cosine to its medoid that a member of a group must have; groups whose mean directions have a
+    cosine of same or more are one. A group's members with a cosine of near or more to its mean are
+    its cluster. Rows in no cluster of size members after that are searched exactly: those within
+    near of a cluster's mean join the nearest, the rest by loose_groups. Clusters under size members
+    and records near no cluster are left out. Empty input gives no rows.
     """
     spark = vectors.sparkSession
     once = vectors.where("id IS NOT NULL").groupBy("id").agg(F.min("vec").alias("vec"))
     base = materialize(once.withColumn("nid", F.monotonically_increasing_id()), "cluster-base")
-    rows = base.count()
-    if rows == 0:
+    if base.isEmpty():
         return spark.createDataFrame([], CLUSTERS)
-    half = max(2, size // 2)
     groups = materialize(linked_groups(base, dims, least=least, bands=bands), "groups")
-    kept = groups.groupBy("grp").count().where(F.col("count") >= half).select("grp")
-    grouped = groups.join(kept, "grp", "left_semi").join(base.select("nid", "vec"), "nid")
-    tight = materialize(split_loose(grouped, near=apart, size=half), "tight")
-    means = joined_means(tight, dims, least=half, same=same, k=size)
-    seen = members_of(base, means, dims, near=near)
-    large = seen.groupBy("grp").count().where(F.col("count") >= size).select("grp")
-    left = base.join(seen.join(large, "grp", "left_semi").select("nid"), "nid", "left_anti")  # what is seen of a cluster may be too few of it
-    loose = loose_groups(left, dims, size=size, near=near, apart=apart, same=same)
-    means = joined_means(seen.select("nid", "grp", "vec").unionByName(loose), dims, least=half, same=same, k=size)
-    members = members_of(base, means, dims, near=near)
-    final = mean_directions(members, "grp", dims).where(F.col("n") >= size)
-    final = broadcast_if_small(materialize(final, "means"), 20_000)
-    out = members.join(final, "grp").withColumn("cosine", cosine("vec", "mean")).where(F.col("cosine") >= near)
-    return out.select("id", F.col("grp").alias("cluster"), "cosine")
+    several = groups.groupBy("grp").count().where("count > 1").select("grp")
+    grouped = groups.join(several, "grp", "left_semi").join(base.select("nid", "vec"), "nid")
+    rows, means = joined_groups(split_loose(grouped, near=apart, in_task=in_task), dims, same=same)
+    kept = materialize(near_mean(rows, means.where(F.col("n") >= size), near=near), "kept")
+    means = materialize(mean_directions(kept, "grp", dims).where(F.col("n") >= size), "means")
+    kept = kept.join(means.select("grp"), "grp", "left_semi")
+    left = materialize(base.join(kept.select("nid"), "nid", "left_anti"), "left")  # what the bands missed, and what is near no cluster
+    late = members_of(left, means, dims, near=near)
+    loose = loose_groups(left.join(late.select("nid"), "nid", "left_anti"), dims, size=size, near=near, apart=apart, same=same)
+    parts = [x.select("nid", "grp", "vec") for x in (kept, late, loose)]
+    rows, means = joined_groups(parts[0].unionByName(parts[1]).unionByName(parts[2]), dims, same=same)
+    members = near_mean(rows, means.where(F.col("n") >= size), near=near)
+    return members.join(base.select("nid", "id"), "nid").select("id", F.col("grp").alias("cluster"), "cosine")

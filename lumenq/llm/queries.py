@@ -200,6 +200,10 @@ def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(_vectors(spark, sf), DIMS, k=5).withColumn("cosine", F.round("cosine", 6))
 
 
+def _unpack():  # noqa: ANN202
+    return F.pandas_udf(lambda v: pd.Series([np.frombuffer(x, np.float32) for x in v], dtype=object), T.ArrayType(T.FloatType()))
+
+
 @query()
 def p4_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Recall of the five neighbours of one row in twenty (by hash of the id) against brute force
@@ -207,8 +211,7 @@ def p4_recall(spark: SparkSession, sf: str) -> DataFrame:
     packed = vectors.packed_vectors(table(spark, sf, "records").where("id IS NOT NULL").select("id", "vector"), ["id"], "vector", DIMS)
     rows = materialize(packed.distinct(), "unit-vectors")
     near = neighbours.nearest(rows.select(F.lit("").alias("space"), "id", "vec"), DIMS, k=5)
-    unpack = F.pandas_udf(lambda v: pd.Series([np.frombuffer(x, np.float32) for x in v], dtype=object), T.ArrayType(T.FloatType()))
-    plain = rows.select("id", unpack("vec").alias("vector"))
+    plain = rows.select("id", _unpack()("vec").alias("vector"))
     asked = plain.where("pmod(xxhash64(id), 20) = 0").select(F.col("id").alias("query_id"), "vector")
     exact = knn.search_batch(plain, asked, 6, "cosine").where("query_id <> id")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
@@ -233,7 +236,21 @@ def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return found, cell
 
 
-@query()
+# By definition instead of bands: components of all pairs of a cosine of 0.75, members near their mean.
+@query(
+    """WITH RECURSIVE r AS (SELECT id, min(CAST(vector AS DOUBLE[])) AS v FROM records WHERE id IS NOT NULL AND len(vector) = 64
+    AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY id),
+u AS (SELECT id, [x / sqrt(list_inner_product(v, v)) for x in v] AS v FROM r),
+e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON list_inner_product(a.v, b.v) >= 0.75),
+g AS (SELECT a, b FROM e UNION SELECT g.a, e.b FROM g JOIN e ON e.a = g.b),
+c AS (SELECT a AS id, min(b) AS grp FROM g GROUP BY a),
+s AS (SELECT grp, i, sum(x) AS x FROM (SELECT grp, unnest(v) AS x, unnest(range(64)) AS i FROM c JOIN u USING (id)) GROUP BY ALL),
+m AS (SELECT grp, list(x ORDER BY i) AS m FROM s GROUP BY grp),
+k AS (SELECT id, grp, count(*) OVER (PARTITION BY grp) AS n FROM c JOIN u USING (id) JOIN m USING (grp) WHERE list_cosine_similarity(v, m) >= 0.74),
+w AS (SELECT grp, cell_ordinal, count(*) AS n FROM k JOIN (SELECT DISTINCT id, cell_ordinal FROM records WHERE routing_epoch = 7 AND cell_ordinal IS NOT NULL) USING (id) WHERE k.n >= 8 GROUP BY ALL),
+o AS (SELECT grp, cell_ordinal, row_number() OVER (PARTITION BY grp ORDER BY n DESC, cell_ordinal) AS rn FROM w)
+SELECT id, o.cell_ordinal FROM k LEFT JOIN (SELECT * FROM o WHERE rn = 1) o USING (grp) WHERE k.n >= 8"""
+)
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     found, cell = _clusters(spark, sf)
     return found.join(broadcast_if_small(cell, 100_000), "cluster", "left").select("id", "cell_ordinal")
@@ -250,6 +267,20 @@ def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return size.join(typical, "cluster").join(cell, "cluster", "left").drop("cluster")
 
 
+@query()
+def p5_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Of one record in twenty (by hash of the id), over the clustered ones: the share of its 50 nearest
+    others by brute force with a cosine of 0.75 or more that are in its cluster."""
+    found, _ = _clusters(spark, sf)
+    packed = vectors.packed_vectors(table(spark, sf, "records").where("id IS NOT NULL").select("id", "vector"), ["id"], "vector", DIMS)
+    plain = materialize(packed.groupBy("id").agg(F.min("vec").alias("vec")).select("id", _unpack()("vec").alias("vector")), "unit-vectors")
+    asked = plain.where("pmod(xxhash64(id), 20) = 0").select(F.col("id").alias("query_id"), "vector")
+    near = knn.search_batch(plain, asked, 51, "cosine").where("query_id <> id AND distance <= 0.25").select("query_id", "id")
+    of = found.select("id", "cluster")
+    both = near.join(of.select(F.col("id").alias("query_id"), F.col("cluster").alias("own")), "query_id").join(of, "id", "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("pairs"), F.round(F.avg((F.col("cluster").eqNullSafe(F.col("own"))).cast("double")), 4).alias("recall"))
+
+
 # 6. How distinctive a term is
 
 

@@ -106,7 +106,8 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
 
 
-def test_clusters(spark):
+@pytest.mark.parametrize("in_task", [16_384, 20])
+def test_clusters(spark, in_task):
     rng = np.random.default_rng(10)
     centres = rng.standard_normal((5, 64))
     centres[1] = unit(unit(centres[0]) + 0.9 * unit(centres[1])) * 8  # two that are rather near
@@ -117,7 +118,7 @@ def test_clusters(spark):
     rows += [(f"copy{n}", rows[0][1]) for n in range(40)] + [(f"noise{n}", unit(rng.standard_normal(64))) for n in range(60)] + rows[:7] + [(None, rows[0][1])]
     df = spark.createDataFrame([(i, v.tobytes(), "x") for i, v in rows], "id string, vec binary, cluster string")
     got = {}
-    for r in clusters.similarity_clusters(df, 64).collect():
+    for r in clusters.similarity_clusters(df, 64, in_task=in_task).collect():
         assert r["id"] not in got
         got[r["id"]] = r["cluster"]
     groups = {}
@@ -163,6 +164,22 @@ def test_assign_in_blocks(spark, monkeypatch):
         assert got == [(i, i // 8) for i in range(3200)]
 
 
+def test_split_of_a_chain(spark):
+    """A component of many chained clusters, cut over tasks and within one."""
+    rng = np.random.default_rng(31)
+    groups = [loose_cluster(rng, 12, 0.9, 0.95) for _ in range(40)]
+    rows = [(12 * g + n, 0, n, v.tobytes()) for g, x in enumerate(groups) for n, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "nid bigint, grp bigint, links bigint, vec binary")
+    for in_task in (1000, 100, 8):
+        got = {r["nid"]: r["grp"] for r in clusters.split_loose(df, near=0.65, in_task=in_task).collect()}
+        pieces = {}
+        for nid, grp in got.items():
+            pieces.setdefault(grp, set()).add(nid // 12)
+        assert all(len(p) == 1 for p in pieces.values()) and len(got) >= 0.97 * len(rows)
+    whole, means = clusters.joined_groups(clusters.split_loose(df, near=0.65, in_task=100), 64, same=0.85)
+    assert means.count() == 40
+
+
 def test_leader_links():
     key = np.array([1, 1, 1, 2, 2])
     sets = np.array([[1, 2], [1, 2], [9, 9], [1, 2], [1, 3]], np.uint8)
