@@ -1,9 +1,8 @@
 """The k most similar vectors of every vector, by randomly rotated one-bit codes (RaBitQ).
 
-Vectors are placed in the cells of a coarse index, a vector near a border in more than one. Within
-a cell each vector's residual to the cell's mean is rotated and reduced to one bit per dimension,
-with its length and its code's inner product as correction scalars; a query is rotated and reduced
-to four bits per dimension. Inner products are estimated from the packed bits by AND and popcount,
+Vectors are placed in the cells of a coarse index. Within a cell each vector's residual to the
+cell's mean is rotated and reduced to one bit per dimension, with its length and its code's inner
+product as correction scalars; a query is rotated and reduced to four bits per dimension. Inner products are estimated from the packed bits by AND and popcount,
 each with an error bound; only pairs whose upper bound reaches the k-th best lower bound are
 computed exactly. A cell over max_cell rows is worked on in tiles of blocks, so no task holds more
 than two blocks and every pair of the cell is still seen.
@@ -374,10 +373,10 @@ def nearest(
     *,
     k: int = 5,
     least: float = -2.0,
-    per_cell: int = 1000,
+    per_cell: int = 256,
     max_cell: int = 4096,
     margin: float = 0.2,
-    most: int = 3,
+    most: int = 1,
 ) -> DataFrame:
     """space, id, neighbour, cosine: the k most similar others of every vector within its space.
 
@@ -432,6 +431,7 @@ def nearest(
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    every = found.groupBy("space", "id", "neighbour").agg(F.max("cosine").alias("cosine"))
+    # one shuffle by id serves the grouping and the window
+    every = found.repartition("space", "id").groupBy("space", "id", "neighbour").agg(F.max("cosine").alias("cosine"))
     w = Window.partitionBy("space", "id").orderBy(F.round("cosine", 7).desc(), "neighbour")
     return every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
