@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[str] = []
+_roots: set[str] = set()
 
 
 @atexit.register
@@ -20,13 +22,16 @@ def _clean() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Only where that is unset (tests, local mode)
-    a temporary one is made and set."""
+    """The folder named by spark.checkpoint.dir. Only where that is unset and the master is local
+    (tests), a temporary one is made and set; on a cluster a folder of one machine is no use, so there
+    an unset one is an error."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lumenq-")
         _made.append(path)
         spark.sparkContext.setCheckpointDir(f"file://{path}")
@@ -34,12 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):  # noqa: ANN201
+    """The filesystem of a path, and the path, as the JVM knows them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if path.startswith("file:"):
-        _made.append("/" + path[5:].lstrip("/"))
-    return path
+    """A fresh path in the shared folder, below one folder of the application, which the filesystem
+    removes when the driver ends."""
+    root = f"{shared_dir(spark)}/lumenq-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        fs, p = hadoop_path(spark, root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _roots.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lumenq.util import broadcast_if_small, distinct_projection, materialize, shared_dir, spread
@@ -21,3 +22,19 @@ def test_helpers(spark):
     assert "broadcast" in small.lower() and "broadcast" not in large.lower()
     assert spread(df.coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert spread(df.groupBy("id").agg(F.count("*"))).count() == 10
+
+
+def test_shared_folder_off_local_masters():
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k, d: d)}))
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
+    Context.getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k, d: "hdfs://n/x/")}))
+    assert shared_dir(Session) == "hdfs://n/x"
