@@ -1,8 +1,10 @@
-"""A mutable collection of records: immutable version folders of Parquet and a pointer to the current one.
+"""A mutable collection of records: immutable folders of Parquet, and a numbered file per version that
+names the folders it consists of.
 
-Each change writes a log folder of put and delete rows under the next version, then moves the
-pointer. The live view is, per id, the row of the newest version; a reader that holds a version
-number keeps seeing that snapshot.
+Each change writes a log folder of put and delete rows, then the next version's file, which only one
+writer can make: it is written aside and renamed to its name, and the rename fails if the name is
+taken. The loser of such a race starts again from the version it lost to. The live view is, per id, the row
+of the newest version; a reader opened at a version number keeps seeing that snapshot and can't write.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,7 @@ from pyspark.sql import types as T
 from lumenq.functions.codecs import canonical, element_type
 from lumenq.functions.metrics import parse
 from lumenq.operators.lexical import is_sparse
+from lumenq.util import hadoop_path
 
 
 class EngineError(Exception):
@@ -40,6 +44,14 @@ class InvalidRecord(EngineError):
     code = "invalid_record"
 
 
+class ReadOnly(EngineError):
+    code = "read_only"
+
+
+class Conflict(EngineError):
+    code = "conflict"
+
+
 @dataclass
 class Spec:
     """What is fixed when a collection is made."""
@@ -60,20 +72,33 @@ SCHEMA = T.StructType(
         T.StructField("metadata", T.StringType()),
     ]
 )
-LOG = T.StructType([*SCHEMA.fields, T.StructField("deleted", T.BooleanType(), False), T.StructField("version", T.LongType(), False)])
+LOG = T.StructType([*SCHEMA.fields, T.StructField("deleted", T.BooleanType(), False), T.StructField("version", T.LongType(), False), T.StructField("seq", T.LongType())])
+ATTEMPTS = 20
 
 
 class Collection:
     def __init__(self, spark: SparkSession, path: str, version: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._p = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not self._fs.exists(self._p(f"{self.path}/CURRENT")):
-            raise NotFound(path)
-        state = json.loads(self._read("CURRENT"))
-        self.spec, self._state = Spec(**state["spec"]), state
-        self.version = state["version"] if version is None else version
+        self._fs, _ = hadoop_path(spark, self.path)
+        self._p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.pinned = version is not None
+        self._load(version)
+
+    def _load(self, version: int | None = None) -> None:
+        """The state of a version, the newest by default."""
+        folder = self._p(f"{self.path}/versions")
+        if not self._fs.exists(folder):
+            raise NotFound(self.path)
+        known = [int(n[:-5]) for f in self._fs.listStatus(folder) if (n := f.getPath().getName()).endswith(".json") and n[0] != "."]
+        if not known or (version is not None and version not in known):
+            raise NotFound(f"{self.path} version {version}")
+        self.version = max(known) if version is None else version
+        self._state = json.loads(self._read(self._file(self.version)))
+        self.spec = Spec(**self._state["spec"])
+
+    @staticmethod
+    def _file(version: int) -> str:
+        return f"versions/{version:012d}.json"
 
     # making and opening
 
@@ -83,14 +108,14 @@ class Collection:
         element_type(spec.element_type)
         if spec.dimensions <= 0:
             raise InvalidRecord("dimensions must be greater than zero")
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/CURRENT")
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(p):
+        fs, folder = hadoop_path(spark, f"{path.rstrip('/')}/versions")
+        if fs.exists(folder):
             raise AlreadyExists(path)
-        out = fs.create(p, False)
-        out.write(json.dumps({"spec": asdict(spec), "version": 0, "folders": []}).encode())
-        out.close()
+        fs.mkdirs(folder)
+        try:
+            _write_once(spark, path.rstrip("/"), cls._file(0), json.dumps({"spec": asdict(spec), "folders": [], "batches": {}}))
+        except Conflict as e:
+            raise AlreadyExists(path) from e
         return cls(spark, path)
 
     open = __init__
@@ -104,35 +129,45 @@ class Collection:
         s.close()
         return text
 
-    def _publish(self, folders: list[list]) -> None:
-        """Moves the pointer: written aside, then renamed over."""
-        self._state |= {"version": self.version + 1, "folders": folders}
-        tmp = self._p(f"{self.path}/.CURRENT-{uuid.uuid4().hex}")
-        out = self._fs.create(tmp, True)
-        out.write(json.dumps(self._state).encode())
-        out.close()
-        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
-        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-        how = gateway.new_array(kind, 1)
-        how[0] = kind.OVERWRITE
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        files.rename(self._fs.makeQualified(tmp), self._fs.makeQualified(self._p(f"{self.path}/CURRENT")), how)
-        self.version += 1
+    def _change(self, make) -> None:  # noqa: ANN001
+        """Makes the next version: make() writes folders and gives (folders, changes of the state) from
+        the newest state, or None for no change. If another writer was first, all starts again."""
+        if self.pinned:
+            raise ReadOnly(f"{self.path} is open at version {self.version}")
+        for _ in range(ATTEMPTS):
+            self._load()
+            made = make()
+            if made is None:
+                return
+            folders, more = made
+            state = self._state | more | {"folders": folders}
+            try:
+                _write_once(self.spark, self.path, self._file(self.version + 1), json.dumps(state))
+            except Conflict:
+                known = {n for n, _ in self._state["folders"]}
+                for name, _ in folders:
+                    if name not in known:
+                        self._fs.delete(self._p(f"{self.path}/{name}"), True)
+                continue
+            self._state, self.version = state, self.version + 1
+            return
+        raise Conflict(f"{self.path}: {ATTEMPTS} other writers were first")
 
     # reading
 
     def log(self) -> DataFrame:
         """All rows of this snapshot, old versions and tombstones included."""
-        paths = [f"{self.path}/{name}" for name, v in self._state["folders"] if v <= self.version]
+        paths = [f"{self.path}/{name}" for name, _ in self._state["folders"]]
         return self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
 
     def newest(self) -> DataFrame:
-        rest = [c for c in LOG.fieldNames() if c != "id"]
-        return self.log().groupBy("id").agg(F.max_by(F.struct(*rest), F.col("version")).alias("r")).select("id", "r.*")
+        """Per id the row of the newest version; seq is the largest of all its rows."""
+        rest = [c for c in LOG.fieldNames() if c not in ("id", "seq")]
+        return self.log().groupBy("id").agg(F.max_by(F.struct(*rest), F.col("version")).alias("r"), F.max("seq").alias("seq")).select("id", "r.*", "seq")
 
     def live(self) -> DataFrame:
         """The live records."""
-        return self.newest().where("NOT deleted").drop("deleted", "version")
+        return self.newest().where("NOT deleted").drop("deleted", "version", "seq")
 
     def stats(self) -> DataFrame:
         """One row: records, vectors, sparse_vectors, texts, tombstones, version."""
@@ -164,76 +199,107 @@ class Collection:
             raise InvalidRecord(f"empty id, wrong length or non-finite value: {first[0]['id']!r}")
         return shaped
 
-    def _append(self, *parts: tuple[DataFrame, bool]) -> None:
-        """One version out of rows to put and rows to delete; an id must not stand in both."""
+    def _appended(self, *parts: tuple[DataFrame, bool]) -> list:
+        """Writes rows to put and rows to delete, an id in one of them at most; the folders with these."""
         folders = list(self._state["folders"])
         for rows, deleted in parts:
             name = f"log-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
-            rows.select(*SCHEMA.fieldNames(), F.lit(deleted).alias("deleted"), F.lit(self.version + 1).cast("bigint").alias("version")).write.parquet(f"{self.path}/{name}")
+            seq = F.col("seq") if "seq" in rows.columns else F.lit(None).cast("bigint")
+            rows.select(*SCHEMA.fieldNames(), F.lit(deleted).alias("deleted"), F.lit(self.version + 1).cast("bigint").alias("version"), seq.alias("seq")).write.parquet(f"{self.path}/{name}")
             folders.append([name, self.version + 1])
-        self._publish(folders)
+        return folders
 
     def add(self, records: DataFrame) -> None:
         """Inserts new records; ids that repeat, live or deleted (until purged), are an error."""
         shaped = self._checked(records)
-        twice = shaped.groupBy("id").count().where("count > 1").limit(1).collect()
-        known = shaped.select("id").join(self.log().select("id"), "id", "left_semi").limit(1).collect()
-        if twice or known:
-            raise DuplicateRecordId((twice or known)[0]["id"])
-        self._append((shaped, False))
+
+        def make() -> tuple[list, dict]:
+            twice = shaped.groupBy("id").count().where("count > 1").limit(1).collect()
+            known = shaped.select("id").join(self.log().select("id"), "id", "left_semi").limit(1).collect()
+            if twice or known:
+                raise DuplicateRecordId((twice or known)[0]["id"])
+            return self._appended((shaped, False)), {}
+
+        self._change(make)
 
     def add_vectors(self, vectors: DataFrame) -> DataFrame:
         """Inserts vectors without ids; returns them with the ids made for them."""
         made = vectors.select(F.concat(F.lit("g"), F.sha2(F.concat(F.lit(f"{self.version}-"), F.expr("uuid()")), 256)).alias("id"), "vector")
-        before = {n for n, _ in self._state["folders"]}
-        self._append((self._checked(made), False))
-        new = [n for n, _ in self._state["folders"] if n not in before]
-        return self.spark.read.schema(LOG).parquet(f"{self.path}/{new[0]}").select("id", "vector")
+        self._change(lambda: (self._appended((self._checked(made), False)), {}))
+        return self.spark.read.schema(LOG).parquet(f"{self.path}/{self._state['folders'][-1][0]}").select("id", "vector")
 
     def _puts(self, records: DataFrame) -> DataFrame:
         w = Window.partitionBy("id").orderBy(F.xxhash64(*SCHEMA.fieldNames()).desc())
-        return self._checked(records).withColumn("__n", F.row_number().over(w)).where("__n = 1")
+        return self._checked(records).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
     def upsert(self, records: DataFrame) -> None:
         """Inserts or replaces; of rows with the same id in one call any one wins. Revives deleted ids."""
-        self._append((self._puts(records), False))
+        self._change(lambda: (self._appended((self._puts(records), False)), {}))
 
-    def _drops(self, ids: DataFrame) -> DataFrame:
-        gone = ids.select(F.col("id").cast("string").alias("id")).distinct().join(self.live().select("id"), "id", "left_semi")
+    def _drops(self, ids: DataFrame, live: bool = True) -> DataFrame:
+        gone = ids.select(F.col("id").cast("string").alias("id")).distinct()
+        gone = gone.join(self.live().select("id"), "id", "left_semi") if live else gone
         return gone.select("id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMA.fields[1:]])
 
     def delete(self, ids: DataFrame) -> int:
         """Deletes the live ones among ids (repeated ones count once); returns how many there were."""
-        rows = self._drops(ids)
-        n = rows.count()
-        if n:
-            self._append((rows, True))
+        n = 0
+
+        def make() -> tuple[list, dict] | None:
+            nonlocal n
+            rows = self._drops(ids)
+            n = rows.count()
+            return (self._appended((rows, True)), {}) if n else None
+
+        self._change(make)
         return n
 
-    def apply(self, puts: DataFrame, deletes: DataFrame, batch: int) -> None:
-        """Puts and deletes as one version, once per batch number."""
-        if batch <= self._state.get("batch", -1):
-            return
-        self._state["batch"] = batch
-        self._append((self._puts(puts), False), (self._drops(deletes), True))
+    def apply(self, changes: DataFrame, batch: int, stream: str = "") -> None:
+        """A batch of a stream as one version, once per stream and batch number.
+
+        changes: the columns of a record, op (put or delete) and seq. Per id the change of the largest
+        seq counts, over all batches and streams: one that is not above the largest seq applied to its
+        id before is left out, whatever the order of arrival. Deletes are kept as tombstones, known id
+        or not, for the changes that arrive later than they should. Direct changes (upsert, delete)
+        have no seq and are not held back by one.
+        """
+
+        def make() -> tuple[list, dict] | None:
+            if batch <= self._state["batches"].get(stream, -1):
+                return None
+            rest = [c for c in changes.columns if c != "id"]
+            last = changes.groupBy("id").agg(F.max_by(F.struct(*rest), F.col("seq")).alias("r")).select("id", "r.*")
+            known = self.log().where("seq IS NOT NULL").groupBy("id").agg(F.max("seq").alias("__seen"))
+            fresh = last.join(known, "id", "left").where("__seen IS NULL OR seq > __seen").drop("__seen")
+            seqs = fresh.select("id", "seq")
+            puts = self._checked(fresh.where("op = 'put'")).join(seqs, "id")
+            drops = self._drops(fresh.where("op = 'delete'"), live=False).join(seqs, "id")
+            return self._appended((puts, False), (drops, True)), {"batches": self._state["batches"] | {stream: batch}}
+
+        self._change(make)
 
     def purge(self) -> None:
-        """Rewrites the live records; tombstones and old versions go, their ids may be added again."""
-        self._rewrite(self.live())
+        """Rewrites the live records; tombstones, old versions and sequences go, their ids may be added again."""
 
-    def _rewrite(self, live: DataFrame) -> None:
-        name = f"base-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
-        live.select(*SCHEMA.fieldNames(), F.lit(False).alias("deleted"), F.lit(self.version + 1).cast("bigint").alias("version")).write.parquet(f"{self.path}/{name}")
-        self._publish([[name, self.version + 1]])
+        def make() -> tuple[list, dict]:
+            name = f"base-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
+            self.live().select(*SCHEMA.fieldNames(), F.lit(False).alias("deleted"), F.lit(self.version + 1).cast("bigint").alias("version"), F.lit(None).cast("bigint").alias("seq")).write.parquet(f"{self.path}/{name}")
+            return [[name, self.version + 1]], {}
+
+        self._change(make)
 
     def compact(self, rows_per_file: int = 131_072) -> None:
         """Rewrites all folders into one, rows that are near each other together; tombstones stay."""
         if rows_per_file <= 0:
             raise ValueError("rows_per_file must be greater than zero")
-        name = f"base-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
-        n = self.newest().withColumn("__at", locality("vector"))
-        n.repartitionByRange("__at", "id").sortWithinPartitions("__at", "id").drop("__at").select(*LOG.fieldNames()).write.option("maxRecordsPerFile", rows_per_file).parquet(f"{self.path}/{name}")
-        self._publish([[name, self.version + 1]])
+
+        def make() -> tuple[list, dict]:
+            name = f"base-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
+            n = self.newest().withColumn("__at", locality("vector"))
+            n.repartitionByRange("__at", "id").sortWithinPartitions("__at", "id").drop("__at").select(*LOG.fieldNames()).write.option("maxRecordsPerFile", rows_per_file).parquet(f"{self.path}/{name}")
+            return [[name, self.version + 1]], {}
+
+        self._change(make)
 
     rebuild = compact
 
@@ -255,6 +321,25 @@ class Collection:
         return sorted(out)
 
 
+def _write_once(spark: SparkSession, root: str, name: str, text: str) -> None:
+    """A small file that only one writer can make: written aside, then renamed to a name that must be free."""
+    fs, target = hadoop_path(spark, f"{root}/{name}")
+    _, aside = hadoop_path(spark, f"{root}/versions/.{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    out.write(text.encode())
+    out.close()
+    sc = spark.sparkContext
+    files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    how = sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        files.rename(fs.makeQualified(aside), fs.makeQualified(target), how)
+    except Py4JJavaError as e:
+        fs.delete(aside, False)
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            raise Conflict(name) from e
+        raise
+
+
 def _signs(seed: int):  # noqa: ANN202
     return lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(seed)), F.lit(2)) == 0, x).otherwise(-x)
 

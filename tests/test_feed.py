@@ -81,11 +81,57 @@ def test_ingest_is_idempotent(spark):
     df.coalesce(1).write.parquet(src)
     ingest.ingest(feed.stream_of(spark, src, df.schema), c, scratch_path(spark, "k")).awaitTermination()
     assert [(r["id"], r["vector"]) for r in c.refresh().live().collect()] == [("a", [2.0])]
-    now = c.refresh()
-    now.apply(df.where("id = 'b'").drop("op", "seq").where("vector IS NOT NULL"), df.select("id").limit(0), 0)  # batch 0 again
+    c.refresh().apply(df.where("id = 'b' AND op = 'put'"), 0, next(iter(c.refresh()._state["batches"])))  # batch 0 again
     assert c.refresh().live().count() == 1
 
 
+def test_late_changes_and_two_streams(spark):
+    path = scratch_path(spark, "c")
+    collection.Collection.create(spark, path, collection.Spec("euclidean", 1))
+    schema = "id string, vector array<float>, text string, metadata string, op string, seq bigint"
+    src = scratch_path(spark, "src")
+    check = scratch_path(spark, "k")
+    apply = lambda rows, number, k=check, at=src: (
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at),
+        ingest.ingest(feed.stream_of(spark, at, spark.read.schema(schema).parquet(at).schema), collection.Collection(spark, path), k).awaitTermination(),
+    )
+    apply([("a", [10.0], None, None, "put", 10), ("d", None, None, None, "delete", 9)], 0)
+    apply([("a", [5.0], None, None, "put", 5), ("b", [6.0], None, None, "put", 6), ("d", [1.0], None, None, "put", 8)], 1)  # a and d come late
+    live = lambda: {r["id"]: r["vector"] for r in collection.Collection(spark, path).live().collect()}
+    assert live() == {"a": [10.0], "b": [6.0]}
+    apply([("c", [1.0], None, None, "put", 1), ("b", None, None, None, "delete", 5)], 0, scratch_path(spark, "k"), scratch_path(spark, "src"))  # a second stream's batch 0
+    assert live() == {"a": [10.0], "b": [6.0], "c": [1.0]}
+    collection.Collection(spark, path).compact()
+    apply([("a", [7.0], None, None, "put", 7), ("b", [8.0], None, None, "put", 8)], 2)
+    assert live() == {"a": [10.0], "b": [8.0], "c": [1.0]}
+
+
+def test_two_writers_and_snapshots(spark):
+    path = scratch_path(spark, "c")
+    row = lambda i, x: spark.createDataFrame([(i, [x])], "id string, vector array<float>")
+    one = collection.Collection.create(spark, path, collection.Spec("euclidean", 1))
+    two = collection.Collection(spark, path)
+    one.upsert(row("a", 1.0))
+    two.upsert(row("b", 2.0))  # opened before a was written
+    assert {r["id"] for r in two.live().collect()} == {"a", "b"} and (one.version, two.version) == (1, 2)
+    old = collection.Collection(spark, path, 1)
+    with pytest.raises(collection.ReadOnly):
+        old.upsert(row("c", 3.0))
+    raced = collection.Collection(spark, path)
+    inner = raced._puts
+
+    def slow(records):
+        raced._puts = inner
+        one.upsert(row("c", 3.0))  # another writer takes the version in between
+        return inner(records)
+
+    raced._puts = slow
+    raced.upsert(row("d", 4.0))
+    assert {r["id"] for r in one.refresh().live().collect()} == {"a", "b", "c", "d"} and raced.version == 4
+    with pytest.raises(collection.NotFound):
+        collection.Collection(spark, path, 99)
+
+
 def test_json_records(spark, tmp_path):
     p = tmp_path / "r.json"
     p.write_text('[{"id": "a", "vector": [1, 2], "metadata": {"x": 1}, "named_vectors": {"d": [1], "l": [[1, 2], [3, 4]]}}, {"id": "b"}]')
