@@ -37,19 +37,17 @@ def search(records: DataFrame, query: list[float], k: int, metric: str = "euclid
     return hits.where("distance IS NOT NULL").orderBy("distance", "id").limit(k)
 
 
-def _queries(queries: DataFrame, query_id: str, vector: str) -> list[tuple[list, np.ndarray]]:
-    """The queries in blocks of at most QUERY_BYTES of vectors."""
+def _queries(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
+    """The queries in blocks of at most QUERY_BYTES of vectors, one at a time."""
     rows = queries.select(query_id, vector).where(F.col(query_id).isNotNull() & F.col(vector).isNotNull()).dropDuplicates()
     n = rows.count()
     width = rows.agg(F.max(F.size(vector))).first()[0] or 1
     blocks = max(1, -(-n * width * 8 // QUERY_BYTES))
-    out = []
     for b in range(blocks):
         got = rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).collect()
         got.sort(key=lambda r: r[0])
         if got:
-            out.append(([r[0] for r in got], np.array([r[1] for r in got], np.float64)))
-    return out
+            yield [r[0] for r in got], np.array([r[1] for r in got], np.float64)
 
 
 def _keep(held: dict, number: int, ids: np.ndarray, d: np.ndarray, k: int) -> None:
