@@ -170,11 +170,11 @@ class QdrantClient:
         return self.store.exists(name)
 
     def upsert(self, name: str, points: list) -> int:
-        read = filters._read
-        return put(self.store.open(name), [(read(p, "id"), read(p, "vector"), read(p, "payload"), None) for p in points])
+        rows = [filters.plain(p) for p in points]
+        return put(self.store.open(name), [(r.get("id"), r.get("vector"), r.get("payload"), None) for r in rows])
 
     def search(self, name: str, query_vector: list[float], limit: int = 10, query_filter: object = None, offset: int = 0) -> list[dict]:
-        hits = _hits(self.store.open(name), query_vector, limit + offset, filters.from_conditions(query_filter))
+        hits = _hits(self.store.open(name), query_vector, limit + offset, filters.condition_filter(query_filter))
         return [{"id": h["id"], "score": h["distance"], "payload": h["metadata"], "vector": h["vector"]} for h in hits[offset:]]
 
     query_points = search
@@ -184,7 +184,7 @@ class QdrantClient:
         return [{"id": r["id"], "payload": _meta(r["metadata"]), "vector": list(r["vector"] or [])} for r in rows if r]
 
     def scroll(self, name: str, limit: int = 10, offset: str | None = None, scroll_filter: object = None) -> tuple[list[dict], str | None]:
-        rows = self.store.open(name).records(filters.from_conditions(scroll_filter))
+        rows = self.store.open(name).records(filters.condition_filter(scroll_filter))
         rows = rows.where(rows["id"] >= offset) if offset else rows
         got = rows.orderBy("id").limit(limit + 1).collect()
         return [{"id": r["id"], "payload": _meta(r["metadata"])} for r in got[:limit]], got[limit]["id"] if len(got) > limit else None
@@ -256,7 +256,7 @@ class TurbopufferNamespace:
         return n + (index.delete(_ids(index, deletes)) if deletes else 0)
 
     def query(self, vector: list[float], top_k: int = 10, filters_: object = None) -> list[dict]:
-        hits = _hits(self.store.open(self.name), vector, top_k, filters.from_tuples(filters_) or None)
+        hits = _hits(self.store.open(self.name), vector, top_k, filters.list_filter(filters_))
         return [{"id": h["id"], "$dist": h["distance"], **h["metadata"]} for h in hits]
 
 

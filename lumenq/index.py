@@ -26,11 +26,13 @@ class Index:
         return cls(Collection(spark, path))
 
     def records(self, filter: dict | str | None = None) -> DataFrame:
-        """The live records that a metadata filter lets through."""
+        """The live records that a metadata filter lets through: one of this engine, or a function of the
+        metadata and id columns."""
         live = self.collection.live()
         if filter is None:
             return live
-        return live.withColumn("__m", filters.parse_metadata(F.col("metadata"))).where(filters.compile_filter(filter, F.col("__m"))).drop("__m")
+        test = filter if callable(filter) else lambda m, i: filters.compile_filter(filter, m)
+        return live.withColumn("__m", filters.parse_metadata(F.col("metadata"))).where(test(F.col("__m"), F.col("id"))).drop("__m")
 
     def search(self, vector: list[float], k: int = 10, *, filter: dict | str | None = None, include_metadata: bool = False, include_vectors: bool = False) -> DataFrame:
         """Exact: id, distance, and metadata or vector when asked for."""

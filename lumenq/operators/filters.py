@@ -8,8 +8,10 @@ operator but $ne, $nin, $not and $exists.
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,6 +98,20 @@ def _geo(m: Metadata, path: str, spec: object) -> Column:
     return _sure(plain & (F.size(point) == 2) & (d <= float(spec["radius"])))
 
 
+def check_pattern(value: str) -> None:
+    """Patterns are those of automata: no look-around and no back-references; the JVM must know the rest."""
+    plain = re.sub(r"\\Q.*?(\\E|$)", "", value, flags=re.S)
+    escaped = re.findall(r"\\(.)", plain, re.S)
+    bare = re.sub(r"\\.", "", plain, flags=re.S)
+    if any(c.isdigit() and c != "0" or c == "k" for c in escaped) or re.search(r"\(\?(?:[=!>]|<[=!])", bare):
+        raise ValueError("$regex has no look-around and no back-references")
+    sc = SparkContext._active_spark_context
+    try:
+        sc._jvm.java.util.regex.Pattern.compile(value)
+    except Exception as e:  # the JVM's PatternSyntaxException
+        raise ValueError(f"bad $regex: {value}") from e
+
+
 def _one(m: Metadata, path: str, op: str, value: object) -> Column:
     if op == "$eq":
         return _equals(m, path, value)
@@ -112,14 +128,7 @@ def _one(m: Metadata, path: str, op: str, value: object) -> Column:
     if op == "$regex":
         if not isinstance(value, str):
             raise ValueError("$regex needs a pattern")
-        if r"(?=" in value or "(?!" in value or "(?<=" in value or "(?<!" in value:
-            raise ValueError("$regex has no look-around")
-        import re
-
-        try:
-            re.compile(value)
-        except re.error as e:
-            raise ValueError(f"bad $regex: {e}") from e
+        check_pattern(value)
         return _sure((m.kind(path) == "STRING") & m.get(path, "string").rlike(value))
     if op == "$exists":
         there = m.get(path, "variant").isNotNull()

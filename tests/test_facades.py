@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenq.__main__ import run
 from lumenq.compat import filters, services
@@ -29,19 +30,40 @@ def test_index(spark):
         index.search_hybrid(q.select("query_id"), 3)
 
 
-def test_filter_translation():
-    assert filters.from_tuples(("And", (("g", "Eq", "x"), ("Not", ("y", "In", [1]))))) == {"$and": [{"g": {"$eq": "x"}}, {"$not": {"y": {"$in": [1]}}}]}
-    assert filters.from_tuples(None) == {}
-    f = {"must": [{"key": "g", "match": {"value": "x"}}], "must_not": [{"key": "y", "range": {"lt": 3}}], "should": [{"key": "z", "match": {"any": [1]}}]}
-    assert filters.from_conditions(f) == {"$and": [{"g": {"$eq": "x"}}, {"$or": [{"z": {"$in": [1]}}]}, {"$not": {"$or": [{"y": {"$lt": 3}}]}}]}
-    assert filters.from_conditions({"a": 1}) == {"a": 1} and filters.from_conditions(None) is None
+def passing(spark, test):
+    data = [("a", '{"g": "x", "y": 1, "z": [1, 2], "s": "Red apple pie"}'), ("b", '{"g": "y", "y": 5, "z": [], "n": null, "o": [{"p": 1}, {"p": 2}]}'), ("c", None), ("d", '{"g": "xy", "at": [48.0, 11.0]}')]
+    df = spark.createDataFrame(data, "id string, metadata string")
+    return "".join(sorted(r["id"] for r in df.where(test(F.try_parse_json("metadata"), F.col("id"))).collect()))
+
+
+def test_list_filters(spark):
+    on = lambda f: passing(spark, filters.list_filter(f))
+    assert on(("And", (("g", "Eq", "x"), ("Not", ("y", "In", [5]))))) == "a"
+    assert on(["Or", [["y", "Gte", 5], ["z", "ContainsAny", [2, 9]]]]) == "ab" and on(["g", "NotEq", "x"]) == "bcd"
+    assert on(["g", "Glob", "x*"]) == "ad" and on(["g", "NotGlob", "X*"]) == "abcd" and on(["g", "IGlob", "X?"]) == "d" and on(["y", "NotIn", [1]]) == "bcd"
+    assert filters.list_filter(None) is None
     for bad in (("g", "Near", 1), (), "x"):
         with pytest.raises(ValueError):
-            filters.from_tuples(bad)
+            filters.list_filter(bad)
     with pytest.raises(ValueError):
         filters.metric("qdrant", "cosine")
 
 
+def test_condition_filters(spark):
+    on = lambda **f: passing(spark, filters.condition_filter(f))
+    field = lambda key, **how: {"key": key, **how}
+    assert on(must=[field("g", match={"value": "x"})], must_not=[field("y", range={"lt": 0})], should=[field("z", match={"any": [1]})]) == "a"
+    assert on(must=field("z", match={"value": 2})) == "a" and on(must=[field("g", match={"except": ["x"]})]) == "bd"
+    assert on(must=[{"has_id": ["b", "c"]}]) == "bc" and on(must=[{"is_null": {"key": "n"}}]) == "b" and on(must=[{"is_empty": {"key": "z"}}]) == "bcd"
+    assert on(must=[field("z", values_count={"gte": 2})]) == "a" and on(must=[field("s", match={"text": "PIE red"})]) == "a" and on(must=[field("s", match={"text": "app"})]) == ""
+    assert on(must=[{"nested": {"key": "o", "filter": {"must": [field("p", match={"value": 2})]}}}]) == "b"
+    assert on(min_should={"conditions": [field("g", match={"value": "x"}), field("y", range={"gt": 0}), {"has_id": ["d"]}], "min_count": 2}) == "a"
+    assert on(must=[field("at", geo_radius={"center": {"lat": 48.1, "lon": 11.0}, "radius": 20_000})]) == "d"
+    assert filters.condition_filter({"a": 1}) == {"a": 1} and filters.condition_filter(None) is None
+    with pytest.raises(ValueError):
+        filters.condition_filter({"must": [{"key": "g"}]})
+
+
 def test_services(spark):
     p = services.Pinecone(spark, scratch_path(spark, "p"))
     p.create_index("x", 2, "euclidean")
