@@ -143,19 +143,19 @@ def _wasserstein(p: Column, q: Column) -> Column:
     )
 
 
-def _dtw_rows(a: np.ndarray, b: np.ndarray) -> float:
-    """Dynamic time warping with absolute cost and no window."""
-    prev = np.full(len(b) + 1, np.inf)
-    prev[0] = 0
-    for x in a:
-        cost = np.abs(b - x)
-        cur = np.empty_like(prev)
-        cur[0] = np.inf
-        reach = np.minimum(prev[1:], prev[:-1])
-        for j in range(len(b)):
-            cur[j + 1] = cost[j] + min(reach[j], cur[j])
-        prev = cur
-    return float(prev[-1])
+def _dtw_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dynamic time warping with absolute cost and no window, of every row of a with the same row of b:
+    by anti-diagonals, so a step serves all rows at once."""
+    n, wide, high = len(a), a.shape[1], b.shape[1]
+    one, two = (np.full((n, wide + 1), np.inf) for _ in range(2))  # the last diagonal and the one before, by a's place + 1
+    two[:, 0] = 0
+    for s in range(wide + high - 1):
+        lo, hi = max(0, s - high + 1), min(wide, s + 1)
+        cur = np.full((n, wide + 1), np.inf)
+        cost = np.abs(a[:, lo:hi] - b[:, s - np.arange(lo, hi)])
+        cur[:, lo + 1 : hi + 1] = cost + np.minimum(np.minimum(one[:, lo:hi], one[:, lo + 1 : hi + 1]), two[:, lo:hi])
+        one, two = cur, one
+    return one[:, wide]
 
 
 def _dtw(a: Column, b: Column) -> Column:
@@ -163,7 +163,14 @@ def _dtw(a: Column, b: Column) -> Column:
     def run(x, y):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([None if p is None or q is None else _dtw_rows(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(x, y)])
+        sizes: dict[tuple[int, int], list[int]] = {}
+        for i, (p, q) in enumerate(zip(x, y)):
+            if p is not None and q is not None and len(p) and len(q):
+                sizes.setdefault((len(p), len(q)), []).append(i)
+        out = np.full(len(x), np.nan)
+        for at in sizes.values():
+            out[at] = _dtw_rows(*(np.array([v.iloc[i] for i in at], float) for v in (x, y)))
+        return pd.Series([None if np.isnan(v) else float(v) for v in out], dtype=object)
 
     return run(a, b)
 

@@ -157,6 +157,16 @@ for _name, (_prepare, _with, _expr) in METRIC_SQL.items():
     )
 
 
+# Dynamic time warping by anti-diagonals: d1 and d2 are the last two, by the place in the first vector.
+SQL["metric_dynamic_time_warping"] = """WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 0),
+d(vec_id, s, q, v, d1, d2) AS (
+  SELECT vec_id, 0, q, v, [CASE WHEN i = 1 THEN abs(q[1] - v[1]) ELSE CAST(1e300 AS DOUBLE) END for i in range(1, 65)], [CAST(1e300 AS DOUBLE) for i in range(1, 65)] FROM e, q
+  UNION ALL
+  SELECT vec_id, s + 1, q, v, [CASE WHEN s + 3 - i BETWEEN 1 AND 64 THEN abs(q[i] - v[s + 3 - i]) + least(coalesce(d1[i - 1], 1e300), coalesce(d1[i], 1e300), coalesce(d2[i - 1], 1e300))
+    ELSE 1e300 END for i in range(1, 65)], d1 FROM d WHERE s < 126)
+SELECT vec_id, round(d1[64], 6) + CAST(0 AS DOUBLE) AS distance FROM d WHERE s = 126"""
+
+
 # Exact k-NN
 
 
@@ -284,14 +294,13 @@ FILTERS = {
     "nin": ({"genre": {"$nin": ["note", "paper"]}}, "NOT coalesce(genre IN ('note', 'paper'), false)"),
     "exists": ({"live": {"$exists": True}}, "json_exists(m, '$.live')"),
     "regex": ({"genre": {"$regex": "^(gu|sn)i"}}, "coalesce(regexp_matches(genre, '^(gu|sn)i'), false)"),
-    "cross_type": ({"year": {"$gt": "2000"}}, "false"),
+    "cross_type": ({"$or": [{"year": {"$gt": "2000"}}, {"genre": {"$gt": "note"}}, {"genre": {"$lt": 5}}]}, "coalesce(genre > 'note', false)"),
     "bool_and": ({"$and": [{"live": True}, {"$or": [{"year": {"$lt": 2012}}, {"genre": "ticket"}]}]}, "coalesce(live AND (year < 2012 OR genre = 'ticket'), false)"),
     "not": ({"$not": {"live": True}}, "NOT coalesce(live, false)"),
-    "contains": ({"loc": {"$contains": 0}}, "coalesce(list_contains(CAST(m -> '$.loc' AS DOUBLE[]), 0), false)"),
     "geo": (
-        {"loc": {"$geoRadius": {"lat": 48.0, "lon": 10.0, "radius": 2_000_000}}},
+        {"loc": {"$geoRadius": {"lat": 48.0, "lon": 10.0, "radius": 8_000_000}}},
         """coalesce(2 * 6371008.8 * asin(sqrt(least(1, pow(sin((radians(loc[1]) - radians(48)) / 2), 2)
-+ cos(radians(48)) * cos(radians(loc[1])) * pow(sin((radians(loc[2]) - radians(10)) / 2), 2)))) <= 2000000, false)""",
++ cos(radians(48)) * cos(radians(loc[1])) * pow(sin((radians(loc[2]) - radians(10)) / 2), 2)))) <= 8000000, false)""",
     ),
 }
 
@@ -314,6 +323,14 @@ SELECT DISTINCT id FROM r1 WHERE {_sql}""",
     )
 
 
+@query("SELECT doc_id FROM documents WHERE lang = 'en' OR source = 'forum-archive'")
+def filter_contains(spark: SparkSession, sf: str) -> DataFrame:
+    """Over metadata made of the documents' language and source: arrays that hold either of two values."""
+    tags = F.to_json(F.struct(F.array("lang", "source").alias("tags")))
+    rows = table(spark, sf, "documents").select("doc_id", filters.parse_metadata(tags).alias("m"))
+    return rows.where(filters.compile_filter({"$or": [{"tags": {"$contains": "en"}}, {"tags": {"$contains": "forum-archive"}}]}, F.col("m"))).select("doc_id")
+
+
 # Text
 
 TOKENS_SQL = "t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents WHERE text IS NOT NULL)"
@@ -343,7 +360,12 @@ def text_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("doc_id", F.size(text.tokenize(F.col("text"), "ngram:3")).cast("bigint").alias("ngrams"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents WHERE text IS NOT NULL),
+w AS (SELECT DISTINCT unnest(t) AS term FROM t), h AS (SELECT term, hex(encode(term)) AS h FROM w)
+SELECT term, list_reduce([CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT) for i in range(1, length(h) // 2 + 1)],
+  lambda s, x: (xor(s, x) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)) AS term_id FROM h"""
+)
 def text_term_ids(spark: SparkSession, sf: str) -> DataFrame:
     posts = lexical.postings(table(spark, sf, "documents"), id="doc_id").select("term").distinct()
     return posts.select("term", text.term_ids(F.array("term"))[0].alias("term_id"))
@@ -540,16 +562,25 @@ def codec_int8(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("vec_id", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
-for _kind in ("float16", "bfloat16", "float8-e4m3fn", "float8-e5m2", "binary"):
+# Significant bits and smallest exponent of the small floats
+SMALL_FLOATS = {"float16": (10, -14), "bfloat16": (7, -126), "float8-e4m3fn": (3, -6), "float8-e5m2": (2, -14), "binary": None}
+
+for _kind, _form in SMALL_FLOATS.items():
 
     def _codec(spark: SparkSession, sf: str, kind: str = _kind) -> DataFrame:
         e = table(spark, sf, "embeddings")
         v = _binary(F.col("embedding")) if kind == "binary" else F.col("embedding")
-        s = e.select("vec_id", codecs.canonical(v, kind).alias("v"), "embedding")
-        off = F.array_max(F.zip_with("v", v, lambda a, b: F.abs(a - b))).cast("double")
-        return s.select("vec_id", F.round(off, 6).alias("largest_change"))
-
-    add("codec_" + _kind.replace("-", "_"), _codec)
+        s = e.select("vec_id", codecs.canonical(v, kind).alias("v"))
+        again = F.aggregate(F.zip_with("v", codecs.canonical(F.col("v"), kind), lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda x, d: x + d)
+        total = F.aggregate("v", F.lit(0.0), lambda x, d: x + d.cast("double"))
+        return s.select("vec_id", F.round(total, 6).alias("total"), (again == 0).alias("stable"))
+
+    if _form is None:
+        _value = "CASE WHEN x > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END"
+    else:
+        _step = f"pow(CAST(2 AS DOUBLE), greatest(floor(log2(abs(x))), {_form[1]}) - {_form[0]})"
+        _value = f"CASE WHEN x = 0 THEN 0 ELSE round_even(x / {_step}, 0) * {_step} END"
+    add("codec_" + _kind.replace("-", "_"), _codec, f"SELECT vec_id, round(CAST(list_sum([{_value} for x in CAST(embedding AS DOUBLE[])]) AS DOUBLE), 6) AS total, true AS stable FROM embeddings")
 
 
 @query()
