@@ -177,14 +177,14 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.packed_vectors(records.unionByName(pinecone).where("id IS NOT NULL AND space IS NOT NULL"), ["space", "id"], "vector", DIMS)
 
 
-@query(
-    """WITH r AS (SELECT DISTINCT 'records' AS s, '' AS ns, id, CAST(vector AS DOUBLE[]) AS v FROM records WHERE len(vector) = 64
+P4_SQL = """WITH r AS (SELECT DISTINCT 'records' AS s, '' AS ns, id, CAST(vector AS DOUBLE[]) AS v FROM records WHERE len(vector) = 64
   UNION ALL SELECT DISTINCT 'pinecone_vectors', ns, id, CAST(vector_values AS DOUBLE[]) FROM pinecone_vectors WHERE len(vector_values) = 64),
 u AS (SELECT * FROM r WHERE id IS NOT NULL AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 c AS (SELECT a.s, a.ns, a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.s = b.s AND a.ns = b.ns AND a.id <> b.id),
-t AS (SELECT *, row_number() OVER (PARTITION BY s, ns, a ORDER BY round(c, 7) DESC, b) AS rn FROM c)
-SELECT DISTINCT s AS source_table, least(a, b) AS id_a, greatest(a, b) AS id_b FROM t WHERE rn <= 5 AND c >= 0.75"""
-)
+t AS (SELECT *, row_number() OVER (PARTITION BY s, ns, a ORDER BY round(c, 7) DESC, b) AS rn FROM c)"""
+
+
+@query(f"{P4_SQL} SELECT DISTINCT s AS source_table, least(a, b) AS id_a, greatest(a, b) AS id_b FROM t WHERE rn <= 5 AND c >= 0.75")
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     near = neighbours.nearest(_vectors(spark, sf), DIMS, k=5, least=0.75)
     return near.select(
@@ -194,10 +194,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
-@query()
+@query(f"{P4_SQL} SELECT CASE WHEN s = 'records' THEN s ELSE s || '/' || ns END AS space, a AS id, b AS neighbour FROM t WHERE rn <= 5")
 def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The five most similar others of every usable vector, whatever their cosine."""
-    return neighbours.nearest(_vectors(spark, sf), DIMS, k=5).withColumn("cosine", F.round("cosine", 6))
+    return neighbours.nearest(_vectors(spark, sf), DIMS, k=5).select("space", "id", "neighbour")
 
 
 def _unpack():  # noqa: ANN202
@@ -308,12 +308,24 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return scored.groupBy(F.col("grp"), F.col("rec").alias("record_id")).agg(best.alias("term_id")).select("record_id", "term_id")
 
 
-@query()
+@query(
+    f"""WITH {CURRENT_SQL}, K AS (SELECT index_name, term_id, CAST(sum(tf) AS DOUBLE) AS K FROM post GROUP BY ALL),
+M AS (SELECT index_name, CAST(sum(tf) AS DOUBLE) AS M FROM post GROUP BY ALL),
+n AS (SELECT index_name, record_id, CAST(sum(tf) AS DOUBLE) AS n FROM post GROUP BY ALL),
+x AS (SELECT record_id, index_name, term_id, K, M, n, CAST(unnest(range(tf, CAST(least(n, K) AS BIGINT) + 1)) AS DOUBLE) AS x
+  FROM post JOIN K USING (index_name, term_id) JOIN M USING (index_name) JOIN n USING (index_name, record_id)),
+s AS (SELECT index_name, record_id, term_id, -ln(sum(exp({CHOOSE.format('K', 'x')} + {CHOOSE.format('(M - K)', '(n - x)')} - {CHOOSE.format('M', 'n')}))) AS surprise
+  FROM x WHERE n - x <= M - K GROUP BY ALL),
+j AS (SELECT *, surprise - ln(CAST(count(*) OVER (PARTITION BY index_name, record_id) AS DOUBLE) / row_number() OVER (PARTITION BY index_name, record_id ORDER BY surprise DESC, term_id)) AS adjusted FROM s),
+d AS (SELECT index_name, term_id, count(*) AS records FROM post GROUP BY ALL)
+SELECT index_name, record_id, term_id, tf AS k, records, round(greatest(0, max(adjusted) OVER (PARTITION BY index_name, record_id ORDER BY surprise DESC, term_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 4) AS score
+FROM j JOIN post USING (index_name, record_id, term_id) JOIN d USING (index_name, term_id)"""
+)
 def p6_term_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The score of every term of every record."""
     rows = current_text_rows(spark, sf)
     scored = enrichment.enrichment(rows, rows, "index_name", "record_id", "terms", "term_id", "tf")
-    return scored.select(F.col("grp").alias("index_name"), F.col("rec").alias("record_id"), F.col("term").alias("term_id"), "k", "records", F.round("score", 6).alias("score"))
+    return scored.select(F.col("grp").alias("index_name"), F.col("rec").alias("record_id"), F.col("term").alias("term_id"), "k", "records", F.round("score", 4).alias("score"))
 
 
 # 7. One ranking from several scores
@@ -336,8 +348,7 @@ def _beta(k: int) -> str:
     return " + ".join([f"{c} * pow(r[{k}], {j}) * pow(1 - r[{k}], {4 - j})" for j, c in terms_])
 
 
-@query(
-    f"""WITH {CURRENT_SQL}, len AS (SELECT index_name, record_id, CAST(sum(tf) AS DOUBLE) AS dl FROM post GROUP BY ALL),
+P7_SQL = f"""WITH {CURRENT_SQL}, len AS (SELECT index_name, record_id, CAST(sum(tf) AS DOUBLE) AS dl FROM post GROUP BY ALL),
 st AS (SELECT index_name, CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM len GROUP BY ALL),
 df AS (SELECT index_name, term_id, CAST(count(*) AS DOUBLE) AS df FROM post GROUP BY ALL),
 c AS (SELECT DISTINCT query_id, id FROM query_matches WHERE query_id IS NOT NULL AND id IS NOT NULL),
@@ -353,18 +364,20 @@ z AS (SELECT query_id, CAST(count(*) AS DOUBLE) AS z FROM c GROUP BY ALL),
 v AS (SELECT c.query_id, c.id, list_sort([coalesce(min(rank) FILTER (leg = 'dense') / z, 1), coalesce(min(rank) FILTER (leg = 'sparse') / z, 1),
     coalesce(min(rank) FILTER (leg = 'late_interaction') / z, 1), coalesce(min(rank) FILTER (leg = 'text') / z, 1)]) AS r
   FROM c JOIN z USING (query_id) LEFT JOIN k USING (query_id, id) GROUP BY c.query_id, c.id, z),
-s AS (SELECT query_id, id, least(1, 4 * least({_beta(1)}, {_beta(2)}, {_beta(3)}, {_beta(4)})) AS sig, list_sum(r) AS total FROM v)
-SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sig, 12), round(total, 9), id) AS rn FROM s) WHERE rn = 1"""
-)
+s AS (SELECT query_id, id, least(1, 4 * least({_beta(1)}, {_beta(2)}, {_beta(3)}, {_beta(4)})) AS sig, list_sum(r) AS total FROM v),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sig, 12), round(total, 9), id) AS rn FROM s)"""
+
+
+@query(f"{P7_SQL} SELECT query_id, id FROM o WHERE rn = 1")
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    best = F.min_by("id", F.struct("significance", "mean_rank", "id"))
+    best = F.min_by("id", F.struct(F.round("significance", 12), F.round("mean_rank", 9), "id"))
     return _fused(spark, sf).groupBy("query_id").agg(best.alias("id"))
 
 
-@query()
+@query(f"{P7_SQL} SELECT query_id, CAST(rn AS INT) AS position, id, round(sig, 9) AS significance FROM o JOIN (SELECT query_id, top_k FROM hybrid_queries) USING (query_id) WHERE rn <= top_k")
 def p7_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """The top_k of every hybrid query."""
-    w = Window.partitionBy("query_id").orderBy("significance", "mean_rank", "id")
+    w = Window.partitionBy("query_id").orderBy(F.round("significance", 12), F.round("mean_rank", 9), "id")
     ranked = _fused(spark, sf).withColumn("position", F.row_number().over(w))
     k = table(spark, sf, "hybrid_queries").select("query_id", "top_k")
     return ranked.join(k, "query_id").where("position <= top_k").select("query_id", "position", "id", F.round("significance", 9).alias("significance"))
