@@ -1,23 +1,29 @@
-"""python -m lumenq COMMAND: create, add, upsert, delete, search, search-text, search-hybrid, explain,
-stats, list, flush, compact, rebuild, gc, purge, and maintain (compact, then gc)."""
+"""python -m lumenq COMMAND: create, add, upsert, delete, search, search-text, search-sparse-named,
+search-late-interaction, search-hybrid, explain, stats, list, flush, compact, rebuild, gc, purge, and maintain (compact, then gc)."""
 
 from __future__ import annotations
 
 import argparse
 import json
 
+from pyspark.sql import functions as F
+
 from lumenq.index import Index
+from lumenq.operators.lexical import densify
 from lumenq.sources import files
 
 
-def _records(spark, path: str):  # noqa: ANN001, ANN202
-    return files.read_parquet(spark, path) if path.endswith((".parquet", ".parq")) else files.read_json(spark, path).select("id", "vector", "text", "metadata")
+def _records(spark, path: str, named: dict, dims: int):  # noqa: ANN001, ANN202
+    if path.endswith((".parquet", ".parq")):
+        return files.read_parquet(spark, path)
+    rows = files.read_json(spark, path, {n: of["kind"] for n, of in named.items()})
+    return rows.withColumn("vector", F.coalesce("vector", densify(F.col("sparse_vector"), dims).cast("array<float>")))
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lumenq")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("create", "add", "upsert", "delete", "search", "search-text", "search-hybrid", "explain", "stats", "list", "flush", "compact", "rebuild", "gc", "purge", "maintain"):
+    for name in ("create", "add", "upsert", "delete", "search", "search-text", "search-sparse-named", "search-late-interaction", "search-hybrid", "explain", "stats", "list", "flush", "compact", "rebuild", "gc", "purge", "maintain"):
         c = sub.add_parser(name)
         c.add_argument("uri")
         if name == "create":
@@ -25,6 +31,10 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--dimensions", type=int, required=True)
             c.add_argument("--text", action="store_true")
             c.add_argument("--element-type", default="float32")
+            c.add_argument("--named", default="{}", help='a JSON object, e.g. {"title": {"kind": "dense", "dimensions": 8}}')
+        if name in ("search-sparse-named", "search-late-interaction"):
+            c.add_argument("--name", required=True)
+            c.add_argument("--query", required=True, help='JSON: {"indices": [...], "values": [...]}, or an array of token vectors')
         if name in ("add", "upsert"):
             c.add_argument("input")
         if name == "delete":
@@ -33,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--vector", required=name != "search-hybrid", help="a JSON array")
         if name in ("search-text", "search-hybrid"):
             c.add_argument("--text", required=name == "search-text")
-        if name in ("search", "search-text", "search-hybrid", "explain"):
+        if name in ("search", "search-text", "search-sparse-named", "search-late-interaction", "search-hybrid", "explain"):
             c.add_argument("-k", type=int, default=10)
             c.add_argument("--filter", help="a JSON object")
         if name == "search-hybrid":
@@ -51,13 +61,13 @@ def run(spark, argv: list[str]) -> list:  # noqa: ANN001
     """The result rows of a command, as plain objects."""
     a = parser().parse_args(argv)
     if a.command == "create":
-        Index.create(spark, a.uri, metric=a.metric, dimensions=a.dimensions, text=a.text, element_type=a.element_type)
+        Index.create(spark, a.uri, metric=a.metric, dimensions=a.dimensions, text=a.text, element_type=a.element_type, named=json.loads(a.named))
         return []
     index = Index.open(spark, a.uri)
     where = json.loads(a.filter) if getattr(a, "filter", None) else None
     rows = lambda df: [r.asDict() for r in df.collect()]
     if a.command in ("add", "upsert"):
-        getattr(index, a.command)(_records(spark, a.input))
+        getattr(index, a.command)(_records(spark, a.input, index.spec.named, index.spec.dimensions))
     elif a.command == "delete":
         return [{"deleted": index.delete(spark.createDataFrame([(i,) for i in a.ids], "id string"))}]
     elif a.command == "search":
@@ -66,6 +76,13 @@ def run(spark, argv: list[str]) -> list:  # noqa: ANN001
         return [{"plan": index.explain(json.loads(a.vector), a.k, filter=where)}]
     elif a.command == "search-text":
         return rows(index.search_text(spark.createDataFrame([(0, a.text)], "query_id int, text string"), a.k, filter=where))
+    elif a.command in ("search-sparse-named", "search-late-interaction"):
+        q = json.loads(a.query)
+        if a.command == "search-sparse-named":
+            kind, data = "struct<indices: array<bigint>, values: array<float>>", (q["indices"], [float(x) for x in q["values"]])
+        else:
+            kind, data = "array<array<float>>", [[float(x) for x in t] for t in q]
+        return rows(index.search_named(a.name, spark.createDataFrame([(0, data)], f"query_id int, vector {kind}"), a.k, filter=where))
     elif a.command == "search-hybrid":
         given = {"vector": json.loads(a.vector) if a.vector else None, "text": a.text}
         kinds = {"vector": "array<float>", "text": "string"}

@@ -12,7 +12,9 @@ from pyspark.sql import SparkSession
 
 from lumenq.compat import filters
 from lumenq.index import Index
-from lumenq.sources.collection import SCHEMA, NotFound
+from lumenq.sources.collection import NotFound
+
+PLAIN = "id string, vector array<float>, text string, metadata string"
 
 
 class Store:
@@ -53,7 +55,7 @@ def put(index: Index, rows: list[tuple]) -> int:
     """Upserts (id, vector, metadata, text) rows."""
     data = [(str(i), None if v is None else [float(x) for x in v], t, None if m is None else json.dumps(m)) for i, v, m, t in rows]
     if data:
-        index.upsert(index.spark.createDataFrame(data, SCHEMA))
+        index.upsert(index.spark.createDataFrame(data, PLAIN))
     return len(data)
 
 
@@ -279,7 +281,7 @@ class ChromaCollection:
     def add(self, ids: list[str], embeddings: list, metadatas: list | None = None, documents: list | None = None) -> None:
         n = len(ids)
         data = [(i, [float(x) for x in v], d, json.dumps(m) if m else None) for i, v, m, d in zip(ids, embeddings, metadatas or [None] * n, documents or [None] * n)]
-        self.index.add(self.index.spark.createDataFrame(data, SCHEMA))
+        self.index.add(self.index.spark.createDataFrame(data, PLAIN))
 
     def query(self, query_embeddings: list, n_results: int = 10, where: dict | None = None) -> dict:
         every = [_hits(self.index, v, n_results, where) for v in query_embeddings]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.operators import explain, filters, hybrid, ivf, knn, lexical, quantize
-from lumenq.sources.collection import Collection, Spec
+from lumenq.operators import explain, filters, hybrid, ivf, knn, late, lexical, quantize
+from lumenq.sources.collection import KINDS, Collection, Spec
 
 
 class Index:
@@ -18,8 +18,8 @@ class Index:
         self.spec = collection.spec
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, *, metric: str = "euclidean", dimensions: int, text: bool = False, element_type: str = "float32", tokenizer: str = "unicode") -> Index:
-        return cls(Collection.create(spark, path, Spec(metric, dimensions, element_type, text, tokenizer)))
+    def create(cls, spark: SparkSession, path: str, *, metric: str = "euclidean", dimensions: int, text: bool = False, element_type: str = "float32", tokenizer: str = "unicode", named: dict[str, dict] | None = None) -> Index:
+        return cls(Collection.create(spark, path, Spec(metric, dimensions, element_type, text, tokenizer, named or {})))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
@@ -60,16 +60,34 @@ class Index:
             raise ValueError("the index has no text")
         return lexical.search_text(self.records(filter), queries, k, tokenizer=self.spec.tokenizer)
 
+    def search_named(self, name: str, queries: DataFrame, k: int = 10, *, filter: dict | str | None = None) -> DataFrame:
+        """query_id, rank, id, distance by a named vector: queries (query_id, vector) of its kind; dense
+        by its metric, sparse by inner product, late by MaxSim. Records without it don't take part."""
+        of = self.spec.named.get(name)
+        rows = self.collection.vectors_of(name, self.records(filter))
+        if of["kind"] == "sparse":
+            return lexical.search_sparse(rows, queries, k, sparse="vector", query_sparse="vector")
+        if of["kind"] == "late":
+            return late.search_late(rows, queries, k, tokens="vector", query_tokens="vector")
+        return knn.search_batch(rows, queries, k, of.get("metric", self.spec.metric))
+
     def search_hybrid(self, queries: DataFrame, k: int = 10, *, rrf_k: float = 60, weights: dict[str, float] | None = None, depth: int | None = None, filter: dict | str | None = None) -> DataFrame:
-        """queries: query_id and any of vector and text; each is a leg of its own."""
+        """queries: query_id and any of vector, text, named, sparse and multi (maps from names to vectors,
+        as records have them); each vector and the text is a leg of its own, named vectors by their names."""
         depth = max(knn.check_k(k), depth or hybrid.default_depth(k))
-        legs = {}
+        legs, kinds = {}, {hybrid.PRIMARY: self.spec.metric}
         if "vector" in queries.columns:
             legs[hybrid.PRIMARY] = self.search_batch(queries.where("vector IS NOT NULL").select("query_id", "vector"), depth, filter=filter)
         if "text" in queries.columns:
             legs[hybrid.TEXT] = self.search_text(queries.where("text IS NOT NULL").select("query_id", "text"), depth, filter=filter)
+        for name, of in self.spec.named.items():
+            column = KINDS[of["kind"]]
+            if column in queries.columns:
+                asked = queries.select("query_id", F.try_element_at(column, F.lit(name)).alias("vector")).where("vector IS NOT NULL")
+                legs[name] = self.search_named(name, asked, depth, filter=filter)
+                kinds[name] = of.get("metric", self.spec.metric) if of["kind"] == "dense" else None
         if weights is not None:
-            return hybrid.fuse_weighted(legs, k, weights, {hybrid.PRIMARY: self.spec.metric})
+            return hybrid.fuse_weighted(legs, k, weights, kinds)
         return hybrid.fuse_rrf(legs, k, rrf_k)
 
     def search_with_report(self, vector: list[float], k: int = 10, *, filter: dict | str | None = None) -> tuple[list, dict]:

@@ -136,15 +136,20 @@ def search_text(docs: DataFrame, queries: DataFrame, k: int, *, id: str = "id",
     return top_k(hits, k, 9)
 
 
+def sound_sparse(s: Column) -> Column:
+    """Whether a sparse vector has ascending indices, as many finite values, none negative."""
+    n = F.size(s["indices"])
+    ascending = F.forall(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (n < 2) | (F.element_at(s["indices"], i) < F.get(s["indices"], i)))
+    finite = F.forall(s["values"], lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf")))
+    return F.coalesce((n == F.size(s["values"])) & ascending & finite, F.lit(False))
+
+
 def sparse_postings(records: DataFrame, *, id: str = "id", sparse: str = "sparse", strict: bool = True) -> DataFrame:
     """id, term, weight of sparse vectors struct<indices, values>. When strict, vectors with indices
     that don't ascend, lengths that differ, or weights that are negative or not finite are an error;
     otherwise such vectors are left out."""
     s = F.col(sparse)
-    n = F.size(s["indices"])
-    ascending = F.forall(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (n < 2) | (F.element_at(s["indices"], i) < F.get(s["indices"], i)))
-    finite = F.forall(s["values"], lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf")))
-    good = F.coalesce((n == F.size(s["values"])) & ascending & finite, F.lit(False))
+    good = sound_sparse(s)
     rows = records.where(s.isNotNull())
     if strict:
         checked = F.when(good, s).otherwise(F.raise_error(F.lit("bad sparse vector")).cast(records.schema[sparse].dataType))

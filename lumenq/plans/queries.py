@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenq import index
 from lumenq.functions import codecs, metrics, text
 from lumenq.operators import evaluation, filters, graph, hybrid, ivf, knn, late, lexical, quantize, versions
 from lumenq.sources import collection, files
@@ -464,6 +465,63 @@ def hybrid_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(hybrid.fuse_weighted(_legs(spark, sf), 10, {hybrid.TEXT: 2.0}, {hybrid.PRIMARY: "cosine"}))
 
 
+# Named vectors of a collection: the first half of an embedding, its positive part, its halves as tokens
+
+NAMED = {
+    "half": {"kind": "dense", "metric": "euclidean", "dimensions": 32},
+    "positive": {"kind": "sparse"},
+    "halves": {"kind": "late", "dimensions": 32},
+}
+NAMED_SQL = """e AS (SELECT CAST(vec_id AS VARCHAR) AS id, vec_id % 20 = 0 AS asked, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.id AS query_id, b.id AS id, list_cosine_distance(a.v, b.v) AS whole, list_distance(a.v[1:32], b.v[1:32]) AS half,
+    -list_inner_product([greatest(x, 0) for x in a.v], [greatest(x, 0) for x in b.v]) AS positive,
+    -greatest(list_inner_product(a.v[1:32], b.v[1:32]), list_inner_product(a.v[1:32], b.v[33:64])) - greatest(list_inner_product(a.v[33:64], b.v[1:32]), list_inner_product(a.v[33:64], b.v[33:64])) AS halves
+  FROM e a, e b WHERE a.asked),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY whole, id) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY half, id) AS r2,
+    row_number() OVER (PARTITION BY query_id ORDER BY round(positive, 9), id) AS r3, row_number() OVER (PARTITION BY query_id ORDER BY round(halves, 9), id) AS r4 FROM p),
+h AS (SELECT query_id, id, -(CASE WHEN r1 <= 100 THEN 1 / CAST(59 + r1 AS DOUBLE) ELSE 0 END + CASE WHEN r2 <= 100 THEN 1 / CAST(59 + r2 AS DOUBLE) ELSE 0 END
+    + CASE WHEN r3 <= 100 AND positive < 0 THEN 1 / CAST(59 + r3 AS DOUBLE) ELSE 0 END + CASE WHEN r4 <= 100 THEN 1 / CAST(59 + r4 AS DOUBLE) ELSE 0 END) AS fused FROM r)"""
+
+
+def _named(spark: SparkSession, sf: str) -> tuple[index.Index, DataFrame]:
+    """An index of embeddings with named vectors, and every 20th record as a query."""
+    v = F.col("embedding")
+    at = F.filter(F.transform(v, lambda x, i: F.struct(i.cast("bigint").alias("i"), x.alias("x"))), lambda t: t["x"] > 0)
+    part = F.struct(F.transform(at, lambda t: t["i"]).alias("indices"), F.transform(at, lambda t: t["x"]).alias("values"))
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("id"),
+        v.alias("vector"),
+        F.create_map(F.lit("half"), F.slice(v, 1, 32)).alias("named"),
+        F.create_map(F.lit("positive"), part).alias("sparse"),
+        F.create_map(F.lit("halves"), F.array(F.slice(v, 1, 32), F.slice(v, 33, 32))).alias("multi"),
+    )
+    made = index.Index.create(spark, scratch_path(spark, "named"), metric="cosine", dimensions=64, named=NAMED)
+    made.add(rows)
+    return made, rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+
+
+def _by_name(name: str, column: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        made, asked = _named(spark, sf)
+        return _rounded(made.search_named(name, asked.select("query_id", F.col(column)[name].alias("vector")), 10))
+
+    return run
+
+
+for _name, _column, _field, _rank in (("dense_named", "named", "half", "r2"), ("sparse_named", "sparse", "positive", "r3"), ("late_named", "multi", "halves", "r4")):
+    add(_name, _by_name(_field, _column), f"WITH {NAMED_SQL} SELECT query_id, CAST({_rank} AS INT) AS rank, id, round({_field}, 6) + CAST(0 AS DOUBLE) AS distance FROM r WHERE {_rank} <= 10 AND ({_rank} <> r3 OR positive < 0)")
+
+
+@query(
+    f"""WITH {NAMED_SQL} SELECT query_id, CAST(rank AS INT) AS rank, id, round(fused, 6) AS distance FROM (
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9), id) AS rank FROM h WHERE fused < 0) WHERE rank <= 10"""
+)
+def hybrid_named(spark: SparkSession, sf: str) -> DataFrame:
+    """The primary, a named dense, a sparse and a token-level leg fused by ranks."""
+    made, asked = _named(spark, sf)
+    return _rounded(made.search_hybrid(asked, 10))
+
+
 # Evaluation
 
 

@@ -14,13 +14,13 @@ import uuid
 from dataclasses import asdict, dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenq.functions.codecs import canonical, element_type
 from lumenq.functions.metrics import parse
-from lumenq.operators.lexical import is_sparse
+from lumenq.operators.lexical import is_sparse, sound_sparse
 from lumenq.util import hadoop_path
 
 
@@ -61,7 +61,7 @@ class Spec:
     element_type: str = "float32"
     text: bool = False
     tokenizer: str = "unicode"
-    named: dict[str, dict] = field(default_factory=dict)
+    named: dict[str, dict] = field(default_factory=dict)  # name -> {"kind": dense, sparse or late, "metric", "dimensions"}
 
 
 SCHEMA = T.StructType(
@@ -70,8 +70,12 @@ SCHEMA = T.StructType(
         T.StructField("vector", T.ArrayType(T.FloatType())),
         T.StructField("text", T.StringType()),
         T.StructField("metadata", T.StringType()),
+        T.StructField("named", T.MapType(T.StringType(), T.ArrayType(T.FloatType()))),
+        T.StructField("sparse", T.MapType(T.StringType(), T.StructType([T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.FloatType()))]))),
+        T.StructField("multi", T.MapType(T.StringType(), T.ArrayType(T.ArrayType(T.FloatType())))),
     ]
 )
+KINDS = {"dense": "named", "sparse": "sparse", "late": "multi"}  # where the named vectors of a kind are kept
 LOG = T.StructType([*SCHEMA.fields, T.StructField("deleted", T.BooleanType(), False), T.StructField("version", T.LongType(), False), T.StructField("seq", T.LongType())])
 ATTEMPTS = 20
 
@@ -108,6 +112,10 @@ class Collection:
         element_type(spec.element_type)
         if spec.dimensions <= 0:
             raise InvalidRecord("dimensions must be greater than zero")
+        for name, of in spec.named.items():
+            if not name or name.startswith("@") or of.get("kind") not in KINDS or (of["kind"] != "sparse" and of.get("dimensions", 0) <= 0):
+                raise InvalidRecord(f"named vector {name!r} needs a kind (dense, sparse, late) and dimensions")
+            parse(of.get("metric", "inner-product"))
         fs, folder = hadoop_path(spark, f"{path.rstrip('/')}/versions")
         if fs.exists(folder):
             raise AlreadyExists(path)
@@ -192,12 +200,36 @@ class Collection:
             raise InvalidRecord("the collection has no text")
         shaped = records.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA.fields])
         finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        bad = F.col("id").isNull() | (F.col("id") == "") | F.coalesce((F.size("vector") != self.spec.dimensions) | ~finite, F.lit(False))
-        shaped = shaped.withColumn("vector", canonical(F.col("vector"), self.spec.element_type))
-        first = records.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA.fields]).where(bad).limit(1).collect()
+        bad = F.col("id").isNull() | (F.col("id") == "") | F.coalesce((F.size("vector") != self.spec.dimensions) | ~finite, F.lit(False)) | self._bad_named()
+        first = shaped.where(bad).limit(1).collect()
         if first:
-            raise InvalidRecord(f"empty id, wrong length or non-finite value: {first[0]['id']!r}")
-        return shaped
+            raise InvalidRecord(f"empty id, wrong length, unknown name or non-finite value: {first[0]['id']!r}")
+        return shaped.withColumn("vector", canonical(F.col("vector"), self.spec.element_type))
+
+    def _bad_named(self) -> Column:
+        """Whether a named vector isn't one that the collection was made with."""
+        bad = F.lit(False)
+        sound = lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        for kind, column in KINDS.items():
+            known = {n: of for n, of in self.spec.named.items() if of["kind"] == kind}
+            bad = bad | F.coalesce(F.exists(F.map_keys(column), lambda n: ~n.isin(list(known))), F.lit(False))
+            for n, of in known.items():
+                v = F.try_element_at(column, F.lit(n))
+                if kind == "dense":
+                    wrong = (F.size(v) != of["dimensions"]) | ~sound(v)
+                elif kind == "late":
+                    wrong = ~F.forall(v, _token_of(of["dimensions"], sound))
+                else:
+                    wrong = ~sound_sparse(v)
+                bad = bad | F.coalesce(v.isNotNull() & wrong, F.lit(False))
+        return bad
+
+    def vectors_of(self, name: str, rows: DataFrame | None = None) -> DataFrame:
+        """id and vector (of its kind) of the live records, or of rows of such, that have the named vector."""
+        if name not in self.spec.named:
+            raise NotFound(f"named vector {name!r}")
+        v = F.try_element_at(KINDS[self.spec.named[name]["kind"]], F.lit(name))
+        return (self.live() if rows is None else rows).select("id", v.alias("vector")).where("vector IS NOT NULL")
 
     def _appended(self, *parts: tuple[DataFrame, bool]) -> list:
         """Writes rows to put and rows to delete, an id in one of them at most; the folders with these."""
@@ -229,7 +261,7 @@ class Collection:
         return self.spark.read.schema(LOG).parquet(f"{self.path}/{self._state['folders'][-1][0]}").select("id", "vector")
 
     def _puts(self, records: DataFrame) -> DataFrame:
-        w = Window.partitionBy("id").orderBy(F.xxhash64(*SCHEMA.fieldNames()).desc())
+        w = Window.partitionBy("id").orderBy(F.xxhash64(F.to_json(F.struct(*SCHEMA.fieldNames()))).desc())
         return self._checked(records).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
     def upsert(self, records: DataFrame) -> None:
@@ -321,6 +353,10 @@ class Collection:
         return sorted(out)
 
 
+def _token_of(dims: int, sound):  # noqa: ANN001, ANN202
+    return lambda t: t.isNotNull() & (F.size(t) == dims) & sound(t)
+
+
 def _write_once(spark: SparkSession, root: str, name: str, text: str) -> None:
     """A small file that only one writer can make: written aside, then renamed to a name that must be free."""
     fs, target = hadoop_path(spark, f"{root}/{name}")

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPARSE = "struct<indices:array<bigint>,values:array<float>>"
-RECORD = f"id string, vector array<float>, text string, metadata string, sparse {SPARSE}, named map<string,array<float>>, multi map<string,array<array<float>>>"
+RECORD = f"id string, vector array<float>, text string, metadata string, sparse_vector {SPARSE}, named map<string,array<float>>, sparse map<string,{SPARSE}>, multi map<string,array<array<float>>>"
 FORMAT_VERSION = 1
 
 
 def read_json(spark: SparkSession, path: str, named: dict[str, str] | None = None) -> DataFrame:
     """Records of a JSON array (or one object a line) with id, vector, sparse, text, metadata and
-    named_vectors; named tells the kind (dense or late) of each named vector. Metadata is JSON text."""
+    named_vectors; named tells the kind (dense, sparse or late) of each named vector. The record's own
+    sparse vector is the column sparse_vector. Metadata is JSON text."""
     raw = spark.read.option("multiLine", True).option("primitivesAsString", False).schema("id string, vector array<float>, text string, metadata string, sparse " + SPARSE + ", named_vectors string").json(path)
     kinds = named or {}
-    if any(k not in ("dense", "late") for k in kinds.values()):
-        raise ValueError("a named vector is dense or late")
+    if any(k not in ("dense", "sparse", "late") for k in kinds.values()):
+        raise ValueError("a named vector is dense, sparse or late")
     v = F.try_parse_json("named_vectors")
     one = lambda n, kind: F.try_variant_get(v, f"$['{n}']", kind)
 
@@ -26,7 +27,7 @@ def read_json(spark: SparkSession, path: str, named: dict[str, str] | None = Non
         whole = F.create_map(*pairs) if pairs else F.lit(None).cast(f"map<string,{typ}>")
         return F.map_filter(whole, lambda _, x: x.isNotNull())
 
-    return raw.select("id", "vector", "text", "metadata", "sparse", of("dense", "array<float>").alias("named"), of("late", "array<array<float>>").alias("multi"))
+    return raw.select("id", "vector", "text", "metadata", F.col("sparse").alias("sparse_vector"), of("dense", "array<float>").alias("named"), of("sparse", SPARSE).alias("sparse"), of("late", "array<array<float>>").alias("multi"))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

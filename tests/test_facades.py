@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lumenq.__main__ import run
 from lumenq.compat import filters, services
 from lumenq.index import Index
+from lumenq.sources.collection import InvalidRecord, NotFound
 from lumenq.util import scratch_path
 
 
@@ -30,6 +31,38 @@ def test_index(spark):
         index.search_hybrid(q.select("query_id"), 3)
 
 
+NAMED = {"d": {"kind": "dense", "metric": "euclidean", "dimensions": 1}, "s": {"kind": "sparse"}, "l": {"kind": "late", "dimensions": 2}}
+
+
+def test_named_vectors(spark, tmp_path):
+    uri = scratch_path(spark, "named")
+    do = lambda *argv: run(spark, [argv[0], uri, *argv[1:]])
+    do("create", "--dimensions", "10", "--named", json.dumps(NAMED))
+    p = tmp_path / "r.json"
+    records = [
+        {"id": "a", "sparse": {"indices": [5, 7], "values": [1, 2]}, "named_vectors": {"d": [1], "s": {"indices": [5, 7], "values": [1, 2]}, "l": [[1, 0], [0, 3]]}},
+        {"id": "b", "vector": [0] * 10, "named_vectors": {"s": {"indices": [5, 9], "values": [3, 1]}, "l": [[0.5, 0]]}},
+        {"id": "c", "named_vectors": {"d": [4]}},
+    ]
+    p.write_text(json.dumps(records))
+    do("add", str(p))
+    index = Index.open(spark, uri)
+    assert index.get_vector("a") == [0, 0, 0, 0, 0, 1, 0, 2, 0, 0]
+    assert [r["id"] for r in do("search-sparse-named", "--name", "s", "--query", '{"indices": [5], "values": [1]}')] == ["b", "a"]
+    assert [(r["id"], r["distance"]) for r in do("search-late-interaction", "--name", "l", "--query", "[[1, 0], [0, 2]]")] == [("a", -7.0), ("b", -0.5)]
+    q = spark.createDataFrame([(0, {"d": [3.5]}, {"l": [[1.0, 0.0]]})], "query_id int, named map<string, array<float>>, multi map<string, array<array<float>>>")
+    assert [r["id"] for r in index.search_named("d", q.selectExpr("query_id", "named['d'] AS vector"), 5).collect()] == ["c", "a"]
+    assert {r["id"] for r in index.search_hybrid(q, 5).collect()} == {"a", "b", "c"}
+    index.upsert(spark.createDataFrame([("c", {"d": [0.0]})], "id string, named map<string, array<float>>"))
+    index.compact()
+    assert [r["id"] for r in index.search_named("d", q.selectExpr("query_id", "named['d'] AS vector"), 5).collect()] == ["a", "c"]
+    for bad in ({"d": [1.0, 2.0]}, {"x": [1.0]}, {"d": [float("nan")]}):
+        with pytest.raises(InvalidRecord):
+            index.upsert(spark.createDataFrame([("e", bad)], "id string, named map<string, array<float>>"))
+    with pytest.raises(NotFound):
+        index.collection.vectors_of("x")
+
+
 def passing(spark, test):
     data = [("a", '{"g": "x", "y": 1, "z": [1, 2], "s": "Red apple pie"}'), ("b", '{"g": "y", "y": 5, "z": [], "n": null, "o": [{"p": 1}, {"p": 2}]}'), ("c", None), ("d", '{"g": "xy", "at": [48.0, 11.0]}')]
     df = spark.createDataFrame(data, "id string, metadata string")
