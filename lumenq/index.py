@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenq.functions import metrics
 from lumenq.operators import explain, filters, hybrid, ivf, knn, late, lexical, quantize
 from lumenq.sources.collection import KINDS, Collection, Spec
 
@@ -49,7 +50,12 @@ class Index:
 
     def search_batch(self, queries: DataFrame, k: int = 10, *, filter: dict | str | None = None, mode: str = "exact", candidates: int = 200) -> DataFrame:
         """query_id, rank, id, distance of queries (query_id, vector). mode is exact, or a leaf mode
-        that shortlists `candidates` rows by codes first."""
+        that shortlists `candidates` rows by codes first. Exact without a filter reads only the cells
+        that a kept index of this version can't rule out."""
+        if mode == "exact" and filter is None and metrics.supports_centroid_bound(self.spec.metric):
+            kept = self.collection.cells()
+            if kept is not None:
+                return ivf.search_pruned(kept, queries, k)
         rows = self.records(filter)
         if mode == "exact":
             return knn.search_batch(rows, queries, k, self.spec.metric)
@@ -102,8 +108,10 @@ class Index:
         return explain.physical_plan(self.search(vector, k, **how))
 
     def cells(self, **how: object) -> ivf.Cells:
-        """A coarse index over the live records, for ivf.search and ivf.search_pruned."""
-        return ivf.build(self.records(), self.spec.metric, **how)
+        """A coarse index over the live records, for ivf.search and ivf.search_pruned: the kept one of
+        this version, else a fresh one."""
+        kept = None if how else self.collection.cells()
+        return kept or ivf.build(self.records().select("id", "vector", "metadata"), self.spec.metric, **how)
 
     def get_record(self, id: str) -> dict | None:
         r = self.records().where(F.col("id") == id).first()
@@ -124,6 +132,6 @@ class Index:
         return knn.list_records(self.records(), offset, limit)
 
     def __getattr__(self, name: str):  # noqa: ANN204
-        if name in ("add", "add_vectors", "upsert", "delete", "purge", "compact", "rebuild", "gc", "flush", "stats"):
+        if name in ("add", "add_vectors", "upsert", "delete", "purge", "compact", "rebuild", "finish_bulk_load", "gc", "flush", "stats"):
             return getattr(self.collection, name)
         raise AttributeError(name)

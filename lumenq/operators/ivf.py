@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenq.functions import metrics
 from lumenq.functions.metrics import EPS, block, parse
 from lumenq.operators.knn import _queries, check_k, scan, top_k
-from lumenq.util import materialize
+from lumenq.util import scratch_path
 
 SAMPLE = 65_536
 MAX_CELLS = 4096
@@ -43,9 +44,9 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 10, seed: int = 42, spherical: bo
     return c
 
 
-def sample_rows(records: DataFrame, id: str, vector: str, most: int = SAMPLE) -> np.ndarray:
-    """At most `most` vectors, chosen by a hash of the id."""
-    n = records.count()
+def sample_rows(records: DataFrame, id: str, vector: str, n: int | None = None, most: int = SAMPLE) -> np.ndarray:
+    """At most `most` of the n vectors (counted if not given), chosen by a hash of the id."""
+    n = records.count() if n is None else n
     share = min(1.0, 0.95 * most / max(1, n))
     h = F.pmod(F.xxhash64(id), F.lit(1 << 30)) < int(share * (1 << 30)) if share < 1 else F.lit(True)
     got = records.where(h & F.col(vector).isNotNull()).select(id, vector).limit(most).collect()
@@ -63,6 +64,7 @@ class Cells:
     stats: DataFrame
     id: str = "id"
     vector: str = "vector"
+    radius: np.ndarray | None = None  # by cell; of empty ones -inf
 
 
 def assign_cells(vector: Column, centroids: np.ndarray, metric: str) -> Column:
@@ -79,37 +81,52 @@ def assign_cells(vector: Column, centroids: np.ndarray, metric: str) -> Column:
     return run(vector)
 
 
-def build(records: DataFrame, metric: str = "euclidean", *, id: str = "id", vector: str = "vector", cells: int | None = None, seed: int = 42) -> Cells:
+def build(records: DataFrame, metric: str = "euclidean", *, id: str = "id", vector: str = "vector", cells: int | None = None, seed: int = 42, path: str | None = None) -> Cells:
     """Fits centroids on at most 65536 records and assigns every record with a vector to the nearest.
 
     The assigned records are written partitioned by cell_id, so a probe reads its cells' files only.
     stats: cell_id, n, radius (largest distance to the centroid, in the metric's bounding geometry).
     """
     key, _ = parse(metric)
-    x = sample_rows(records, id, vector)
+    n = records.count()
+    x = sample_rows(records, id, vector, n)
     if not len(x):
         raise ValueError("no vectors to index")
-    n = records.count()
     k = cells or max(1, min(MAX_CELLS, len(x) // 8, int(math.sqrt(n))))
     unit = key in metrics.UNIT_GEOMETRY
     if unit:
         x = x / np.maximum(np.linalg.norm(x, axis=1), EPS)[:, None]
     c = lloyd(x, k, seed=seed, spherical=unit)
-    return build_from(records, c, metric, id, vector)
+    return build_from(records, c, metric, id, vector, path)
 
 
-def build_from(records: DataFrame, c: np.ndarray, metric: str, id: str = "id", vector: str = "vector") -> Cells:
-    """The same from given centroids."""
+def build_from(records: DataFrame, c: np.ndarray, metric: str, id: str = "id", vector: str = "vector", path: str | None = None) -> Cells:
+    """The same from given centroids. With a path the index is kept there, for open_cells."""
     unit = parse(metric)[0] in metrics.UNIT_GEOMETRY
     geometry = metric if metrics.supports_centroid_bound(metric) and not unit else "euclidean"
     v = metrics.unit(F.col(vector)) if unit else F.col(vector).cast("array<double>")
     placed = records.where(F.col(vector).isNotNull()).withColumn("cell_id", assign_cells(v, c, "euclidean"))
-    placed = materialize(placed.repartition("cell_id"), "cells", ["cell_id"])
-    centre = F.broadcast(_centroid_table(records.sparkSession, c))  # at most MAX_CELLS rows
+    spark = records.sparkSession
+    path = path or scratch_path(spark, "cells")
+    placed.repartition("cell_id").write.partitionBy("cell_id").parquet(f"{path}/rows")
+    stored = spark.read.schema(placed.schema).parquet(f"{path}/rows")
+    centre = F.broadcast(_centroid_table(spark, c))  # at most MAX_CELLS rows
     u = metrics.unit(F.col(vector)) if unit else F.col(vector)
-    far = placed.join(centre, "cell_id").withColumn("__d", metrics.distance(geometry, u, F.col("centroid")))
-    stats = materialize(far.groupBy("cell_id").agg(F.count("*").alias("n"), F.max("__d").alias("radius")), "cell-stats")
-    return Cells(metric, c, placed, stats, id, vector)
+    far = stored.join(centre, "cell_id").withColumn("__d", metrics.distance(geometry, u, F.col("centroid")))
+    stats = far.groupBy("cell_id").agg(F.count("*").alias("n"), F.max("__d").alias("radius"))
+    # empty cells keep their place
+    centre.join(stats, "cell_id", "left").select("cell_id", "centroid", F.coalesce("n", F.lit(0)).alias("n"), "radius").coalesce(1).write.parquet(f"{path}/centroids")
+    return open_cells(spark, path, metric, placed.schema, id, vector)
+
+
+def open_cells(spark: SparkSession, path: str, metric: str, schema: T.StructType, id: str = "id", vector: str = "vector") -> Cells:
+    """An index kept at path; schema is that of its records and cell_id."""
+    cells = spark.read.schema("cell_id int, centroid array<double>, n bigint, radius double").parquet(f"{path}/centroids")
+    rows = cells.orderBy("cell_id").collect()  # at most MAX_CELLS rows
+    held = [(r["cell_id"], r["n"], r["radius"]) for r in rows if r["n"]]
+    stats = spark.createDataFrame(held, "cell_id int, n bigint, radius double")
+    radius = np.array([-np.inf if r["radius"] is None else r["radius"] for r in rows])
+    return Cells(metric, np.array([r["centroid"] for r in rows]), spark.read.schema(schema).parquet(f"{path}/rows"), stats, id, vector, radius)
 
 
 def _centroid_table(spark, c: np.ndarray) -> DataFrame:  # noqa: ANN001
@@ -133,9 +150,12 @@ def search(index: Cells, queries: DataFrame, k: int, *, nprobe: int = 8, per_cel
     """Approximate hits from the nprobe nearest cells of each query, scored exactly. per_cell keeps
     the rows of a cell with the nearest routing codes only."""
     check_k(k)
-    probes = _probes(index, queries, query_id, query_vector).where(F.col("order") <= nprobe)
     if per_cell is None:
-        return top_k(_scan(index, queries, materialize(probes.select("query_id", "cell_id"), "probes"), k, query_id, query_vector, where), k)
+        def near(ids: list, q: np.ndarray) -> np.ndarray:
+            return _nearest_cells(_to_centres(index, q), nprobe)
+
+        return top_k(_scan(index, queries, near, k, query_id, query_vector, where), k)
+    probes = _probes(index, queries, query_id, query_vector).where(F.col("order") <= nprobe)
     rows = index.records.where(where) if where is not None else index.records
     both = rows.select(F.col(index.id).alias("id"), F.col(index.vector).alias("__v"), "cell_id").join(probes, "cell_id")
     gap = F.abs(routing_code(F.col("__v")) - routing_code(F.col("__q")))
@@ -160,29 +180,60 @@ def search_pruned(index: Cells, queries: DataFrame, k: int, *, query_id: str = "
     search, and only cells whose lower bound isn't above it are read. Ties are never pruned."""
     if not metrics.supports_centroid_bound(index.metric):
         raise ValueError(f"no bound for {index.metric}")
-    probes = materialize(_probes(index, queries, query_id, query_vector).join(F.broadcast(index.stats), "cell_id"), "probes")
-    first_cells = materialize(probes.where(F.col("order") <= first), "near-probes")
-    near = top_k(_scan(index, queries, first_cells, k, query_id, query_vector), k)
-    tau = near.groupBy("query_id").agg(F.max("distance").alias("tau"), F.count("*").alias("have"))
-    bound = lower_bound(index.metric, F.col("to_centre"), F.col("radius"))
-    kept = probes.join(tau, "query_id", "left").where((F.coalesce("have", F.lit(0)) < k) | (bound <= F.col("tau") + 1e-9))
-    return top_k(_scan(index, queries, materialize(kept.select("query_id", "cell_id"), "kept-probes"), k, query_id, query_vector), k)
-
-
-def _scan(index: Cells, queries: DataFrame, probes: DataFrame, k: int, query_id: str, query_vector: str, where: Column | None = None) -> DataFrame:
-    """query_id, id, distance over the cells of probes (query_id, cell_id): the cells' files are read
-    once per block of queries, and each task sends k rows per query."""
+    qkind = queries.schema[query_id].dataType
+    rows = index.records.select(F.col(index.id).alias("id"), F.col(index.vector).alias("v"), "cell_id")
+
+    def kept(ids: list, q: np.ndarray) -> np.ndarray:
+        far = _to_centres(index, q)
+        probed = _nearest_cells(np.where(np.isfinite(index.radius), far, np.inf), first)
+        near = top_k(_cell_scan(rows, ids, q, qkind, k, index.metric, probed), k)
+        place = {i: n for n, i in enumerate(ids)}
+        tau, have = np.full(len(ids), np.inf), np.zeros(len(ids))
+        for r in near.groupBy("query_id").agg(F.max("distance").alias("tau"), F.count("*").alias("have")).collect():  # a block's queries
+            tau[place[r["query_id"]]], have[place[r["query_id"]]] = r["tau"], r["have"]
+        bound = _bound(index.metric, np.maximum(0, far - index.radius))
+        return ((have < k)[:, None] | (bound <= tau[:, None] + 1e-9)) & np.isfinite(index.radius)
+
+    return top_k(_scan(index, queries, kept, k, query_id, query_vector), k)
+
+
+def _bound(metric: str, e: np.ndarray) -> np.ndarray:
+    """lower_bound of distances e beyond the cell's radius."""
+    key, _ = parse(metric)
+    if key == "cosine":
+        return e * e / 2
+    if key == "angular":
+        return np.arccos(np.maximum(-1.0, 1 - e * e / 2)) / math.pi
+    return e
+
+
+def _to_centres(index: Cells, q: np.ndarray) -> np.ndarray:
+    """Distances of queries to the centroids, in the metric's bounding geometry."""
+    unit = parse(index.metric)[0] in metrics.UNIT_GEOMETRY
+    geometry = "euclidean" if unit or not metrics.supports_centroid_bound(index.metric) else index.metric
+    u = q / np.maximum(np.linalg.norm(q, axis=1), EPS)[:, None] if unit else q
+    return np.asarray(block(geometry, u, index.centroids))
+
+
+def _nearest_cells(far: np.ndarray, count: int) -> np.ndarray:
+    probed = np.zeros(far.shape, bool)
+    np.put_along_axis(probed, np.argsort(far, axis=1, kind="stable")[:, :count], True, axis=1)
+    return probed
+
+
+def _cell_scan(rows: DataFrame, ids: list, q: np.ndarray, qkind: T.DataType, k: int, metric: str, probed: np.ndarray) -> DataFrame:
+    return scan(rows.where(F.col("cell_id").isin(np.flatnonzero(probed.any(0)).tolist())), ids, q, qkind, k, metric, probed)
+
+
+def _scan(index: Cells, queries: DataFrame, choose: Callable[[list, np.ndarray], np.ndarray], k: int, query_id: str, query_vector: str, where: Column | None = None) -> DataFrame:
+    """query_id, id, distance over the cells that choose names for each query of a block (a matrix of
+    queries by cells): their files are read once per block, and each task sends k rows per query."""
     rows = index.records.where(where) if where is not None else index.records
     rows = rows.select(F.col(index.id).alias("id"), F.col(index.vector).alias("v"), "cell_id")
     qkind = queries.schema[query_id].dataType
     hits = None
     for ids, q in _queries(queries, query_id, query_vector):
-        place = {i: n for n, i in enumerate(ids)}
-        probed = np.zeros((len(ids), len(index.centroids)), bool)
-        for r in probes.join(F.broadcast(queries.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("query_id", qkind)]))), "query_id").collect():
-            probed[place[r["query_id"]], r["cell_id"]] = True  # a bit per query of the block and cell
-        read = np.flatnonzero(probed.any(0)).tolist()
-        part = scan(rows.where(F.col("cell_id").isin(read)), ids, q, qkind, k, index.metric, probed)
+        part = _cell_scan(rows, ids, q, qkind, k, index.metric, choose(ids, q))
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         raise ValueError("no queries")

@@ -246,6 +246,18 @@ def _recall(hits: DataFrame, exact: DataFrame) -> DataFrame:
     return both.select("query_id", evaluation.recall_at_k(F.col("x"), F.col("y"), 10).alias("recall"), evaluation.tie_aware_recall_at_k(F.col("dx"), F.col("dy"), 10).alias("tie_aware_recall"))
 
 
+@query(
+    f"""WITH {batch_sql('cosine')} SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(rank AS INT) AS rank, CAST(id AS VARCHAR) AS id, round(distance, 6) + CAST(0 AS DOUBLE) AS distance FROM h"""
+)
+def knn_kept_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact, from the coarse index that finish_bulk_load keeps with a collection."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    made = index.Index.create(spark, scratch_path(spark, "kept"), metric="cosine", dimensions=64)
+    made.add(rows)
+    made.finish_bulk_load()
+    return _rounded(made.search_batch(rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 10))
+
+
 @query()
 def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Approximate: the nearest three quarters of the cells (the vectors are hardly clustered), with

@@ -335,6 +335,28 @@ class Collection:
 
     rebuild = compact
 
+    def finish_bulk_load(self, **how: object) -> None:
+        """Builds the coarse index of the live records' vectors and keeps it with the collection; any
+        later change makes it stale, until this is called again. how: of ivf.build."""
+        from lumenq.operators import ivf
+
+        def make() -> tuple[list, dict]:
+            name = f"cells-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
+            ivf.build(self.live().select("id", "vector", "metadata"), self.spec.metric, path=f"{self.path}/{name}", **how)
+            return self._state["folders"], {"cells": [name, self.version + 1]}
+
+        self._change(make)
+
+    def cells(self):  # noqa: ANN201
+        """The kept coarse index, or None if there is none of this version."""
+        from lumenq.operators import ivf
+
+        name, version = self._state.get("cells", [None, None])
+        if version != self.version:
+            return None
+        shape = T.StructType([T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("metadata", T.StringType()), T.StructField("cell_id", T.IntegerType())])
+        return ivf.open_cells(self.spark, f"{self.path}/{name}", self.spec.metric, shape)
+
     def flush(self) -> None:
         """Changes are durable when their call returns; nothing is held back."""
 
@@ -342,11 +364,11 @@ class Collection:
         """Folders that the current version doesn't name and that are old enough; removed unless dry_run."""
         import time
 
-        held = {n for n, _ in self._state["folders"]}
+        held = {n for n, _ in [*self._state["folders"], self._state.get("cells", [None, None])]}
         out = []
         for s in self._fs.listStatus(self._p(self.path)):
             name = s.getPath().getName()
-            if name.startswith(("log-", "base-")) and name not in held and time.time() - s.getModificationTime() / 1000 >= min_age_seconds:
+            if name.startswith(("log-", "base-", "cells-")) and name not in held and time.time() - s.getModificationTime() / 1000 >= min_age_seconds:
                 out.append(name)
                 if not dry_run:
                     self._fs.delete(s.getPath(), True)
