@@ -303,7 +303,7 @@ def _rows(key: str, p: float | None, a: np.ndarray, x: np.ndarray) -> np.ndarray
         if key == "lorentzian":
             return np.log1p(d).sum(1)
         if key == "dynamic-time-warping":
-            return np.array([_dtw_rows(a, r) for r in x])
+            return _dtw_rows(np.tile(a, (len(x), 1)), x)
         if key in ("jaccard", "dice", "simple-matching", "russell-rao", "rogers-tanimoto", "sokal-sneath", "yule"):
             ha, hx = np.abs(a) > EPS, np.abs(x) > EPS
             n11, n00 = (ha & hx).sum(1), (~ha & ~hx).sum(1)
