@@ -9,12 +9,15 @@ than two blocks and every pair of the cell is still seen.
 
 What the cells find gives every vector a lower bound of its k-th best cosine. A second, exact pass
 follows in spaces of more than one cell: rows are grouped by their nearest centroid and the angle to
-it, and a row meets every group that by the triangle inequality may hold a pair as good as the bound
-of either side, so a dense cluster cut into many cells is still compared with itself as a whole.
+it, and a row meets every group that by the triangle inequality may hold a pair as good as its bound,
+so a dense cluster cut into many cells is still compared with itself as a whole. Groups are written as
+blocks to the shared folder, where the tasks read those they need one at a time: no row is sent to
+the blocks it meets, and no task holds more than its own rows and one block.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenq.llm.vectors import Coarse, matrix, sample_matrix
-from lumenq.util import broadcast_if_small, materialize
+from lumenq.util import broadcast_if_small, hadoop_path, materialize, scratch_path
 
 EPSILON = 3.0  # standard deviations of the estimate that its bound spans
 CHUNK = 256
@@ -85,9 +88,10 @@ def estimates(stored: Codes, query: Codes, rows: np.ndarray, cc: float) -> tuple
     return est, bound
 
 
-def top_pairs(x: np.ndarray, q: np.ndarray | None, k: int, least: float, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def top_pairs(x: np.ndarray, q: np.ndarray | None, rank: np.ndarray, k: int, least: float, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, stored row, cosine): for each row of q the k best rows of x and those that tie
-    with the k-th, of cosine least or more. Without q, x against itself, a row not with itself."""
+    with the k-th, of cosine least or more; of many that tie those of the k best ids, by rank of the
+    stored rows' ids. Without q, x against itself, a row not with itself."""
     own = q is None
     if own:
         q = x
@@ -119,8 +123,10 @@ def top_pairs(x: np.ndarray, q: np.ndarray | None, k: int, least: float, rot: np
             floor = np.maximum(floor, np.partition(exact, len(cols) - k, axis=1)[:, len(cols) - k] - np.float32(2e-6))
         i, j = np.nonzero(exact >= floor[:, None])
         i, j = rows[i], cols[j]
-        s = np.einsum("ij,ij->i", q[i].astype(np.float64), x[j].astype(np.float64))
-        good = s >= least
+        s = _cosines(q, i, x, j)
+        good = np.flatnonzero(s >= least)
+        if len(good) > 4 * k * len(rows):  # many that tie
+            good = good[_best_each(i[good], rank[j[good]], s[good], k)]
         found.append((i[good], j[good], s[good]))
     if not found:
         e = np.zeros(0, np.int64)
@@ -147,21 +153,22 @@ def _tile(dims: int, k: int, least: float):
         once = list({(i, v): n for n, (i, v) in enumerate(zip(t["id"].to_pylist(), t["vec"].to_pylist()))}.values())  # repeated rows
         t = t.take(pa.array(once))
         ids = np.array(t["id"].to_pylist(), dtype=object)
+        rank = np.unique(ids, return_inverse=True)[1]
         x = matrix(t["vec"], dims)
         side = t["side"].to_numpy()
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if len(b):
-            one = top_pairs(x[a], x[b], k + 1, least, rot)
-            two = top_pairs(x[b], x[a], k + 1, least, rot)
+            one = top_pairs(x[a], x[b], rank[a], k + 1, least, rot)
+            two = top_pairs(x[b], x[a], rank[b], k + 1, least, rot)
             i = np.concatenate([b[one[0]], a[two[0]]])
             j = np.concatenate([a[one[1]], b[two[1]]])
             s = np.concatenate([one[2], two[2]])
         else:
-            i, j, s = top_pairs(x, None, k + 1, least, rot)
+            i, j, s = top_pairs(x, None, rank, k + 1, least, rot)
         good = ids[i] != ids[j]
         i, j, s = i[good], j[good], s[good]
         if len(i):
-            pick = _keep_k(i, ids[j].astype(str), s, k)
+            pick = _keep_k(i, rank[j], s, k)  # ranks are in the order of ids
             i, j, s = i[pick], j[pick], s[pick]
         return pa.table(
             {
@@ -195,11 +202,15 @@ def _place(index: Coarse, dims: int, margin: float, most: int):
 SLACK = np.float32(2e-6)  # of a float32 cosine
 TURN = 2e-3  # of an angle computed from one
 EDGES = np.deg2rad([20.0, 30.0, 40.0, 50.0, 60.0])  # a cell's rows are grouped by the angle to its centroid
-OUTER = 3  # groups from here on hold rows near no centroid; they come last
+OUTER = 3  # groups from here on hold rows near no centroid; they have blocks of their own
+CELLS_AT_ONCE = 1 << 20  # angles of rows to centroids in memory
+PAIRS_AT_ONCE = 1 << 14  # pairs whose vectors are in memory in float64
+UNIT = 4  # blocks that one task searches for at most
+HELD = 4  # times k pairs a row are held before they are reduced
 
 
 def _homes(index: Coarse):
-    """mapInArrow: (space, id, vec, depth, tau) with the nearest cell, the angle to it and its shell."""
+    """mapInArrow: (space, id, vec, depth, parts) with the nearest cell, the angle to it and its shell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dims = index.top.shape[1]
@@ -212,8 +223,9 @@ def _homes(index: Coarse):
             for d in np.unique(depth):
                 at = np.flatnonzero(depth == d)
                 c = index.top if d == 1 else index.leaf
-                for lo in range(0, len(at), 4096):
-                    rows = at[lo : lo + 4096]
+                step = max(1, CELLS_AT_ONCE // len(c))
+                for lo in range(0, len(at), step):
+                    rows = at[lo : lo + step]
                     s = x[rows] @ c.T
                     cell[rows] = s.argmax(axis=1)
                     angle[rows] = np.arccos(np.clip(s.max(axis=1), -1, 1))
@@ -223,148 +235,212 @@ def _homes(index: Coarse):
     return run
 
 
-class Blocks:
-    """The groups of one space, in blocks of about max_cell rows; a larger group has several blocks."""
-
-    def __init__(self, groups: list, max_cell: int):
-        groups = sorted(groups, key=lambda g: (g["shell"] >= OUTER, g["cell"], g["shell"]))
-        self.depth = groups[0]["depth"]
-        self.cell, self.lo, self.hi, self.tau = (np.array([g[c] for g in groups]) for c in ("cell", "lo", "hi", "tau"))
-        self.at = {(g["cell"], g["shell"]): i for i, g in enumerate(groups)}
-        first, parts, block, held = [], [], -1, max_cell
-        for g in groups:
-            n = -(-g["n"] // max_cell)
-            if held + g["n"] > max_cell:
-                block, held = block + 1, 0
-            first.append(block)
-            parts.append(n)
-            held += g["n"]
-            block += n - 1
-        self.first, self.parts = np.array(first), np.array(parts)
-        self.starts = np.flatnonzero(np.r_[True, np.diff(self.first) != 0])
-        self.wide = self.parts[self.starts]
-
-    def own(self, cell: np.ndarray, shell: np.ndarray, h: np.ndarray) -> np.ndarray:
-        g = np.array([self.at[k] for k in zip(cell.tolist(), shell.tolist())])
-        return self.first[g] + h % self.parts[g]
-
-    def visits(self, x: np.ndarray, tau: np.ndarray, own: np.ndarray, index: Coarse) -> tuple[np.ndarray, np.ndarray]:
-        """(row, block): the blocks before its own with a group that may hold a pair of a cosine that
-        is enough for the row or for a row of the group."""
-        c = index.top if self.depth == 1 else index.leaf
-        rows, blocks = [], []
-        for lo in range(0, len(x), 512):
-            a = np.arccos(np.clip(x[lo : lo + 512] @ c.T, -1, 1))[:, self.cell]
-            gap = np.maximum(np.maximum(a - self.hi, self.lo - a) - TURN, 0)
-            far = np.arccos(np.clip(np.minimum(tau[lo : lo + 512, None], self.tau) - 1e-5, -1, 1))
-            reach = np.logical_or.reduceat(gap <= far, self.starts, axis=1)
-            reach = np.repeat(reach, self.wide, axis=1)
-            r, b = np.nonzero(reach & (np.arange(reach.shape[1]) < own[lo : lo + 512, None]))
-            rows.append(r + lo)
-            blocks.append(b)
-        return np.concatenate(rows), np.concatenate(blocks)
-
-
-def _visits(index: Coarse, plan: dict[str, Blocks], chunks: dict | None):
-    """mapInArrow over homes. Without chunks: space, block and how many rows visit it. With them: the
-    rows themselves (side 0 at home, once per chunk of visitors; side 1 on a visit)."""
+def _store(folder: str, dims: int, most: int):
+    """mapInArrow over rows in the order of space, side, cell and shell: writes them as blocks of at most
+    `most` rows of one space and side, a file each. Out: where each row is, without its vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dims = index.top.shape[1]
+        import pyarrow.fs as pfs
+
+        def stored(t: pa.Table) -> pa.RecordBatch:
+            name = uuid.uuid4().int >> 66
+            ids = np.array(t["id"].to_pylist(), dtype=object)
+            rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
+            vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dims), t.num_rows, [None, pa.py_buffer(b"".join(t["vec"].to_pylist()))])
+            block = pa.table({"id": t["id"], "vec": vec, "rank": rank}).combine_chunks()
+            fs, path = pfs.FileSystem.from_uri(folder)
+            with fs.open_output_stream(f"{path}/{name}") as f, pa.ipc.new_file(f, block.schema) as w:
+                w.write_table(block)
+            n = t.num_rows
+            cols = {c: t[c] for c in ("space", "depth", "outer", "cell", "shell", "angle", "id")}
+            cols |= {"block": np.full(n, name, np.int64), "pos": np.arange(n, dtype=np.int32), "same": np.full(n, np.bincount(rank).max(), np.int32)}
+            return pa.table(cols).combine_chunks().to_batches()[0]
+
+        held: list[pa.Table] = []
+        key, rows = None, 0
         for b in batches:
             t = pa.Table.from_batches([b])
-            spaces = np.array(t["space"].to_pylist(), dtype=object)
-            for space in dict.fromkeys(spaces.tolist()):
-                u = t.filter(pa.array(spaces == space))
-                h = u["h"].to_numpy()
-                own = plan[space].own(u["cell"].to_numpy(), u["shell"].to_numpy(), h)
-                r, to = plan[space].visits(matrix(u["vec"], dims), u["tau"].to_numpy(), own, index)
-                if chunks is None:
-                    at, n = np.unique(to, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([space] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], names=["space", "block", "n"])
-                    continue
-                home = np.array([chunks.get((space, o), 1) for o in own.tolist()])
-                away = np.array([chunks[space, o] for o in to.tolist()], np.int64)
-                stay = np.repeat(np.arange(len(own)), home)
-                part = np.concatenate([np.arange(len(stay)) - np.repeat(np.cumsum(home) - home, home), h[r] % away])
-                v = u.select(["space", "id", "vec", "tau"]).take(pa.array(np.concatenate([stay, r])))
-                side = np.r_[np.zeros(len(stay), np.int32), np.ones(len(r), np.int32)]
-                v = v.append_column("block", pa.array(np.concatenate([own[stay], to]).astype(np.int64))).append_column("part", pa.array(part.astype(np.int64)))
-                yield from v.append_column("side", pa.array(side)).combine_chunks().to_batches()
+            keys = list(zip(t["space"].to_pylist(), t["outer"].to_pylist()))
+            lo = 0
+            while lo < t.num_rows:
+                if rows and (keys[lo] != key or rows == most):
+                    yield stored(pa.concat_tables(held))
+                    held, rows = [], 0
+                key, hi = keys[lo], lo
+                while hi < len(keys) and keys[hi] == key and rows + hi - lo < most:
+                    hi += 1
+                held.append(t.slice(lo, hi - lo))
+                rows, lo = rows + hi - lo, hi
+        if rows:
+            yield stored(pa.concat_tables(held))
 
     return run
 
 
-def exact_pairs(q: np.ndarray, tq: np.ndarray, x: np.ndarray, tx: np.ndarray, most: int, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, stored row, cosine, side): pairs of a cosine of at least tq of the query (side 0) or
-    tx of the stored row (side 1); at least the `most` best of a row where it has more. With own, q is x."""
-    out = []
-    for lo in range(0, len(q), CHUNK):
-        s = q[lo : lo + CHUNK] @ x.T
-        if own:
-            s[np.arange(len(s)), lo + np.arange(len(s))] = -9
-        for side in (0,) if own else (0, 1):
-            hit = s >= (tx[None, :] if side else tq[lo : lo + CHUNK, None]).astype(np.float32) - SLACK
-            i, j = np.nonzero(hit)
-            many = np.flatnonzero(np.bincount(j if side else i, minlength=1) > 4 * most)
-            for m in many:
-                line, mask = (s[:, m], hit[:, m]) if side else (s[m], hit[m])
-                mask &= line >= np.partition(line, len(line) - most)[len(line) - most] - SLACK
-            if len(many):
-                i, j = np.nonzero(hit)
-            i = i + lo
-            cos = np.einsum("ij,ij->i", q[i].astype(np.float64), x[j].astype(np.float64))
-            out.append((i, j, cos, np.full(len(i), side)))
-    return tuple(np.concatenate(z) for z in zip(*out))  # type: ignore[return-value]
-
-
-def _meet(dims: int, k: int, least: float):
-    """applyInArrow over a block and a chunk of its visitors: the pairs that may still be among the k best."""
+STORED = "space string, depth int, outer boolean, cell bigint, shell int, angle double, id string, block bigint, pos int, same int"
+
+
+class Blocks:
+    """The blocks of one space and the groups of each, by block."""
+
+    def __init__(self, groups: list):
+        groups = sorted(groups, key=lambda g: (not g["outer"], g["block"], g["first"]))
+        self.depth = groups[0]["depth"]
+        self.cell, self.first, self.n = (np.array([g[c] for g in groups], np.int32) for c in ("cell", "first", "n"))
+        self.lo, self.hi = (np.array([g[c] for g in groups], np.float32) for c in ("lo", "hi"))
+        at = np.flatnonzero(np.r_[True, [a["block"] != b["block"] for a, b in zip(groups, groups[1:])]])
+        self.names, self.same = [groups[i]["block"] for i in at], [groups[i]["same"] for i in at]
+        self.rows = np.add.reduceat(self.n, at)
+        self.of = [slice(a, b) for a, b in zip(at, np.r_[at[1:], len(groups)])]
+
+    def reach(self, x: np.ndarray, far: np.ndarray, block: int, centroids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(group, rows): for the block's groups, the rows of x within whose angle far the group may hold
+        a row, by the triangle inequality."""
+        of = self.of[block]
+        step = max(1, CELLS_AT_ONCE // len(x))
+        for lo in range(of.start, of.stop, step):
+            g = slice(lo, min(lo + step, of.stop))
+            cells, at = np.unique(self.cell[g], return_inverse=True)
+            a = np.arccos(np.clip(centroids[cells] @ x.T, -1, 1))
+            near, most = a - (far + TURN), a + (far + TURN)
+            for n, c in enumerate(at.tolist(), lo):
+                rows = np.flatnonzero((near[c] <= self.hi[n]) & (most[c] >= self.lo[n]))
+                if len(rows):
+                    yield n, rows
+
+def _cosines(q: np.ndarray, i: np.ndarray, x: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The cosines of the pairs, in float64, a bounded number at once."""
+    out = np.empty(len(i))
+    for lo in range(0, len(i), PAIRS_AT_ONCE):
+        at = slice(lo, lo + PAIRS_AT_ONCE)
+        out[at] = np.einsum("ij,ij->i", q[i[at]].astype(np.float64), x[j[at]].astype(np.float64))
+    return out
+
+
+def _best_each(i: np.ndarray, rank: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best ids of each i, an id once with its best cosine."""
+    order = np.lexsort((-s, rank, i))
+    once = order[np.r_[True, (np.diff(i[order]) != 0) | (np.diff(rank[order]) != 0)]] if len(order) else order
+    return once[_keep_k(i[once], rank[once], s[once], k)]
+
+
+def exact_pairs(q: np.ndarray, tau: np.ndarray, x: np.ndarray, rank: np.ndarray, most: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, stored row, cosine): of the pairs of a cosine of at least tau of the query, those of its
+    k + 1 best ids (its own may be among them). The `most` best rows hold k + 1 ids."""
+    s = q @ x.T
+    hit = s >= tau[:, None] - SLACK
+    i, j = np.divmod(np.flatnonzero(hit), len(x))
+    if len(i) > 4 * most:
+        many = np.flatnonzero(np.bincount(i) > 4 * most)
+        for m in many:
+            hit[m] &= s[m] >= np.partition(s[m], len(x) - most)[len(x) - most] - SLACK
+        if len(many):
+            i, j = np.divmod(np.flatnonzero(hit), len(x))
+    cos = _cosines(q, i, x, j)
+    if len(i) > (k + 1) * len(q):
+        pick = _best_each(i, rank[j], cos, k + 1)
+        i, j, cos = i[pick], j[pick], cos[pick]
+    return i, j, cos
+
+
+def _search(folder: str, plan: dict[str, Blocks], units: list[tuple[str, list[int]]], index: Coarse, dims: int, k: int, least: float):
+    """applyInArrow over the rows (block, pos, tau) of a unit, which is some blocks of a space: the k best of
+    its rows over all blocks of the space that they may reach, which are read one at a time."""
 
     def run(t: pa.Table) -> pa.Table:
-        space = t["space"][0].as_py()
-        names, code = np.unique(np.array(t["id"].to_pylist(), dtype=object).astype(str), return_inverse=True)
-        x, tau, side = matrix(t["vec"], dims), t["tau"].to_numpy(), t["side"].to_numpy()
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        most = (k + 1) * int(np.bincount(code).max())
-        found = []
-        if len(a) and t["part"][0].as_py() == 0:
-            i, j, s, _ = exact_pairs(x[a], tau[a], x[a], tau[a], most, own=True)
-            found.append((code[a[i]], code[a[j]], s))
-        if len(a) and len(b):
-            i, j, s, to = exact_pairs(x[b], tau[b], x[a], tau[a], most)
-            i, j = code[b[i]], code[a[j]]
-            found.append((np.where(to == 0, i, j), np.where(to == 0, j, i), s))
-        i, j, s = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        good = np.flatnonzero((i != j) & (s >= least))
-        good = good[np.argsort(-s[good], kind="stable")]
-        good = good[np.unique(i[good] * len(names) + j[good], return_index=True)[1]]
-        i, j, s = i[good], j[good], s[good]
-        pick = _keep_k(i, j, s, k)  # names are sorted, so their codes are in the order of ids
-        i, j, s = i[pick], j[pick], s[pick]
-        return pa.table({"space": pa.array([space] * len(i), pa.string()), "id": pa.array(names[i].tolist(), pa.string()), "neighbour": pa.array(names[j].tolist(), pa.string()), "cosine": pa.array(s, pa.float64())})
+        import pyarrow.fs as pfs
+
+        fs, path = pfs.FileSystem.from_uri(folder)
+
+        def block(name: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+            with fs.open_input_file(f"{path}/{name}") as f:
+                b = pa.ipc.open_file(f).read_all().combine_chunks()
+            vec = b["vec"].combine_chunks()
+            x = np.frombuffer(vec.buffers()[1], np.float32, len(vec) * dims, 4 * dims * vec.offset).reshape(-1, dims)
+            return b["id"].combine_chunks(), x, b["rank"].to_numpy()
+
+        space, mine = units[t["unit"][0].as_py()]
+        p = plan[space]
+        centroids = index.top if p.depth == 1 else index.leaf
+        parts = [block(p.names[m]) for m in mine]
+        ids = np.array([v for a in parts for v in a[0].to_pylist()], dtype=object)
+        q = np.concatenate([a[1] for a in parts])
+        del parts
+        start = np.cumsum(np.r_[0, p.rows[mine]])
+        number = {p.names[m]: n for n, m in enumerate(mine)}
+        tau = np.full(len(q), least, np.float32)
+        tau[start[[number[b] for b in t["block"].to_pylist()]] + t["pos"].to_numpy()] = t["tau"].to_numpy()
+        held = [(np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0))]
+        pairs = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            i, to, s = (np.concatenate(z) for z in zip(*held))
+            good = (ids[i] != to) & (s >= least)
+            i, to, s = i[good], to[good], s[good]
+            pick = _best_each(i, np.unique(to, return_inverse=True)[1], s, k)
+            return i[pick], to[pick], s[pick]
+
+        for other in [*mine, *(o for o in range(len(p.names)) if o not in set(mine))]:
+            there = None
+            far = np.arccos(np.clip(tau - np.float32(1e-5), -1, 1))
+            for g, rows in p.reach(q, far, other, centroids):
+                there = there or block(p.names[other])
+                of = slice(p.first[g], p.first[g] + p.n[g])
+                names, x, rank = there[0][of], there[1][of], there[2][of]
+                most, step = min(len(x), (k + 1) * p.same[other]), max(1, CELLS_AT_ONCE // len(x))
+                for lo in range(0, len(rows), step):
+                    r = rows[lo : lo + step]
+                    i, j, s = exact_pairs(q[r], tau[r], x, rank, most, k)
+                    if len(i):
+                        held.append((r[i], np.array(names.take(pa.array(j)).to_pylist(), dtype=object), s))
+                        pairs += len(i)
+                if pairs > HELD * k * len(q):
+                    held = [merged()]
+                    pairs = len(held[0][0])
+                    n, low = np.bincount(held[0][0], minlength=len(q)), np.full(len(q), 9.0)
+                    np.minimum.at(low, held[0][0], held[0][2])
+                    tau = np.where(n >= k, np.maximum(tau, low.astype(np.float32)), tau)
+        i, to, s = merged()
+        return pa.table({"space": pa.array([space] * len(i), pa.string()), "id": pa.array(ids[i].tolist(), pa.string()), "neighbour": pa.array(to.tolist(), pa.string()), "cosine": pa.array(s, pa.float64())})
 
     return run
 
 
 def _rest(work: DataFrame, best: DataFrame, index: Coarse, dims: int, k: int, least: float, max_cell: int) -> DataFrame:
-    """Pairs of work (space, id, vec, depth) that its cells do not show and that may be among the k best,
-    given the best of the cells."""
-    work = work.where("depth > 0")
-    tau = best.groupBy("space", "id").agg(F.when(F.count("*") >= k, F.greatest(F.min("cosine"), F.lit(least))).otherwise(F.lit(least)).alias("tau"))
-    rows = work.join(tau, ["space", "id"], "left").dropDuplicates(["space", "id", "vec"])
-    rows = rows.select("space", "id", "vec", "depth", F.coalesce("tau", F.lit(float(least))).alias("tau"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h"))
-    homes = rows.mapInArrow(_homes(index), "space string, id string, vec binary, depth int, tau double, h bigint, cell bigint, angle double, shell int")
-    homes = materialize(homes, "homes")
-    groups = homes.groupBy("space", "depth", "cell", "shell").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.min("tau").alias("tau"))
+    """Pairs of work (space, id, vec, depth, parts) that its cells do not show and that may be among the k
+    best, given the best of the cells."""
+    spark = work.sparkSession
+    rows = work.where("depth > 0").select("space", "id", "vec", "depth", "parts")
+    homes = rows.mapInArrow(_homes(index), "space string, id string, vec binary, depth int, parts int, cell bigint, angle double, shell int")
+    homes = homes.withColumn("outer", F.col("shell") >= OUTER)
+    homes = homes.repartition("space", "outer", F.pmod(F.hash("cell"), "parts")).sortWithinPartitions("space", "outer", "cell", "shell")
+    folder = scratch_path(spark, "blocks")
+    fs, path = hadoop_path(spark, folder)
+    fs.mkdirs(path)
+    stored = materialize(homes.mapInArrow(_store(folder, dims, max_cell), STORED), "stored")
+    groups = stored.groupBy("space", "depth", "outer", "block", "same", "cell", "shell")
+    groups = groups.agg(F.min("pos").alias("first"), F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
     by_space: dict[str, list] = {}
     for g in groups.collect():
         by_space.setdefault(g["space"], []).append(g)
-    plan = {s: Blocks(g, max_cell) for s, g in by_space.items()}
-    counts = homes.mapInArrow(_visits(index, plan, None), "space string, block bigint, n bigint").groupBy("space", "block").agg(F.sum("n").alias("n"))
-    chunks = {(r["space"], r["block"]): -(-r["n"] // (2 * max_cell)) for r in counts.collect()}
-    sent = homes.mapInArrow(_visits(index, plan, chunks), "space string, id string, vec binary, tau double, block bigint, part bigint, side int")
-    return sent.groupBy("space", "block", "part").applyInArrow(_meet(dims, k, least), OUT)
+    plan = {s: Blocks(g) for s, g in by_space.items()}
+    # a unit reads the others once for all its blocks, but every core should have units
+    share = sum(int(p.rows.sum()) for p in plan.values()) // (8 * spark.sparkContext.defaultParallelism)
+    units: list[tuple[str, list[int]]] = []
+    for s, p in plan.items():
+        held = UNIT * max_cell
+        for b, n in enumerate(p.rows.tolist()):
+            if held + n > min(max(share, max_cell), UNIT * max_cell):
+                units.append((s, []))
+                held = 0
+            units[-1][1].append(b)
+            held += n
+    unit = spark.createDataFrame([(plan[s].names[b], u) for u, (s, blocks) in enumerate(units) for b in blocks], "block bigint, unit int")
+    tau = best.groupBy("space", "id").agg(F.when(F.count("*") >= k, F.greatest(F.min("cosine"), F.lit(least))).otherwise(F.lit(least)).cast("float").alias("tau"))
+    rows = stored.join(tau, ["space", "id"], "left").join(broadcast_if_small(unit, 100_000), "block")
+    rows = rows.select("unit", "block", "pos", F.coalesce("tau", F.lit(float(least)).cast("float")).alias("tau"))
+    # a number of partitions of its own: the rows are few bytes, the work is not
+    return rows.repartition(2 * len(units), "unit").groupBy("unit").applyInArrow(_search(folder, plan, units, index, dims, k, least), OUT)
 
 
 def nearest(
@@ -398,7 +474,8 @@ def nearest(
     depth = F.when(F.col("count") <= 2 * per_cell, 0).when(F.col("count") <= len(index.top) * per_cell, 1).otherwise(2)
     many = base.groupBy("space", "h").count().where("count > 32").select("space", "h")
     many = broadcast_if_small(materialize(many, "copies"), 100_000)
-    one = broadcast_if_small(sizes.select("space", depth.cast("int").alias("depth")), 100_000)
+    parts = F.ceil(F.col("count") / (UNIT * max_cell)).cast("int").alias("parts")
+    one = broadcast_if_small(sizes.select("space", depth.cast("int").alias("depth"), parts), 100_000)
     light = base.join(many, ["space", "h"], "left_anti")
     copies = base.join(many, ["space", "h"]).select("space", "h", "id", "vec").distinct()
     w = Window.partitionBy("space", "h").orderBy("id")

@@ -98,8 +98,9 @@ class Coarse:
             return np.arange(len(x)), np.zeros(len(x), np.int64)
         c = self.top if depth == 1 else self.leaf
         rows, cells = [], []
-        for lo in range(0, len(x), 4096):
-            s = x[lo : lo + 4096] @ c.T
+        step = max(1, (1 << 20) // len(c))
+        for lo in range(0, len(x), step):
+            s = x[lo : lo + step] @ c.T
             m = min(most, s.shape[1])
             near = np.argpartition(-s, m - 1, axis=1)[:, :m]
             v = np.take_along_axis(s, near, axis=1)

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenq.llm import clusters, graph, neighbours, vectors
@@ -70,6 +73,48 @@ def test_dense_cluster_over_many_cells(spark, least):
     assert got == want
 
 
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_with_all_cells():
+    """What a task holds with 4096 cells, as tables of over a million rows have."""
+    rng = np.random.default_rng(41)
+    x = np.array([unit(v) for v in rng.standard_normal((9000, 64))])
+    index = vectors.Coarse(x[:8192], 1, 256)
+    index.leaf = x[:4096]
+    (r, c), mb = peak_mb(lambda: index.cells(x, 2, 0.2, 1))
+    assert mb < 60 and (r == np.arange(9000)).all() and (c == (x @ index.leaf.T).argmax(axis=1)).all()
+    rows = pa.RecordBatch.from_pydict({"space": ["s"] * 9000, "id": [f"i{n}" for n in range(9000)], "vec": [v.tobytes() for v in x], "depth": pa.array([2] * 9000, pa.int32())})
+    homes, mb = peak_mb(lambda: list(neighbours._homes(index)(iter([rows]))))
+    assert mb < 60 and (pa.Table.from_batches(homes)["cell"].to_numpy() == c).all()
+
+
+@pytest.mark.parametrize("least", [-2.0, 0.75])
+def test_tasks_of_several_blocks(spark, least):
+    rng = np.random.default_rng(43)
+    centres = rng.standard_normal((8, 64))
+    rows = [("s", f"i{n:04}", centres[n % 8] + 0.4 * rng.standard_normal(64)) for n in range(1000)]
+    rows += [("s", f"n{n:04}", rng.standard_normal(64)) for n in range(150)]
+    rows += [("s", f"t{n:04}", centres[0] + 1e-5 * rng.standard_normal(64)) for n in range(60)]  # these nearly tie
+    rows += [("s", "several", centres[1] + 0.2 * rng.standard_normal(64)) for _ in range(30)]
+    packed = vectors.packed_vectors(frame(spark, rows), ["space", "id"], "vector", 64)
+    got = sorted((r["id"], r["neighbour"]) for r in neighbours.nearest(packed, 64, k=5, least=least, per_cell=40, max_cell=20).collect())
+    x = np.array([unit(np.float32(v)) for *_, v in rows]).astype(np.float64)
+    best = {}
+    for (_, a, _), line in zip(rows, x @ x.T):
+        for (_, b, _), c in zip(rows, line):
+            if a != b and c >= least and c > best.setdefault(a, {}).get(b, -9):
+                best[a][b] = c
+    want = [(a, b) for a, to in best.items() for b, _ in sorted(to.items(), key=lambda p: (-round(p[1], 7), p[0]))[:5]]
+    assert got == sorted(want)
+
+
 def test_many_copies(spark):
     rng = np.random.default_rng(8)
     same, other = rng.standard_normal(64), rng.standard_normal(64)
